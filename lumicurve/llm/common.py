@@ -9,12 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch sent to Python. Texts are batched by bytes
 #: too, so that a run of very long documents cannot fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
-def in_batches(docs: DataFrame, columns: Sequence[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_batches(docs: DataFrame, columns: Sequence[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over the named columns only, in batches of bounded bytes."""
     conf = docs.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -80,3 +81,33 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+#: Bytes that part words: space and the controls from tab to carriage return.
+BREAK = np.zeros(256, bool)
+BREAK[[*range(9, 14), 32]] = True
+
+
+def words_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of the texts begin and end, and each text's first word
+    (one more than texts). Words part at ``BREAK`` bytes."""
+    inside = ~BREAK[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[starts] = True
+    before = np.zeros(len(raw), bool)
+    before[1:] = inside[:-1]
+    behind = np.zeros(len(raw), bool)
+    behind[:-1] = inside[1:]
+    begin = np.flatnonzero(inside & (~before | edge[:-1]))
+    end = np.flatnonzero(inside & (~behind | edge[1:])) + 1
+    return begin, end, np.searchsorted(begin, starts)
+
+
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of ``n`` words from their hashes; empty if there are fewer."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    total = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        total = (total + words[k : len(words) - n + 1 + k]) * np.uint64(0xD6E8FEB86659FD93)
+    return mix64(total)
