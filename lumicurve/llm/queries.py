@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumicurve.llm import language_id, quality
 from lumicurve.llm.byte_bpe import bpe_round_trip
+from lumicurve.llm.embed_dedup import near_duplicates
 from lumicurve.llm.ngram_join import jaccard_components
 from lumicurve.llm.packing import pack_sequences
 from lumicurve.llm.token_counts import token_counts
@@ -35,6 +36,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
