@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumicurve.llm import language_id, quality
 from lumicurve.llm.byte_bpe import bpe_round_trip
+from lumicurve.llm.chat_format import chat_windows, read_back
 from lumicurve.llm.embed_dedup import near_duplicates
 from lumicurve.llm.ngram_join import jaccard_components
 from lumicurve.llm.packing import pack_sequences
@@ -36,6 +37,45 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return read_back(chat_windows(rows, budget=1024))
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), a AS (
+  SELECT *, (strlen(text) + 3) // 4 + 8 AS tok FROM t
+), b AS (
+  SELECT *, row_number() OVER w AS n, sum(tok) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+  FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), c AS (
+  SELECT *, (upto - 1) // 256 AS stride, lag((upto - 1) // 256) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM b
+), d AS (
+  SELECT *, sum(CASE WHEN before <> stride THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS span FROM c
+), e AS (
+  SELECT *, max(span) OVER (PARTITION BY conv_id) AS last_span, max(n) OVER (PARTITION BY conv_id, span) AS span_n,
+    max(upto) OVER (PARTITION BY conv_id, span) AS span_upto FROM d
+), f AS (
+  SELECT *, CASE WHEN n = 1 AND role = 'system' THEN 1 + last_span
+    WHEN span < last_span AND span_n - n < 2 AND span_upto - upto + tok <= 256 THEN 2 ELSE 1 END AS times,
+    length(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
+    + length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) + 20 AS chars FROM e
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(times * chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+""".replace("\\\\", "\\")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -54,9 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_formatting": OP7_SQL,
+}
