@@ -1,10 +1,11 @@
 """Exact Jaccard join of documents on word n-grams, with set relations skipped.
 
 1. One pass hashes each text to its set of n-gram hashes and gives the set's
-   size and fingerprint; documents of one fingerprint are one class. The same
-   pass counts n-grams that several texts of a batch share; the totals fill a
-   sketch of fixed size that orders n-grams from rare to frequent. (Any order
-   gives the same links; a good one gives few candidates.)
+   size and fingerprint; documents of one fingerprint are one class. It also
+   deals the n-grams, packed four bytes each, to buckets where those in several
+   documents are found; they fill a sketch of bounded size that orders n-grams
+   from rare to frequent. (Any order gives the same links; a good one gives few
+   candidates.)
 2. A second pass gives each class the first n-grams of its set in that order,
    as many as two linked sets must share one of. Index lists of an n-gram are
    streamed: each document of a list is tied to the list's first one, its head,
@@ -21,6 +22,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from lumicurve.session import materialise
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Slots of the frequency sketch (a byte each), which is sent to every executor.
-SKETCH_SLOTS = 1 << 22
+#: Most slots of the frequency sketch (a byte each), which is sent to every executor.
+SKETCH_SLOTS = 1 << 26
 
 
 def shingle_sets(column: pa.Array, n: int, hasher: SegmentHash) -> Iterator[np.ndarray]:
@@ -66,56 +68,140 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def describe(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, f1, f2) of each row; rows with a null id and a list carry the
-    n-grams that two or more different texts of a batch share, and in how many."""
+def bucket_bits(docs: DataFrame) -> int:
+    """Bits of a hash that choose its bucket: a bucket for each MB of input."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(20, max(4, (size >> 20).bit_length()))
+
+
+def describe(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, size, f1, f2) of each row. Rows with a bucket hold instead, for some
+    of a task's documents, the n-grams of that bucket: the 32 bits behind the
+    bucket's own of those in one document, and of those in several with their
+    numbers. Texts with equal sets count once in such a lot of documents."""
 
     def run(batches):
         hasher = SegmentHash()
+        lot: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
+        kind = None
+
+        def emit():
+            tokens, counts = np.unique(np.concatenate([*lot.values(), np.empty(0, np.uint64)]), return_counts=True)
+            edges = np.searchsorted(tokens >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            short = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+            times = np.minimum(counts, 65535).astype("<u2")
+            rows = [(k, short[x:y], times[x:y]) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(len(rows), kind),
+                    none,
+                    none,
+                    none,
+                    pa.array([r[0] for r in rows], pa.int32()),
+                    pa.array([r[1][r[2] == 1].tobytes() for r in rows], pa.binary()),
+                    pa.array([r[1][r[2] > 1].tobytes() for r in rows], pa.binary()),
+                    pa.array([r[2][r[2] > 1].tobytes() for r in rows], pa.binary()),
+                ],
+                names=names,
+            )
+
         for b in batches:
-            size, f1, f2, seen = [], [], [], {}
+            kind = b.column(0).type
+            size, f1, f2 = [], [], []
             for s in shingle_sets(b.column(1), n, hasher):
                 p = fingerprint(s)
                 size.append(len(s))
                 f1.append(p[0])
                 f2.append(p[1])
-                seen.setdefault(p, s)
-            rows = len(size)
-            tokens, counts = np.unique(np.concatenate([*seen.values(), np.empty(0, np.uint64)]), return_counts=True)
-            many = counts > 1
-            shared = [None] * rows + [tokens[many].view(np.int64)]
-            times = [None] * rows + [counts[many].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([b.column(0), pa.nulls(1, b.column(0).type)]),
-                    pa.array([*size, None], pa.int64()),
-                    pa.array([*f1, None], pa.int64()),
-                    pa.array([*f2, None], pa.int64()),
-                    pa.array(shared, pa.list_(pa.int64())),
-                    pa.array(times, pa.list_(pa.int32())),
-                ],
-                names=["id", "size", "f1", "f2", "shared", "times"],
-            )
-
+                if len(s) and p not in lot:
+                    lot[p] = s
+                    held += len(s)
+                    if held > 1 << 22:
+                        yield emit()
+                        lot.clear()
+                        held = 0
+            none = pa.nulls(len(size), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (size, f1, f2)), pa.nulls(len(size), pa.int32()), none, none, none], names=names)
+        if lot:
+            yield emit()
+
+    names = ["id", "size", "f1", "f2", "bucket", "once", "more", "times"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_batches(docs, [id_col, text_col], run, f"id {kind}, size long, f1 long, f2 long, shared array<long>, times array<int>")
+    return in_batches(docs, [id_col, text_col], run, f"id {kind}, size long, f1 long, f2 long, bucket int, once binary, more binary, times binary")
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """The n-grams of one bucket that several documents hold, each with its
+    level (eighths of doublings of their number), and how many have each level."""
+    once, more, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("once", "<u4"), ("more", "<u4"), ("times", "<u2")))
+    tokens, at = np.unique(np.concatenate([once, more]), return_inverse=True)
+    number = np.bincount(at, np.concatenate([np.ones(len(once)), times]), len(tokens))
+    keep = number > 1
+    level = np.minimum(255, np.floor(np.log2(number[keep]) * 8)).astype(np.uint8)
+    return pa.table({"bucket": table.column("bucket").slice(0, 1), "tokens": pa.array([tokens[keep].astype("<u4").tobytes()], pa.binary()), "levels": pa.array([level.tobytes()], pa.binary())})
 
 
-def frequency_sketch(described: DataFrame, slots: int = SKETCH_SLOTS) -> np.ndarray:
-    """A byte for each slot of n-gram hashes: how frequent its most frequent one
-    is, in eighths of a doubling. Never more than ``slots`` rows reach the driver."""
-    counts = described.where("shared IS NOT NULL").select(F.explode(F.arrays_zip("shared", "times")).alias("x"))
-    counts = counts.groupBy(F.col("x.shared").alias("token")).agg(F.sum("x.times").alias("n"))
-    level = F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int")
-    by_slot = counts.groupBy(F.pmod("token", F.lit(slots)).cast("int").alias("slot")).agg(F.max(level).alias("level")).toArrow()
-    sketch = np.zeros(slots, np.uint8)
-    sketch[by_slot.column("slot").to_numpy()] = by_slot.column("level").to_numpy()
-    return sketch
+def slot_of(bucket: np.ndarray | int, short: np.ndarray, slots: int) -> np.ndarray:
+    """Slots of n-grams by their bucket and the 32 bits behind it."""
+    return ((np.uint64(bucket) << np.uint64(32) | short.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots.bit_length() + 1)
 
 
-def in_rarity_order(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    level = sketch[s.view(np.int64) % len(sketch)]
-    return s[np.lexsort((s, level))]
+@dataclass
+class Sketch:
+    """How frequent n-grams are, a byte for each slot of their hashes.
+
+    Level 0 is least frequent. If ``complete``, an n-gram of level 0 is in one
+    document (or its exact copies) alone; else the levels under the least that
+    found room are missing, which costs candidates but no links.
+    """
+
+    levels: np.ndarray
+    bits: int
+    complete: bool
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return self.levels[slot_of_hash(s, self.bits, len(self.levels))]
+
+
+def slot_of_hash(s: np.ndarray, bits: int, slots: int) -> np.ndarray:
+    return ((s >> np.uint64(32 - bits)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots.bit_length() + 1)
+
+
+def frequency_sketch(described: DataFrame, bits: int, most_slots: int = SKETCH_SLOTS) -> Sketch:
+    """The sketch of all rows of ``describe``. What reaches the driver is at
+    most a quarter of ``most_slots`` n-grams, the most frequent ones."""
+    found = materialise(described.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_repeated, "bucket int, tokens binary, levels binary"), "repeated")
+
+    def count(batches):
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["level", "n"])
+
+    by_level = np.zeros(256, np.int64)
+    for r in found.select("levels").mapInArrow(count, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+        by_level[r["level"]] = r["n"]
+    from_top = np.cumsum(by_level[::-1])[::-1]
+    least = int(np.argmax(from_top <= most_slots // 4))
+    slots = min(most_slots, 1 << max(10, int(4 * from_top[least]).bit_length()))
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for bucket, t, v in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                level = np.frombuffer(v, np.uint8)
+                at = slot_of(bucket, np.frombuffer(t, "<u4")[level >= least], slots).astype("<u4")
+                out.append((at.tobytes(), level[level >= least].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["slots", "levels"])
+
+    kept = found.mapInArrow(cut, "slots binary, levels binary").toArrow()
+    levels = np.zeros(slots, np.uint8)
+    for at, level in zip(kept.column("slots").to_pylist(), kept.column("levels").to_pylist(), strict=True):
+        np.maximum.at(levels, np.frombuffer(at, "<u4"), np.frombuffer(level, np.uint8))
+    return Sketch(levels, bits, int(by_level[:least].sum()) == 0)
 
 
 def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -124,19 +210,24 @@ def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, sketch, id_col: str, text_col: str) -> DataFrame:
-    """(id, f1, f2, prefix) of each row that has words."""
+    """(id, f1, f2, prefix) of each row: the first elements of its set from rare
+    to frequent, without those that no other set holds. Rows with none are left
+    out."""
 
     def run(batches):
         hasher, order = SegmentHash(), sketch.value
         for b in batches:
             row, f1, f2, out = [], [], [], []
             for i, s in enumerate(shingle_sets(b.column(1), n, hasher)):
-                if len(s):
+                level = order.of(s)
+                by = np.lexsort((s, level))[: prefix_length(len(s), percent)] if len(s) else np.empty(0, np.int64)
+                first = s[by[level[by] > 0]] if order.complete else s[by]
+                if len(first):
                     p = fingerprint(s)
                     row.append(i)
                     f1.append(p[0])
                     f2.append(p[1])
-                    out.append(in_rarity_order(s, order)[: prefix_length(len(s), percent)].view(np.int64))
+                    out.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "f1", "f2", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -301,8 +392,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    described = materialise(describe(docs, n, id_col, text_col), "described")
-    sketch = spark.sparkContext.broadcast(frequency_sketch(described))
+    bits = bucket_bits(docs)
+    described = materialise(describe(docs, n, bits, id_col, text_col), "described")
+    sketch = spark.sparkContext.broadcast(frequency_sketch(described, bits))
     rows = described.where("size IS NOT NULL").select("id", "size", "f1", "f2")
     classes = materialise(rows.where("size > 0 AND id IS NOT NULL").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes")
 
