@@ -13,6 +13,7 @@ from lumicurve.llm.chat_format import chat_windows, read_back
 from lumicurve.llm.embed_dedup import near_duplicates
 from lumicurve.llm.ngram_join import jaccard_components
 from lumicurve.llm.packing import pack_sequences
+from lumicurve.llm.pii import find_personal_data
 from lumicurve.llm.token_counts import token_counts
 from lumicurve.llm.url_filter import judge_urls
 
@@ -26,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs, language_id.train(docs))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -96,6 +101,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_personal_data": op2_personal_data,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
     "op5_byte_bpe": op5_byte_bpe,
