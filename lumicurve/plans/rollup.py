@@ -114,10 +114,10 @@ def twilight(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", r6(t["rise"]).alias("rise"), r6(t["set"]).alias("set"))
 
 
-@query("jd_to_utc", f"SELECT event_id, round({DAY}, 6) AS jd, true AS back FROM events")
+@query("jd_to_utc", f"SELECT event_id, round({DAY}, 5) AS jd, true AS back FROM events")
 def jd_to_utc(spark, sf_dir):
     jd = astro.jd_from_unix(seconds("ts"))
-    return table(spark, sf_dir, "events").select("event_id", r6(jd).alias("jd"), (F.abs(astro.unix_from_jd(jd) - seconds("ts")) < 1e-3).alias("back"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(jd, 5).alias("jd"), (F.abs(astro.unix_from_jd(jd) - seconds("ts")) < 1e-3).alias("back"))
 
 
 @query("angular_separation", f"WITH {STARS} SELECT a.star AS a, b.star AS b, round({SEP}, 6) AS sep FROM s a JOIN s b ON b.star = a.star + 1")
