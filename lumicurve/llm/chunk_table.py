@@ -64,7 +64,7 @@ class ChunkTable:
     encoded each time and never kept.
     """
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[np.ndarray]], most: int = 2_500_000, longest: int = 48, block: int = 1 << 20):
+    def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[np.ndarray]], most: int = 1_500_000, longest: int = 48, block: int = 1 << 20):
         self.find, self.encode_many = compile_pattern(pattern).findall, encode_many
         self.most, self.longest, self.block = most, longest, block
         self.hash = SegmentHash()
@@ -105,7 +105,7 @@ class ChunkTable:
     def _add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
         if (self.n + len(keys)) * 2 > self.slots:
             held, entry = self.keys[self.index >= 0], self.index[self.index >= 0]
-            self.slots = 1 << int((self.n + len(keys)) * 4 - 1).bit_length()
+            self.slots = 1 << int((self.n + len(keys)) * 2 - 1).bit_length()
             self.shift = np.uint64(64 - self.slots.bit_length() + 1)
             self.keys, self.index = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
             self._place(held, entry)

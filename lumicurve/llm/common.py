@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,11 +18,31 @@ from pyspark.sql.types import StructType
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 def in_batches(docs: DataFrame, columns: Sequence[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over the named columns only, in batches of bounded bytes."""
+    """``mapInArrow`` over the named columns only, in batches of bounded bytes.
+
+    A worker gives the memory of a task back when the task ends, since it lives
+    on for tasks of other stages.
+    """
     conf = docs.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back_memory()
+
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+
+
+def give_back_memory() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:

@@ -118,7 +118,7 @@ def describe(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) ->
                 if len(s) and p not in lot:
                     lot[p] = s
                     held += len(s)
-                    if held > 1 << 22:
+                    if held > 1 << 21:
                         yield emit()
                         lot.clear()
                         held = 0
@@ -199,8 +199,10 @@ def frequency_sketch(described: DataFrame, bits: int, most_slots: int = SKETCH_S
 
     kept = found.mapInArrow(cut, "slots binary, levels binary").toArrow()
     levels = np.zeros(slots, np.uint8)
-    for at, level in zip(kept.column("slots").to_pylist(), kept.column("levels").to_pylist(), strict=True):
-        np.maximum.at(levels, np.frombuffer(at, "<u4"), np.frombuffer(level, np.uint8))
+    for b in kept.to_batches():
+        for at, level in zip(b.column(0), b.column(1), strict=True):
+            np.maximum.at(levels, np.frombuffer(at.as_buffer(), "<u4"), np.frombuffer(level.as_buffer(), np.uint8))
+    del kept
     return Sketch(levels, bits, int(by_level[:least].sum()) == 0)
 
 
@@ -403,6 +405,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = tokens.repartition(parts, "token").sortWithinPartitions("token", "id")
     groups = materialise(lists.mapInArrow(_ties, f"head {kind}, id {kind}").distinct(), "groups")
+    sketch.destroy()
 
     wanted = materialise(groups.select("id").distinct(), "wanted")
     sets = whole_sets(docs.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), n, id_col, text_col)

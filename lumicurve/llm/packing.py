@@ -86,10 +86,12 @@ class FileEncoder:
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32 (and ids)."""
+    """One row per piece: id, piece, start, length, ids_crc32 (with ids: the
+    ids as little-endian unsigned 32-bit bytes too, and a number of the row)."""
 
     def run(batches):
         encoder = FileEncoder.of(tokenizer_path)
+        made = TaskContext.get().partitionId() << 40
         for b in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(encoder.encode(b.column(1).cast(pa.string()))):
@@ -101,18 +103,20 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                     piece.append(k)
                     start.append(x)
                     length.append(y - x)
-                    crc.append(zlib.crc32(raw[x:y].tobytes()))
+                    own = raw[x:y].tobytes()
+                    crc.append(zlib.crc32(own))
                     if with_ids:
-                        kept.append(raw[x:y].astype(np.int32))
+                        kept.append(own)
             columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
             names = [id_col, "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
+                columns += [pa.array(kept, pa.binary()), pa.array(range(made, made + len(row)), pa.int64())]
+                names += ["ids", "_row"]
+                made += len(row)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary, _row long" * with_ids
     return in_batches(docs, [id_col, text_col], run, schema)
 
 
@@ -166,12 +170,15 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     hash of id and piece to one packer per ``pieces_per_packer``, and packed in
     the order of that hash; each ``lot`` of them is taken longest first, which
     fills sequences better. ``open_bins`` bounds a packer's memory. Sequences
-    are filled from offset 0 without gaps.
+    are filled from offset 0 without gaps. ``with_ids`` adds the ids (bytes of
+    little-endian unsigned 32-bit numbers); they never go to the few packers,
+    their places are joined to them.
     """
     pieces = materialise(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces")
     packers = max(1, -(-pieces.count() // pieces_per_packer))
     order = F.xxhash64(F.col(f"`{id_col}`"), "piece", "ids_crc32")
-    dealt = pieces.withColumn("_order", order).repartition(packers, "_order").sortWithinPartitions("_order", id_col, "piece").drop("_order")
+    light = pieces.drop("ids")
+    dealt = light.withColumn("_order", order).repartition(packers, "_order").sortWithinPartitions("_order", id_col, "piece").drop("_order")
 
     def run(batches):
         fit = BoundedBestFit(capacity, open_bins)
@@ -195,5 +202,9 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         if held:
             yield from place(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema.fields)
+    placed = dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    if not with_ids:
+        return placed
+    placed = materialise(placed.select("_row", "sequence_id", "offset"), "places")
+    return pieces.join(placed, "_row").drop("_row")
