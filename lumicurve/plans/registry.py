@@ -1,4 +1,4 @@
-"""All queries of the light-curve engine and their oracle SQL."""
+"""Where queries of the light-curve engine and their oracle SQL are registered."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("series", "match", "photometry", "rollup", "numeric")
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,14 +20,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
-
-
-def load_all() -> None:
-    """Import the modules that register queries."""
-    from importlib import import_module
-
-    for name in MODULES:
-        import_module(f"lumicurve.plans.{name}")
-
-
-load_all()

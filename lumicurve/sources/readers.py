@@ -172,9 +172,9 @@ def decode_frames(frames: DataFrame, width: int, gain: str = "low") -> DataFrame
 
 
 def samples_from_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """(path, frame, star, x, y, flux, t) of arrays of shape frames x stars x 4,
+    """(path, frame, star, x, y, flux, t) of _stars.npy arrays, frames x stars x 4,
     as numpy writes them; one file is one task's work, in batches of frames."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_stars.npy").load(path).select("path", "content")
 
     def run(batches):
         import io
