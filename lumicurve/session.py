@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +61,22 @@ def drop_materialised(spark: SparkSession, df: DataFrame) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(hadoop).delete(path, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, where neither PYTHONPATH nor the
+    working folder does already: as a zip file that the driver serves, once."""
+    root = Path(__file__).resolve().parent.parent
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in map(os.path.realpath, filter(None, places)) or any(os.path.isdir(os.path.join(p, "lumicurve")) for p in places if p):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "lumicurve.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "lumicurve").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
