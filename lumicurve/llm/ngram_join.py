@@ -7,9 +7,9 @@
    from rare to frequent. (Any order gives the same links; a good one gives few
    candidates.)
 2. A second pass gives each class the first n-grams of its set in that order,
-   as many as two linked sets must share one of. Index lists of an n-gram are
-   streamed: each document of a list is tied to the list's first one, its head,
-   so what leaves a list is linear in it.
+   as many as two linked sets must share one of. Each document of an n-gram's
+   list is tied to the list's least one, its head: partial minima and an
+   equi-join, so a long list is never gathered, and its ties are linear in it.
 3. Documents tied to one head are compared by their whole sets in a kernel.
    Large groups are cut into chunks and the pairs of chunks dealt out. The
    kernel keeps lists sorted by the places left behind a position and skips the
@@ -236,35 +236,6 @@ def prefixes(docs: DataFrame, n: int, percent: int, sketch, id_col: str, text_co
     return in_batches(docs, [id_col, text_col], run, f"id {kind}, f1 long, f2 long, prefix array<long>")
 
 
-def _ties(batches):
-    """From rows sorted by (token, id): (head, id) for every row of a list of
-    two or more, the head's own among them."""
-    token = head = None
-    single = False
-    for b in batches:
-        tokens, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(tokens):
-            continue
-        new = np.empty(len(tokens), bool)
-        new[0] = token is None or tokens[0] != token
-        new[1:] = tokens[1:] != tokens[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(tokens)), -1))
-        heads = np.where(first >= 0, ids[np.maximum(first, 0)], head if head is not None else 0)
-        follows = ~new
-        owner = np.zeros(len(tokens), bool)  # rows whose head has a follower here
-        owner[first[follows & (first >= 0)]] = True
-        out_head, out_id = heads[follows | owner], ids[follows | owner]
-        if single and follows[0]:
-            out_head, out_id = np.append(out_head, head), np.append(out_id, head)
-        if len(out_id):
-            yield pa.RecordBatch.from_arrays([pa.array(out_head), pa.array(out_id)], names=["head", "id"])
-        last_new = int(np.flatnonzero(new)[-1]) if new.any() else -1
-        if last_new >= 0:
-            token, head, single = tokens[-1], ids[last_new], last_new == len(tokens) - 1
-        else:
-            single = False
-
-
 def whole_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(id, f1, f2, elements) of each row, the elements as bytes of sorted hashes."""
 
@@ -401,10 +372,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     classes = materialise(rows.where("size > 0 AND id IS NOT NULL").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes")
 
     firsts = prefixes(docs, n, percent, sketch, id_col, text_col).join(classes.select("f1", "f2", F.col("rep").alias("id")), ["id", "f1", "f2"])
+    firsts = materialise(firsts.select("id", "prefix"), "prefixes")
     tokens = firsts.select(F.explode("prefix").alias("token"), "id")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    lists = tokens.repartition(parts, "token").sortWithinPartitions("token", "id")
-    groups = materialise(lists.mapInArrow(_ties, f"head {kind}, id {kind}").distinct(), "groups")
+    heads = tokens.groupBy("token").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialise(tokens.join(heads.select("token", "head"), "token").select("head", "id").distinct(), "groups")
     sketch.destroy()
 
     wanted = materialise(groups.select("id").distinct(), "wanted")
