@@ -41,15 +41,20 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, wide_cells: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage at files every executor can reach, so a lost executor
-    costs a re-read and never a recomputation of what stands before.
+    costs a re-read and never a recomputation of what stands before. With
+    ``wide_cells`` (kilobytes in a cell that no dictionary shortens) row groups
+    are small, so that a writer holds few of them in memory.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if wide_cells:
+        writer = writer.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
