@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 #: Rows and bytes of one Arrow batch sent to Python. Texts are batched by bytes
 #: too, so that a run of very long documents cannot fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+READER_ROWS = 256
 
 def in_batches(docs: DataFrame, columns: Sequence[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over the named columns only, in batches of bounded bytes.
@@ -26,6 +27,8 @@ def in_batches(docs: DataFrame, columns: Sequence[str], fn: Callable[[Iterator[p
     conf = docs.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # A reader holds a batch of rows of every column; texts and sets are wide.
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
 
     def run(batches):
         try:

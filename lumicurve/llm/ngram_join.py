@@ -118,7 +118,7 @@ def describe(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) ->
                 if len(s) and p not in lot:
                     lot[p] = s
                     held += len(s)
-                    if held > 1 << 21:
+                    if held > 1 << 20:
                         yield emit()
                         lot.clear()
                         held = 0
@@ -172,7 +172,7 @@ def slot_of_hash(s: np.ndarray, bits: int, slots: int) -> np.ndarray:
 def frequency_sketch(described: DataFrame, bits: int, most_slots: int = SKETCH_SLOTS) -> Sketch:
     """The sketch of all rows of ``describe``. What reaches the driver is at
     most a quarter of ``most_slots`` n-grams, the most frequent ones."""
-    found = materialise(described.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_repeated, "bucket int, tokens binary, levels binary"), "repeated")
+    found = materialise(described.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_repeated, "bucket int, tokens binary, levels binary"), "repeated", wide_cells=True)
 
     def count(batches):
         total = np.zeros(256, np.int64)
@@ -366,7 +366,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     bits = bucket_bits(docs)
-    described = materialise(describe(docs, n, bits, id_col, text_col), "described")
+    described = materialise(describe(docs, n, bits, id_col, text_col), "described", wide_cells=True)
     sketch = spark.sparkContext.broadcast(frequency_sketch(described, bits))
     rows = described.where("size IS NOT NULL").select("id", "size", "f1", "f2")
     classes = materialise(rows.where("size > 0 AND id IS NOT NULL").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes")

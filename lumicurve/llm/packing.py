@@ -174,7 +174,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     little-endian unsigned 32-bit numbers); they never go to the few packers,
     their places are joined to them.
     """
-    pieces = materialise(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces")
+    pieces = materialise(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces", wide_cells=with_ids)
     packers = max(1, -(-pieces.count() // pieces_per_packer))
     order = F.xxhash64(F.col(f"`{id_col}`"), "piece", "ids_crc32")
     light = pieces.drop("ids")
