@@ -203,4 +203,4 @@ def global_star_ids(spark, sf_dir):
 @query("minute_triplets")
 def minute_triplets(spark, sf_dir):
     scope = F.when(F.col("scope") == "green", 1).when(F.col("scope") == "red", 2).otherwise(3)
-    return match.minute_triplets(detections(spark, sf_dir).select(F.lit(1).alias("night"), scope.alias("scope"), "t"), "night", 600.0)
+    return match.minute_triplets(detections(spark, sf_dir).select(F.lit(1).alias("night"), scope.alias("scope"), "t"), "night", 3600.0)
