@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lumicurve.functions.text import key_time, little_endian, log_time, minute_key, unpack12
 
+# The columns of a weather log.
 WEATHER = "unix_time double, temp double, humidity double, wind_speed double, wind_direction double, rain_value double, sky_temp double, ground_temp double, alert double, polaris_mag double"
 
-#: Names in the header of a detection file and the columns they become.
+# Names in the header of a detection file, and the columns they become.
 HEADER = {
     "Event File": "event_file",
     "Star Coords": "star_coords",
@@ -120,7 +121,7 @@ def kernel_bank(spark: SparkSession, path: str, stride: int = 1, less: float = 0
     return rows.join(F.broadcast(rows.agg(F.min(F.size("curve")).alias("_n")))).select("kernel_id", F.slice("curve", F.lit(1), F.col("_n")).alias("curve"))
 
 
-#: Where a raw frame's header holds its values, and how many bytes its pixels begin at.
+# Where a raw frame's pixels and its control byte are.
 RCD_PIXELS, RCD_CONTROL = 384, 140
 
 
