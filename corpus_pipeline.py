@@ -30,10 +30,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id; of rows
-    that repeat an id, one. Rows without an id stay, there is no telling which
-    to keep."""
-    stay = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each component of near copies (Jaccard similarity of 0.8 or more over
+    five-word n-grams) the document with the least id; of rows that repeat an
+    id, one. Rows without an id stay, there is no telling which to keep."""
+    stay = jaccard_components(docs, n=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
     repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
