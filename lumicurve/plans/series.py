@@ -241,10 +241,23 @@ z AS (SELECT event_id, kernel_id, o, sum(abs(f[26 + o + j] + 1 - c[j + 1] - 1) /
 SELECT event_id, arg_min(kernel_id, (round(chi, 9), kernel_id, o)) AS kernel_id, arg_min(o, (round(chi, 9), kernel_id, o))::INT AS "offset", round(min(chi), 6) AS chi FROM z GROUP BY event_id"""
 
 
-@query("kernel_match", KERNELS)
-def kernel_match(spark, sf_dir):
+def _kernel_match(spark: SparkSession, sf_dir: str, events: str = "true", kernels: str = "true") -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     plus = lambda c: F.transform(c, lambda x: x.cast("double") + 1)
-    events = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("event_id"), F.lit(32).alias("center"), plus(F.col("embedding")).alias("flux"), F.lit(1.0).alias("median"))
-    kernels = e.where("vec_id < 40").select(F.col("vec_id").alias("kernel_id"), plus(F.slice("embedding", 1, 15)).alias("curve"))
+    events = e.where(events).select(F.col("vec_id").alias("event_id"), F.lit(32).alias("center"), plus(F.col("embedding")).alias("flux"), F.lit(1.0).alias("median"))
+    kernels = e.where(kernels).select(F.col("vec_id").alias("kernel_id"), plus(F.slice("embedding", 1, 15)).alias("curve"))
+    # The table may be one file, and each of its rows meets the whole bank.
+    events = events.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "event_id")
     return detect.kernel_match(events, kernels).select("event_id", "kernel_id", "offset", r6("chi").alias("chi"))
+
+
+@query("kernel_match", KERNELS)
+def kernel_match(spark, sf_dir):
+    """The events and kernels that its SQL takes; ``kernel_match_all`` takes all."""
+    return _kernel_match(spark, sf_dir, "vec_id % 10 = 0", "vec_id < 40")
+
+
+@query("kernel_match_all")
+def kernel_match_all(spark, sf_dir):
+    """Every event against the whole bank."""
+    return _kernel_match(spark, sf_dir)
