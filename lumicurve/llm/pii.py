@@ -42,6 +42,15 @@ _TURNS = re.compile("[A-Za-z]+|[0-9]+")
 _CUE = re.compile(r"[^\W\d_]+[^\w\n]{1,4}")
 _CUE_END = re.compile(r"[^\W\d_]{1,32}[^\w\n]{1,4}\Z")
 
+#: The column that holds a text's key, and in how many parts the rows of one key or pattern are joined.
+_KEY, SALTS = "_pii_key", 8
+
+#: Most patterns that are sent to executors; more are joined.
+MOST_PATTERNS = 20_000
+
+#: Most entries that a task counts before it hands them on.
+MOST_COUNTED = 1 << 18
+
 Span = tuple[int, str, int]
 
 
@@ -119,9 +128,15 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
+def text_key(text_col: str):
+    """A hash that stands for a text where rows are joined."""
+    return F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
+
+
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Base results of each row, and its edges of the graph: for each base span
-    and candidate its pattern(s), the hash of its string, whether it is a seed."""
+    """Base results of each row, the key of its text, and its edges of the graph:
+    for each base span and candidate its pattern(s), the hash of its string,
+    whether it is a seed."""
 
     def run(batches):
         for b in batches:
@@ -140,22 +155,26 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             edge = pa.struct([("pattern", pa.string()), ("instance", pa.int64()), ("seed", pa.bool_())])
             found_type = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cue", pa.string()), ("form", pa.string())])
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(found_type), pa.list_(edge)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, kinds)], names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found", "edges"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, kinds), b.column(2)], names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found", "edges", _KEY])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<start:long,end:long,cue:string,form:string>>, edges array<struct<pattern:string,instance:long,seed:boolean>>"
-    return in_batches(docs, [id_col, text_col], run, schema)
+    schema = f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<start:long,end:long,cue:string,form:string>>, edges array<struct<pattern:string,instance:long,seed:boolean>>, {_KEY} string"
+    return in_batches(docs.withColumn(_KEY, text_key(text_col)), [id_col, text_col, _KEY], run, schema)
 
 
-def cue_totals(docs: DataFrame, cues: frozenset[str], text_col: str) -> DataFrame:
-    """(pattern, total): how often each of the cues stands in the corpus at all."""
+def cue_totals(docs: DataFrame, cues: frozenset[str] | None, text_col: str) -> DataFrame:
+    """(pattern, total): how often each of the cues, or any cue at all, stands in the corpus."""
 
     def run(batches):
         totals: Counter = Counter()
+        emit = lambda: pa.RecordBatch.from_arrays([pa.array(["c:" + c for c in totals], pa.string()), pa.array(list(totals.values()), pa.int64())], names=["pattern", "n"])
         for b in batches:
             for text in texts_of(b.column(0)):
-                totals.update(c for c in _CUE.findall(text.lower()) if "c:" + c in cues)
-        yield pa.RecordBatch.from_arrays([pa.array(["c:" + c for c in totals], pa.string()), pa.array(list(totals.values()), pa.int64())], names=["pattern", "n"])
+                totals.update(c for c in _CUE.findall(text.lower()) if cues is None or "c:" + c in cues)
+                if len(totals) > MOST_COUNTED:
+                    yield emit()
+                    totals.clear()
+        yield emit()
 
     return in_batches(docs, [text_col], run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
 
@@ -182,17 +201,44 @@ def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = 3, prior:
     return patterns
 
 
-def learn_patterns(extracted: DataFrame, docs: DataFrame, text_col: str = "text", support: int = 5, confidence: float = 0.6, most_patterns: int = 20_000) -> frozenset[str]:
-    """Patterns of at least ``support`` different instances and the given
-    confidence, the ``most_patterns`` with most instances (a bound of the model
-    that is sent to executors; the same bound holds for the cues counted)."""
+def few(patterns: DataFrame, most: int) -> frozenset[str] | None:
+    """The patterns, if there are ``most`` at most."""
+    rows = patterns.select("pattern").limit(most + 1).collect()
+    return frozenset(r["pattern"] for r in rows) if len(rows) <= most else None
+
+
+def learn_patterns(extracted: DataFrame, docs: DataFrame, text_col: str = "text", support: int = 5, confidence: float = 0.6, most_patterns: int = MOST_PATTERNS) -> DataFrame:
+    """(pattern) of at least ``support`` different instances and the given
+    confidence. Up to ``most_patterns`` cues are sent to the executors to be
+    counted; if there are more, all cues are counted and joined."""
     edges = extracted.select(F.explode("edges").alias("e")).select("e.*")
     induced = edges.where("seed").groupBy("pattern").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= support)
-    cues = induced.where(F.col("pattern").startswith("c:")).orderBy(F.desc("seeds"), "pattern").limit(most_patterns)
-    totals = cue_totals(docs, frozenset(r["pattern"] for r in cues.collect()), text_col)
-    edges = edges.join(induced.select("pattern"), "pattern", "left_semi")
+    induced = materialise(induced.select("pattern"), "pii-induced")
+    cues = induced.where(F.col("pattern").startswith("c:"))
+    known = few(cues, most_patterns)
+    totals = cue_totals(docs, known, text_col)
+    totals = totals if known is not None else totals.join(cues, "pattern", "left_semi")
+    edges = edges.join(induced, "pattern", "left_semi")
     good = score_patterns(edges, totals).where((F.col("score") >= confidence) & (F.col("instances") >= support))
-    return frozenset(r["pattern"] for r in good.orderBy(F.desc("instances"), "pattern").limit(most_patterns).collect())
+    return materialise(good.select("pattern"), "pii-good")
+
+
+def spots_of_texts(extracted: DataFrame, good: DataFrame) -> DataFrame:
+    """(key, salt, spots) of each text with candidates that the patterns mark,
+    once for each salt; for patterns too many to be sent to executors."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    found = extracted.select(_KEY, F.explode("found").alias("f")).select(_KEY, "f.*").dropDuplicates([_KEY, "start"])
+    found = found.withColumn("salt", F.pmod(F.xxhash64(_KEY, "start"), F.lit(SALTS)).cast("int"))
+    tied = found.select(_KEY, "start", "end", "salt", F.explode(F.array("cue", "form")).alias("pattern")).where("pattern IS NOT NULL")
+    tied = tied.join(good.select("pattern", salts.alias("salt")), ["pattern", "salt"]).select(_KEY, "start", "end").distinct()
+    return tied.groupBy(_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spots")).select(_KEY, salts.alias("salt"), "spots")
+
+
+def with_spots(rows: DataFrame, id_col: str, spots: DataFrame) -> DataFrame:
+    """The rows, which have their texts' keys, with the spots of their texts."""
+    salt = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(SALTS)).cast("int")
+    spots = spots.select(F.col(_KEY).alias("_of"), F.col("salt").alias("_salt"), F.col("spots").alias("_pii_spots"))
+    return rows.join(spots, (rows[_KEY] == F.col("_of")) & (salt == F.col("_salt")), "left").drop("_of", "_salt")
 
 
 def with_found(base: list[Span], found: list[tuple[int, int]]) -> list[Span]:
@@ -207,28 +253,37 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     read. ``options`` go to ``learn_patterns``.
     """
     extracted = materialise(extract(docs, id_col, text_col), "pii-extracted")
-    good = docs.sparkSession.sparkContext.broadcast(learn_patterns(extracted, docs, text_col, **options))
+    learnt = learn_patterns(extracted, docs, text_col, **options)
+    patterns = few(learnt, options.get("most_patterns", MOST_PATTERNS))
+    good = None if patterns is None else docs.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches):
         for b in batches:
             spans, n_id = [], []
             for base, found in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True):
                 own = [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
-                new = [(x["start"], x["end"]) for x in found if x["cue"] in good.value or x["form"] in good.value]
+                new = [(x["start"], x["end"]) for x in found or () if good is None or x["cue"] in good.value or x["form"] in good.value]
                 spans.append(joined(with_found(own, new)))
                 n_id.append(len(new))
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(spans, pa.string()), pa.array(n_id, pa.int64())], names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_id"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_id long"
-    return in_batches(extracted, [c for c in extracted.columns if c != "edges"], run, schema)
+    columns = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base"]
+    if good is None:
+        marked = with_spots(extracted.drop("edges", "found"), id_col, spots_of_texts(extracted, learnt))
+        return in_batches(marked, [*columns, "_pii_spots"], run, schema)
+    return in_batches(extracted, [*columns, "found"], run, schema)
 
 
 def redact(text: str, good: frozenset[str]) -> str:
     """The text with its spans replaced by their kinds in angle brackets;
     overlapping spans are replaced together, by the first one's kind."""
     base = base_spans(text)
-    spans = with_found(base, [(s, e) for s, e, _, c, f in candidates(text, base) if c in good or f in good])
+    return replaced(text, with_found(base, [(s, e) for s, e, _, c, f in candidates(text, base) if c in good or f in good]))
+
+
+def replaced(text: str, spans: list[Span]) -> str:
     out, at = [], 0
     for start, kind, end in spans:
         if start >= at:
@@ -241,8 +296,21 @@ def redact_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` with all their columns, personal data in the texts
     replaced. Null texts stay null; n_chars, if there, is not changed."""
     extracted = materialise(extract(docs, id_col, text_col), "pii-extracted")
-    good = docs.sparkSession.sparkContext.broadcast(learn_patterns(extracted, docs, text_col, **options))
+    learnt = learn_patterns(extracted, docs, text_col, **options)
+    patterns = few(learnt, options.get("most_patterns", MOST_PATTERNS))
     at = docs.columns.index(text_col)
+    if patterns is None:
+
+        def mark(batches):
+            for b in batches:
+                spots = ([(x["start"], x["end"]) for x in s or ()] for s in b.column(len(docs_columns)).to_pylist())
+                texts = [None if t is None else replaced(t, with_found(base_spans(t), s)) for t, s in zip(b.column(at).to_pylist(), spots, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(at).type) if k == at else b.column(k) for k in range(len(docs_columns))], names=docs_columns)
+
+        docs_columns = docs.columns
+        marked = with_spots(docs.withColumn(_KEY, text_key(text_col)), id_col, spots_of_texts(extracted, learnt))
+        return in_batches(marked, [*docs_columns, "_pii_spots"], mark, docs.schema)
+    good = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches):
         for b in batches:
