@@ -36,6 +36,9 @@ COMMON_WORDS = frozenset(
     "movies music news online page photo play prime shop site store stream super top video videos web win world".split()
 )
 
+#: In how many parts the rows of one token are joined.
+SALTS = 16
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _NAME_PARTS = re.compile("[a-z]+")
 
@@ -65,11 +68,11 @@ class Segmenter:
     """
 
     counts: dict[str, int]
-    longest: int = 12
     memory: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.log_total = math.log(sum(self.counts.values()) + 1)
+        self.lengths = sorted({len(w) for w in self.counts}, reverse=True)
         self.cost = {w: self.log_total - math.log(n) for w, n in self.counts.items()}
 
     def split(self, name: str) -> tuple[str, ...]:
@@ -78,7 +81,7 @@ class Segmenter:
         n = len(name)
         best, came, known = [0.0] + [math.inf] * n, [0] * (n + 1), [False] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in (end - k for k in self.lengths if k <= end):
                 cost = self.cost.get(name[start:end])
                 if cost is not None and best[start] + cost < best[end]:
                     best[end], came[end], known[end] = best[start] + cost, start, True
@@ -110,14 +113,14 @@ class Segmenter:
         return words + ["/" + w for name in _NAME_PARTS.findall(path.translate(_LOWER)) for w in self.split(name)]
 
 
-def word_counts(pages: DataFrame, text_col: str = "html", longest: int = 12, fewest: int = 5, most_words: int = 50_000) -> dict[str, int]:
+def word_counts(pages: DataFrame, text_col: str = "html", fewest: int = 5, most_words: int = 50_000) -> dict[str, int]:
     """Counts of ASCII words of two letters or more over the texts of all pages.
 
     The model holds the ``most_words`` most frequent of those found ``fewest``
     times; that bounds what is sent to the driver and the executors.
     """
     text = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"<(script|style)\b[^>]*>.*?</\1>|<[^>]*>|&[a-z]+;", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![a-z\x80-￿])[a-z]{{2,{longest}}}(?![a-z\x80-￿])"), 0)).alias("word"))
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![a-z\x80-￿])[a-z]{{2,}}(?![a-z\x80-￿])"), 0)).alias("word"))
     top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fewest).orderBy(F.desc("n"), "word").limit(most_words)
     counts = {r["word"]: r["n"] for r in top.collect()}
     usual = max(10, sum(counts.values()) // 100_000)
@@ -128,39 +131,46 @@ def word_counts(pages: DataFrame, text_col: str = "html", longest: int = 12, few
 
 @dataclass
 class NaiveBayes:
-    """Log odds of unwanted against wanted, the prior's and each token's."""
+    """Log odds of unwanted against wanted, the prior's and each token's, which
+    are a table (token, odds); and those of all tokens, if they are few."""
 
     prior: float
-    odds: dict[str, float]
-    unknown: float
-
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, self.unknown) for t in tokens)
+    odds: DataFrame
+    few: dict[str, float] | None
 
 
 def train_bayes(parsed: DataFrame, smoothing: float = 0.5, most_tokens: int = 100_000) -> NaiveBayes:
-    """Counts over the tokens of all urls, labelled by ``UNWANTED_WORDS``. The
-    model holds the ``most_tokens`` most frequent tokens."""
+    """Counts over the tokens of all urls, labelled by ``UNWANTED_WORDS``. If
+    there are ``most_tokens`` at most, the model is small enough to be sent to
+    executors."""
     lexicon = F.array(*[F.lit(p + w) for w in sorted(UNWANTED_WORDS) for p in ("", "/")])
     labelled = parsed.select("tokens", F.arrays_overlap("tokens", lexicon).alias("bad"))
     urls = labelled.agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()[0]
-    counts = labelled.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    counts = materialise(labelled.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")), "url-tokens")
     sums = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count(F.lit(1)).alias("tokens")).collect()[0]
     bad_total, good_total = (sums[c] + smoothing * (sums["tokens"] + 1) for c in ("bad", "good"))
-    log_odds = lambda bad, good: math.log((bad + smoothing) / bad_total) - math.log((good + smoothing) / good_total)
-    top = counts.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(most_tokens).collect()
+    odds = counts.select("token", (F.log((F.col("bad") + smoothing) / bad_total) - F.log((F.col("good") + smoothing) / good_total)).alias("odds"))
     prior = math.log((urls["bad"] + smoothing) / (urls["good"] + smoothing))
-    return NaiveBayes(prior, {r["token"]: log_odds(r["bad"], r["good"]) for r in top}, 0.0)
+    return NaiveBayes(prior, odds, {r["token"]: r["odds"] for r in odds.collect()} if sums["tokens"] <= most_tokens else None)
+
+
+def joined_scores(parsed: DataFrame, bayes: NaiveBayes) -> DataFrame:
+    """``parsed`` with the score of each row, by a join of its tokens; odds are
+    dealt out by a salt, for the tokens of a hot host are in many rows."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    tokens = parsed.select("row", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("tokens").alias("token"))
+    sums = tokens.join(bayes.odds.select("token", "odds", salts.alias("salt")), ["token", "salt"]).groupBy("row").agg(F.sum("odds").alias("sum"))
+    return parsed.join(sums, "row", "left").withColumn("score", F.lit(bayes.prior) + F.coalesce("sum", F.lit(0.0)))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.0, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.0, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", **options) -> DataFrame:
     """(id, host, path, rule, verdict, score, words) of every row of ``pages``.
 
     The longest fitting rule decides; else a url is blocked if its log odds are
     over ``threshold``. A null url, or one without ``://``, has an empty host
     and path, no rule and no words, and is judged by the prior alone. Null
     texts count no words; ids may be null or repeat; an empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read. ``options`` go to ``train_bayes``.
     """
     segmenter = pages.sparkSession.sparkContext.broadcast(word_counts(pages, text_col))
     rules = tuple(rules)
@@ -183,13 +193,18 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
             )
 
     kind = pages.schema[id_col].dataType.simpleString()
-    parsed = materialise(in_batches(pages, [id_col, url_col], parse, f"`{id_col}` {kind}, host string, path string, rule string, said string, tokens array<string>"), "urls")
-    bayes = pages.sparkSession.sparkContext.broadcast(train_bayes(parsed))
+    parsed = in_batches(pages, [id_col, url_col], parse, f"`{id_col}` {kind}, host string, path string, rule string, said string, tokens array<string>")
+    parsed = materialise(parsed.withColumn("row", F.monotonically_increasing_id()), "urls")
+    model = train_bayes(parsed, **options)
+    if model.few is None:
+        verdict = F.coalesce("said", F.when(F.col("score") > threshold, "block").otherwise("allow"))
+        return joined_scores(parsed, model).select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score", F.col("tokens").alias("words"))
+    prior, odds_of = model.prior, pages.sparkSession.sparkContext.broadcast(model.few)
 
     def score(batches):
         for b in batches:
-            odds = [bayes.value.score(t) for t in b.column(5).to_pylist()]
+            odds = [prior + sum(odds_of.value[t] for t in tokens) for tokens in b.column(5).to_pylist()]
             verdict = [said or ("block" if x > threshold else "allow") for said, x in zip(b.column(4).to_pylist(), odds, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdict, pa.string()), pa.array(odds, pa.float64()), b.column(5)], names=[id_col, "host", "path", "rule", "verdict", "score", "words"])
 
-    return parsed.mapInArrow(score, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, score double, words array<string>")
+    return parsed.drop("row").mapInArrow(score, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, score double, words array<string>")
