@@ -48,7 +48,7 @@ def pca_differential(spark, sf_dir):
 @query("occultation_curves")
 def occultation_curves(spark, sf_dir):
     radii = spark.createDataFrame([(k, 500.0 + 500.0 * k, 0.02, 0.0, 0.0, 40.0) for k in range(4)], "kernel_id long, object_r double, star_d double, impact double, shift double, dist double")
-    bank = numeric.occultation_bank(radii.repartition(4), colours=3, ring=2, reach=4000.0, step=40.0)
+    bank = numeric.occultation_bank(radii.repartition(4))
     return bank.select("kernel_id", F.posexplode("curve").alias("frame", "v")).select("kernel_id", "frame", r6("v").alias("flux"))
 
 

@@ -90,3 +90,12 @@ def test_pca_of_all_stars(spark, sky):
         mean = r.mean(axis=0)
         v = np.linalg.svd(r - mean, full_matrices=False)[2][: min(3, len(r) - 1)]
         assert np.allclose(got.loc[target].to_numpy(), own - (mean - 1) - ((own - mean) @ v.T) @ v, atol=2e-6)
+
+
+def test_occultation_curves_have_the_reference_parameters(spark, tmp_path):
+    from lumicurve.operators import numeric
+
+    got = catalog.QUERIES["occultation_curves"](spark, str(tmp_path)).toPandas()
+    want = numeric.occultation_curve(0.025, (4e-7, 7e-7), 500.0, 0.0, 40.0, 0.02, 0.0, reach=10_000.0, step=10.0, colours=20, ring=5)
+    assert set(got.kernel_id) == {0, 1, 2, 3}
+    assert np.allclose(got[got.kernel_id == 0].sort_values("frame").flux.to_numpy(), want, atol=2e-6)
