@@ -32,25 +32,35 @@ def build_session(app: str = "lumicurve", master: str | None = None, **conf: obj
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where a session has none (local runs and tests) a temporary one is made.
+    Only where a local session has none (as in tests) a temporary one is made; a
+    cluster without the setting is an error, since each of its executors would
+    write to its own disk.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="lumicurve-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/lumicurve-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str, wide_cells: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage at files every executor can reach, so a lost executor
-    costs a re-read and never a recomputation of what stands before. With
+    costs a re-read and never a recomputation of what stands before. All of an
+    application's files are in one folder, which ``clear_materialised`` deletes
+    when no result is read any more. With
     ``wide_cells`` (kilobytes in a cell that no dictionary shortens) row groups
     are small, so that a writer holds few of them in memory.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if wide_cells:
         writer = writer.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false")
@@ -68,6 +78,13 @@ def drop_materialised(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def clear_materialised(spark: SparkSession) -> None:
+    """Delete all files that ``materialise`` wrote in this application; to be
+    called when the results of its operators have been read or written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

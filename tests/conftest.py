@@ -14,4 +14,7 @@ def spark(tmp_path_factory):
     s = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from lumicurve.session import clear_materialised
+
+    clear_materialised(s)
     s.stop()
