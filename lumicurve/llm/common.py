@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,17 +18,26 @@ from pyspark.sql.types import StructType
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 READER_ROWS = 256
 
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on batches of rows to those of this module."""
+    # A reader holds a batch of rows of every column; texts and sets are wide.
+    limits = {"execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "execution.arrow.maxBytesPerBatch": BATCH_BYTES, "parquet.columnarReaderBatchSize": READER_ROWS}
+    for name, most in limits.items():
+        own = spark.conf.get(f"spark.sql.{name}", None)
+        if own is None or not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.{name}", most)
+
+
 def in_batches(docs: DataFrame, columns: Sequence[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over the named columns only, in batches of bounded bytes.
 
-    A worker gives the memory of a task back when the task ends, since it lives
-    on for tasks of other stages.
+    The session's limits on batches are lowered to those above where they are
+    higher, and stay so: a frame is planned when it runs, so they must still
+    hold then. A worker gives the memory of a task back when the task ends,
+    since it lives on for tasks of other stages.
     """
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    # A reader holds a batch of rows of every column; texts and sets are wide.
-    conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         try:

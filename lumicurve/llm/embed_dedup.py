@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicurve.llm.common import BATCH_ROWS, mix64
+from lumicurve.llm.common import bound_batches, mix64
 from lumicurve.llm.components import connected_components
 from lumicurve.session import materialise
 
@@ -137,7 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     among them, are not read.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bound_batches(spark)
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = materialise(usable(vectors, id_col, vector_col), "vectors")
     classes = materialise(rows.where("raw IS NOT NULL").groupBy("raw").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")), "vector-classes")
