@@ -10,8 +10,11 @@
    as many as two linked sets must share one of. Each document of an n-gram's
    list is tied to the list's least one, its head: partial minima and an
    equi-join, so a long list is never gathered, and its ties are linear in it.
-3. Documents tied to one head are compared by their whole sets in a kernel.
-   Large groups are cut into chunks and the pairs of chunks dealt out. The
+3. Sets tied to one head are compared by all their elements in a kernel. A
+   group is cut into chunks, each of which also gets a few pivots, members that
+   are the same for all of its chunks, so that what is alike is linked at a cost
+   linear in the group. Members that this leaves outside the group's largest
+   component are then compared with all the others, chunk by chunk. The
    kernel keeps lists sorted by the places left behind a position and skips the
    blocks whose bound is too low, passes over sets that are joined already, and
    derives the overlaps of a set from those of a highly similar set by the
@@ -64,10 +67,6 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return one - (1 << 64) * (one >> 63), two - (1 << 64) * (two >> 63)
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
-
-
 def bucket_bits(docs: DataFrame) -> int:
     """Bits of a hash that choose its bucket: a bucket for each MB of input."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -211,50 +210,51 @@ def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return size - (percent * size + 99) // 100 + 1
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, sketch, id_col: str, text_col: str) -> DataFrame:
-    """(id, f1, f2, prefix) of each row: the first elements of its set from rare
-    to frequent, without those that no other set holds. Rows with none are left
-    out."""
+def prefixes(docs: DataFrame, n: int, percent: int, sketch, text_col: str) -> DataFrame:
+    """(f1, f2, size, prefix) of each row: the first elements of its set from
+    rare to frequent, without those that no other set holds. Rows with none are
+    left out."""
 
     def run(batches):
         hasher, order = SegmentHash(), sketch.value
         for b in batches:
-            row, f1, f2, out = [], [], [], []
-            for i, s in enumerate(shingle_sets(b.column(1), n, hasher)):
+            f1, f2, size, out = [], [], [], []
+            for s in shingle_sets(b.column(0), n, hasher):
                 level = order.of(s)
                 by = np.lexsort((s, level))[: prefix_length(len(s), percent)] if len(s) else np.empty(0, np.int64)
                 first = s[by[level[by] > 0]] if order.complete else s[by]
                 if len(first):
                     p = fingerprint(s)
-                    row.append(i)
                     f1.append(p[0])
                     f2.append(p[1])
+                    size.append(len(s))
                     out.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (f1, f2, size)), pa.array(out, pa.list_(pa.int64()))], names=["f1", "f2", "size", "prefix"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return in_batches(docs, [id_col, text_col], run, f"id {kind}, f1 long, f2 long, prefix array<long>")
+    return in_batches(docs, [text_col], run, "f1 long, f2 long, size long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, f1, f2, elements) of each row, the elements as bytes of sorted hashes."""
+    """(id, f1, f2, size, elements) of each row, the elements as bytes of sorted hashes."""
 
     def run(batches):
         hasher = SegmentHash()
         for b in batches:
             sets = list(shingle_sets(b.column(1), n, hasher))
             prints = [fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "f1", "f2", "elements"])
+            numbers = [[p[0] for p in prints], [p[1] for p in prints], list(map(len, sets))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "f1", "f2", "size", "elements"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_batches(docs, [id_col, text_col], run, f"id {kind}, f1 long, f2 long, elements binary")
+    return in_batches(docs, [id_col, text_col], run, f"id {kind}, f1 long, f2 long, size long, elements binary")
 
 
 class SetLinker:
     """Links among some sets: a spanning forest of the pairs (i, j) with
     100 * common >= percent * union."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None):
+        """``joined``: a number for each set; sets of one number are joined already."""
         self.percent = percent
         self.size = np.fromiter(map(len, sets), np.int64, len(sets))
         flat = np.concatenate([*sets, np.empty(0, np.uint64)])
@@ -280,6 +280,9 @@ class SetLinker:
         by = np.argsort(key, kind="stable")
         self.block_key, self.block_owner = key[by], owner[first][by]
         self.parent = np.arange(len(sets))
+        if joined is not None:
+            _, first, at = np.unique(joined, return_index=True, return_inverse=True)
+            self.parent = first[at]
         self.known: dict[int, np.ndarray] = {}
 
     def root(self, i: int) -> int:
@@ -342,54 +345,116 @@ class SetLinker:
 
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").combine_chunks()
+        nodes = table.column("node").combine_chunks()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
-        links = SetLinker(sets, percent).links()
-        pick = lambda k: ids.take(pa.array([x[k] for x in links], pa.int64()))
+        links = SetLinker(sets, percent, table.column("joined").to_numpy()).links()
+        pick = lambda k: nodes.take(pa.array([x[k] for x in links], pa.int64()))
         return pa.table({"a": pick(0), "b": pick(1)})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Sets to a chunk of the first pass, and how many of a group are its pivots (about).
+CHUNK, PIVOTS = 128, 16
+
+
+def first_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links inside chunks of each group (head, m, node), pivots in all of its chunks."""
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    pivot = F.pmod(F.xxhash64("head", "node"), F.col("m")) < PIVOTS
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    at = F.when(pivot & (chunks > 1), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))
+    dealt = groups.where("m > 1").select("head", "node", at.alias("at")).join(sets, "node").select("head", F.explode("at").alias("i"), "node", "elements", F.col("node").alias("joined"))
+    return dealt.groupBy("head", "i").applyInArrow(_compare(percent), "a long, b long")
+
+
+def outsiders(groups: DataFrame, component: DataFrame) -> DataFrame:
+    """(head, node, joined, own, other): the members of groups of several chunks
+    with several components. ``own`` is a member's chunk, ``other`` the chunks
+    it must still be compared with: pairs of a chunk outside the group's largest
+    component with any chunk."""
+    wide = groups.where(F.col("m") > CHUNK).select("head", "node")
+    held = materialise(wide.join(component, "node", "left").select("head", "node", F.coalesce("component", "node").alias("joined")), "wide")
+    of = held.groupBy("head", "joined").agg(F.count(F.lit(1)).alias("n"))
+    main = of.groupBy("head").agg(F.max(F.struct("n", "joined")).alias("main"), F.sum("n").alias("m"))
+    main = main.select("head", F.col("main.joined").alias("main"), F.col("main.n").alias("inside"), (F.col("m") - F.col("main.n")).alias("outside")).where("outside > 0")
+    size = F.least(F.greatest(F.lit(64), F.ceil((F.col("inside") + F.col("outside")) / 40)), F.lit(2048))
+    parts = main.select("head", "main", F.ceil(F.col("outside") / size).cast("int").alias("co"), F.ceil(F.col("inside") / size).cast("int").alias("ci"))
+    dealt = held.join(parts, "head").withColumn("out", F.col("joined") != F.col("main"))
+    own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("co"))).otherwise(F.col("co") + F.pmod(F.xxhash64("node"), F.col("ci"))).cast("int")
+    other = F.when(F.col("out"), F.sequence(F.lit(0), F.col("co") + F.col("ci") - 1)).otherwise(F.sequence(F.lit(0), F.col("co") - 1))
+    return dealt.select("head", "node", "joined", own.alias("own"), other.alias("other"))
+
+
+def cross_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of what ``outsiders`` deals out."""
+    dealt = dealt.join(sets, "node").withColumn("other", F.explode("other"))
+    dealt = dealt.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "elements", "joined")
+    return dealt.groupBy("head", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+
+
+def ties_of_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): ties between the sets of each id that has several."""
+    rows = rows.where("size > 0 AND id IS NOT NULL")
+    mark = F.xxhash64("f1", "f2", "size")
+    several = materialise(rows.groupBy("id").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("id"), "several")
+    sets = rows.join(several, "id").join(classes, ["f1", "f2", "size"]).select("id", "node").distinct()
+    return sets.join(sets.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``.
 
     Two documents link when 100 * |common n-grams| >= percent * |all n-grams|;
     the component is the least id reachable by links, the row's own included. A
     null or empty text has no n-grams and links with nothing, not even with
-    another of its kind. Rows of one id are one document (with different texts
-    they count as linked). A row without an id belongs to its exact copies'
-    component if they have ids, else its component is null. An empty table
-    gives an empty result; other columns are not read. Sets are compared by
-    64-bit hashes of their elements.
+    another of its kind. Rows of one id are one document: with different texts
+    it has the links of them all. Rows without an id link like others, but their
+    component has the least id of those that have one, or is null. An empty
+    table gives an empty result; other columns are not read. Sets are compared
+    by 64-bit hashes of their elements.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     bits = bucket_bits(docs)
     described = materialise(describe(docs, n, bits, id_col, text_col), "described", wide_cells=True)
     sketch = spark.sparkContext.broadcast(frequency_sketch(described, bits))
     rows = described.where("size IS NOT NULL").select("id", "size", "f1", "f2")
-    classes = materialise(rows.where("size > 0 AND id IS NOT NULL").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes")
-
-    firsts = prefixes(docs, n, percent, sketch, id_col, text_col).join(classes.select("f1", "f2", F.col("rep").alias("id")), ["id", "f1", "f2"])
-    firsts = materialise(firsts.select("id", "prefix"), "prefixes")
-    tokens = firsts.select(F.explode("prefix").alias("token"), "id")
-    heads = tokens.groupBy("token").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialise(tokens.join(heads.select("token", "head"), "token").select("head", "id").distinct(), "groups")
+    # A class is a set, however many rows have it. Its number is written, so it cannot change.
+    classes = rows.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    key = ["f1", "f2", "size"]
+
+    firsts = prefixes(docs, n, percent, sketch, text_col).dropDuplicates(key).join(classes.select(*key, "node"), key)
+    firsts = materialise(firsts.select("node", "prefix"), "prefixes")
+    tokens = firsts.select(F.explode("prefix").alias("token"), "node")
+    heads = tokens.groupBy("token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialise(tokens.join(heads.select("token", "head"), "token").select("head", "node").distinct(), "groups")
     sketch.destroy()
-
-    wanted = materialise(groups.select("id").distinct(), "wanted")
-    sets = whole_sets(docs.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), n, id_col, text_col)
-    sets = sets.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["id", "f1", "f2"]).select("id", "elements").dropDuplicates(["id"])
-    # 64 documents of a group to a chunk; from 2,560 on the chunks grow, to 2,048 at most.
-    per_head = groups.groupBy("head").agg(F.count(F.lit(1)).alias("m"))
-    chunks = F.greatest(F.least(F.ceil(F.col("m") / 64), F.lit(40)), F.ceil(F.col("m") / 2048)).cast("int")
-    dealt = groups.join(per_head.where("m > 1").select("head", chunks.alias("c")), "head").withColumn("i", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
-    dealt = dealt.join(sets, "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    dealt = dealt.select("head", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "elements")
-    links = dealt.groupBy("head", "i", "j").applyInArrow(_compare(percent), f"a {kind}, b {kind}")
-
-    component = connected_components(links)
-    label = classes.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "size", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(label, ["f1", "f2", "size"], "left")
+    groups = materialise(groups.join(groups.groupBy("head").agg(F.count(F.lit(1)).alias("m")), "head"), "groups")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, elements), each from one of the rows that have the set."""
+        wanted = nodes.select("node").distinct().join(classes, "node").select(*key, "node", "rep")
+        texts = docs.join(wanted.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
+        if has_nameless:
+            texts = texts.select(id_col, text_col).union(docs.where(F.col(id_col).isNull()).select(id_col, text_col))
+        return whole_sets(texts, n, id_col, text_col).join(wanted.drop("rep"), key).select("node", "elements").dropDuplicates(["node"])
+
+    has_nameless = not classes.where("rep IS NULL").isEmpty()
+    links = materialise(first_links(groups, sets_of(materialise(groups.select("node").distinct(), "wanted")), percent), "links")
+    component = materialise(connected_components(links.union(ties_of_ids(rows, classes))), "components")
+    dealt = materialise(outsiders(groups, component), "outsiders")
+    if not dealt.isEmpty():
+        cross = materialise(cross_links(dealt, sets_of(dealt), percent), "links")
+        ends = [component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab"]
+        cross = cross.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+        joined = connected_components(cross).select(F.col("node").alias("component"), F.col("component").alias("new"))
+        lone = joined.join(component.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("new").alias("component"))
+        moved = component.join(joined, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        component = materialise(moved.union(lone), "components")
+
+    named = component.join(classes.select("node", "rep"), "node")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    label = classes.join(named.select("node", "component").join(least, "component").select("node", "component_id"), "node", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.join(label, key, "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
