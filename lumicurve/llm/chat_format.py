@@ -30,17 +30,18 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def turn_tokens(text: Column) -> Column:
-    """A bound on a turn's tokens: one for four bytes, and eight for the template."""
-    return F.floor((F.octet_length(text) + 3) / 4) + 8
+def turn_tokens(role: Column, text: Column) -> Column:
+    """A bound on the tokens of a formatted turn: its bytes. A byte-level
+    tokenizer gives no more ids than that, whatever the text."""
+    return F.octet_length(escape(role)) + F.octet_length(escape(text)) + len(OPEN + TEXT + END_TEXT + CLOSE)
 
 
 def chat_windows(
     turns: DataFrame,
-    budget: int = 1024,
-    system_tokens: int = 256,
+    budget: int = 4096,
+    system_tokens: int = 1024,
     history_turns: int = 2,
-    history_tokens: int = 256,
+    history_tokens: int = 1024,
     tokens: Column | None = None,
     conv_col: str = "conv_id",
     turn_col: str = "turn",
@@ -60,15 +61,16 @@ def chat_windows(
     Turns are ordered by turn, then role and text; repeated rows are turns of
     their own. Null roles and texts are empty, a null turn comes first, rows
     with a null id are one conversation. An empty table gives no windows; other
-    columns are not read. ``tokens`` overrides the token bound; it may use the
-    columns _role and _text.
+    columns are not read. A turn counts as the bytes of its formatted text, which
+    no byte-level tokenizer exceeds; ``tokens`` overrides that with a narrower
+    bound and may use the columns _role and _text.
     """
     stride = (budget - system_tokens - history_tokens) // 2
     if stride < 1:
         raise ValueError("system turn and history leave no room in the budget")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("_id"), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_role"), text.alias("_text"))
-    rows = rows.withColumn("_tokens", (turn_tokens(F.col("_text")) if tokens is None else tokens).cast("long"))
+    rows = rows.withColumn("_tokens", (turn_tokens(F.col("_role"), F.col("_text")) if tokens is None else tokens).cast("long"))
     in_order = Window.partitionBy("_id").orderBy("_turn", "_role", "_text")
     rows = rows.withColumn("_n", F.row_number().over(in_order)).withColumn("_to", F.sum("_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_stride", F.floor((F.col("_to") - 1) / stride)).withColumn("_before", F.lag("_stride").over(in_order))
