@@ -40,6 +40,8 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 
 #: Features: hashed byte trigrams and four-grams, half of the buckets for each.
 BUCKETS = 2048
+#: Features, which are 0 to 1, leave tasks in steps of this fraction.
+UNIT = 65535
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -71,23 +73,27 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
     return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1))
 
 
-def linear_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, steps: int = 250) -> np.ndarray:
-    """Weights (the last one the bias) for squared hinge loss, classes balanced,
-    by accelerated gradient descent."""
-    x1 = np.column_stack([x, np.ones(len(x), np.float32)])
+def linear_svms(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, steps: int = 250) -> np.ndarray:
+    """Weights (the last one the bias) of a machine for each column of
+    ``positive``, for squared hinge loss, classes balanced, by accelerated
+    gradient descent; all machines take each step together."""
+    ones = np.ones(positive.shape[1], np.float32)
     sign = np.where(positive, 1.0, -1.0).astype(np.float32)
-    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
-    probe = np.ones(x1.shape[1], np.float32)
+    good = positive.sum(axis=0)
+    weight = np.where(positive, 0.5 / np.maximum(1, good), 0.5 / np.maximum(1, len(x) - good)).astype(np.float32)
+    score = lambda w: x @ w[:-1] + w[-1]
+    back = lambda v: np.vstack([x.T @ v, v.sum(axis=0)])
+    probe = np.ones((x.shape[1] + 1, len(ones)), np.float32)
     for _ in range(12):
-        probe = x1.T @ (weight * (x1 @ probe))
-        top = float(np.linalg.norm(probe))
-        probe /= max(top, 1e-12)
-    rate = 1 / (penalty + 2.2 * top)
-    w = ahead = np.zeros(x1.shape[1], np.float32)
+        probe = back(weight * score(probe))
+        top = np.linalg.norm(probe, axis=0)
+        probe /= np.maximum(top, 1e-12)
+    rate = (1 / (penalty + 2.2 * top)).astype(np.float32)
+    w = ahead = np.zeros_like(probe)
     t = 1.0
     for _ in range(steps):
-        gap = np.maximum(0, 1 - sign * (x1 @ ahead))
-        new = ahead - rate * (penalty * ahead - 2 * (x1.T @ (weight * sign * gap)))
+        gap = np.maximum(0, 1 - sign * score(ahead))
+        new = ahead - rate * (penalty * ahead - 2 * back(weight * sign * gap))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + np.float32((t - 1) / t_new) * (new - w)
         w, t = new, t_new
@@ -107,16 +113,16 @@ class LanguageModel:
     @classmethod
     def fit(cls, x: np.ndarray, langs: np.ndarray) -> "LanguageModel":
         mean = x.mean(axis=0)
-        x = x - mean
+        x -= mean
         family = np.array([FAMILY_OF.get(lang, lang) for lang in langs])
         names = sorted(set(family.tolist()))
-        weights = np.column_stack([linear_svm(x, family == f) for f in names]) if len(names) > 1 else np.zeros((x.shape[1] + 1, 1), np.float32)
+        weights = linear_svms(x, family[:, None] == np.array(names)) if len(names) > 1 else np.zeros((x.shape[1] + 1, 1), np.float32)
         languages, pairs = {}, {}
         for f in names:
             own = family == f
             languages[f] = sorted(set(langs[own].tolist()))
-            columns = [linear_svm(x[m], langs[m] == a) for a, b in combinations(languages[f], 2) for m in [own & np.isin(langs, [a, b])]]
-            pairs[f] = np.column_stack(columns) if columns else np.zeros((x.shape[1] + 1, 0), np.float32)
+            columns = [linear_svms(x[m], (langs[m] == a)[:, None]) for a, b in combinations(languages[f], 2) for m in [own & np.isin(langs, [a, b])]]
+            pairs[f] = np.hstack(columns) if columns else np.zeros((x.shape[1] + 1, 0), np.float32)
         return cls(mean, names, weights, languages, pairs)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -156,30 +162,42 @@ def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 1200, fewest: int = 5, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """A model of about ``per_language`` documents of each language, those with
-    the least hashed ids outside the held-out fold; languages with under
-    ``fewest`` are not learned, nor any beyond the ``most_languages`` most
-    frequent. None if there are none."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = [(r[0], r[1]) for r in rows.groupBy(lang_col).count().where(f"count >= {int(fewest)}").orderBy(F.desc("count"), lang_col).limit(most_languages).collect()]
+def train(docs: DataFrame, per_language: int = 1200, sample_rows: int = 9600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+    """A model of all languages outside the held-out fold. None if there are none.
+
+    The sample is bounded: about ``per_language`` documents of each language, or
+    as many fewer as ``sample_rows`` in all asks for, but one at least. It takes
+    those with the least hashes of id and text; repeated rows count once. Texts
+    stay in their tasks, only their features leave them.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col("_id").isNotNull() & F.col("_text").isNotNull() & F.col("_lang").isNotNull() & ~held_out("_id"))
+    rows = rows.select("_lang", "_text", F.xxhash64("_id", "_text").alias("_hash"))
+    span = float(2**64)
+    # The least hash of each language and its number of rows; shares of the range of hashes then bound the sample.
+    counts = [(r["_lang"], r["n"], r["least"]) for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.min("_hash").alias("least")).orderBy("_lang").collect()]
     if not counts:
         return None
-    unit = 1 << 30
-    share = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(unit, int(unit * per_language / n)))])
-    chosen = rows.where(F.pmod(F.xxhash64(id_col), F.lit(unit)) < F.try_element_at(share, F.col(lang_col))).select(text_col, lang_col)
+    each = max(1, min(per_language, sample_rows // len(counts)))
+    top = {lang: max(least, int(-(2**63) + span * min(1.0, each / n)) - 1) for lang, n, least in counts}
+    limits = rows.sparkSession.createDataFrame([(lang, min(x, 2**63 - 1)) for lang, x in top.items()], "_lang string, _top long")
+    chosen = rows.join(F.broadcast(limits), "_lang").where("_hash <= _top").select("_text", "_lang", "_hash")
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(features(b.column(0))), pa.list_(pa.float32()))], names=["lang", "x"])
+            fresh = [k for k, h in enumerate(b.column(2).to_pylist()) if h not in seen and not seen.add(h)]
+            b = b.take(pa.array(fresh, pa.int64()))
+            steps = np.round(features(b.column(0)) * UNIT).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([r.tobytes() for r in steps], pa.binary())], names=["lang", "hash", "x"])
 
-    sample = in_batches(chosen.limit(2 * per_language * len(counts)), [text_col, lang_col], run, "lang string, x array<float>").toArrow()
+    found = in_batches(chosen, ["_text", "_lang", "_hash"], run, "lang string, hash long, x binary").dropDuplicates(["lang", "hash"])
+    sample = found.toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
     if not len(sample):
         return None
-    x = np.concatenate([c.flatten().to_numpy().reshape(-1, BUCKETS) for c in sample.column("x").chunks if len(c)])
-    langs = np.array(sample.column("lang").to_pylist(), object)
-    order = np.lexsort((x.sum(axis=1), x[:, 0], langs.astype(str)))
-    return LanguageModel.fit(x[order], langs[order])
+    x = np.empty((len(sample), BUCKETS), np.float32)
+    for k, v in enumerate(sample.column("x")):
+        x[k] = np.frombuffer(v.as_buffer(), np.uint16)
+    return LanguageModel.fit(x / np.float32(UNIT), np.array(sample.column("lang").to_pylist(), object))
 
 
 def predict_batch(column: pa.Array, model: LanguageModel | None) -> tuple[list[str], np.ndarray]:
