@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,9 +73,9 @@ class PairTable:
 class MatrixBPE:
     """Ids of byte strings under a table of ranks (token bytes to id).
 
-    ``widest`` is the longest row of a matrix; a longer pre-token would take a
-    round for each of its merges over the whole row, so it is merged with a
-    heap instead, in the same order.
+    Rows of over ``widest`` bytes are not moved up as a whole in each round: they
+    are folded into blocks with the least rank of each block beside them, and
+    places point to their neighbours, so that a round touches a few blocks.
     """
 
     def __init__(self, ranks: dict[bytes, int], widest: int = 4096, cells: int = 1 << 20, pairs: list[tuple[int, int, int]] | None = None):
@@ -104,7 +103,7 @@ class MatrixBPE:
             width = max(width, 1 << int(lengths[order[start]] - 1).bit_length())
             if width > self.widest:
                 for i in order[start:]:
-                    out[i] = self._by_heap(items[i])
+                    out[i] = self._merge_folded(items[i])
                 break
             end = int(np.searchsorted(lengths[order], width, "right"))
             step = max(1, self.cells // width)
@@ -151,33 +150,46 @@ class MatrixBPE:
             before = np.flatnonzero(best > 0)
             ranks[before, best[before] - 1] = self.pairs.lookup(ids[before, best[before] - 1], rank[before])
 
-    def _by_heap(self, item: bytes) -> np.ndarray:
-        ids = self.byte_ids[np.frombuffer(item, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs.lookup(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
-        heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        one = np.empty(1, np.int32)
-
-        def push(i: int, j: int) -> None:
-            if i >= 0 and j < n:
-                one[0] = ids[j]
-                r = int(self.pairs.lookup(np.array([ids[i]], np.int32), one)[0])
-                if r != NONE:
-                    heapq.heappush(heap, (r, i, ids[i], ids[j]))
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(before[i], i)
-            push(i, after[i])
-        return np.array([x for x in ids if x >= 0], np.uint32)
+    def _merge_folded(self, item: bytes) -> np.ndarray:
+        """Ids of one long row, folded into a matrix of blocks. Each round takes
+        the leftmost pair of minimum rank; when half of the places are merged
+        away, the row is compacted and folded anew."""
+        ids = self.byte_ids[np.frombuffer(item, np.uint8)]
+        pair = np.empty((2, 2), np.int32)
+        while True:
+            n = len(ids)
+            width = max(8, int(n**0.5))
+            ranks = np.full((-(-n // width), width), NONE, np.int32)
+            flat = ranks.reshape(-1)
+            flat[: n - 1] = self.pairs.lookup(ids[:-1], ids[1:])
+            least = ranks.min(axis=1)
+            after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+            alive = np.ones(n, bool)
+            for left in range(n - 1, max(n // 2, 1) - 1, -1):
+                block = int(least.argmin())
+                rank = int(least[block])
+                if rank == NONE:
+                    return ids[alive].astype(np.uint32)
+                i = block * width + int(ranks[block].argmin())
+                j = int(after[i])
+                k, h = int(after[j]), int(before[i])
+                ids[i], alive[j], flat[j] = rank, False, NONE
+                after[i] = k
+                if k < n:
+                    before[k] = i
+                pair[:] = -1
+                pair[0] = rank, ids[k] if k < n else -1
+                if h >= 0:
+                    pair[1] = ids[h], rank
+                found = self.pairs.lookup(pair[:, 0], pair[:, 1])
+                flat[i] = found[0]
+                if h >= 0:
+                    flat[h] = found[1]
+                for x in {i // width, j // width, max(h, 0) // width}:
+                    least[x] = ranks[x].min()
+            ids = ids[alive]
+            if len(ids) < 2:
+                return ids.astype(np.uint32)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes that the ids stand for."""
