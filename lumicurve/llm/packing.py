@@ -86,8 +86,8 @@ class FileEncoder:
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32 (with ids: the
-    ids as little-endian unsigned 32-bit bytes too, and a number of the row)."""
+    """One row per piece: id, piece, start, length, ids_crc32 and a number of its
+    own (with ids: the ids as little-endian unsigned 32-bit bytes too)."""
 
     def run(batches):
         encoder = FileEncoder.of(tokenizer_path)
@@ -107,16 +107,17 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                     crc.append(zlib.crc32(own))
                     if with_ids:
                         kept.append(own)
-            columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
-            names = [id_col, "piece", "start", "length", "ids_crc32"]
+            numbers = range(made, made + len(row))
+            made += len(row)
+            columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc, numbers))]
+            names = [id_col, "piece", "start", "length", "ids_crc32", "_row"]
             if with_ids:
-                columns += [pa.array(kept, pa.binary()), pa.array(range(made, made + len(row)), pa.int64())]
-                names += ["ids", "_row"]
-                made += len(row)
+                columns.append(pa.array(kept, pa.binary()))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary, _row long" * with_ids
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _row long" + ", ids binary" * with_ids
     return in_batches(docs, [id_col, text_col], run, schema)
 
 
@@ -167,18 +168,19 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     result; other columns are not read.
 
     The pieces (numbers only) are written to the shared folder, dealt by the
-    hash of id and piece to one packer per ``pieces_per_packer``, and packed in
-    the order of that hash; each ``lot`` of them is taken longest first, which
-    fills sequences better. ``open_bins`` bounds a packer's memory. Sequences
+    hash of piece and row to one packer per ``pieces_per_packer``, and packed in
+    the order of that hash. With a ``lot`` of 1 that is online best fit; with
+    more, each ``lot`` of pieces is taken longest first, a look-ahead beside the
+    method that fills sequences better. ``open_bins`` bounds a packer's memory. Sequences
     are filled from offset 0 without gaps. ``with_ids`` adds the ids (bytes of
     little-endian unsigned 32-bit numbers); they never go to the few packers,
     their places are joined to them.
     """
     pieces = materialise(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces", wide_cells=with_ids)
     packers = max(1, -(-pieces.count() // pieces_per_packer))
-    order = F.xxhash64(F.col(f"`{id_col}`"), "piece", "ids_crc32")
+    order = F.xxhash64(F.col(f"`{id_col}`"), "piece", "ids_crc32", "_row")
     light = pieces.drop("ids")
-    dealt = light.withColumn("_order", order).repartition(packers, "_order").sortWithinPartitions("_order", id_col, "piece").drop("_order")
+    dealt = light.withColumn("_order", order).repartition(packers, "_order").sortWithinPartitions("_order", "_row").drop("_order")
 
     def run(batches):
         fit = BoundedBestFit(capacity, open_bins)
@@ -205,6 +207,6 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema.fields)
     placed = dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
     if not with_ids:
-        return placed
+        return placed.drop("_row")
     placed = materialise(placed.select("_row", "sequence_id", "offset"), "places")
     return pieces.join(placed, "_row").drop("_row")
