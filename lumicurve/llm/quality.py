@@ -229,7 +229,9 @@ def grow(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, de
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> BoostedTrees | None:
     """Trees from at most ``sample_rows`` labelled documents, those whose hashed
-    id comes first. None if the sample does not hold both labels."""
+    id comes first; of rows that repeat an id, the one with the least
+    statistics. Texts stay in their tasks. None if the sample does not hold both
+    labels."""
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
     chosen = chosen.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     spark = docs.sparkSession
@@ -237,15 +239,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, id_col: s
     if not rows:
         return None
     known = spark.createDataFrame(rows, f"_id {labels.schema[id_col].dataType.simpleString()}, _label double")
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").limit(2 * sample_rows)
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
 
     def run(batches):
         hasher = SegmentHash()
         for b in batches:
             s = statistics(b.column(0), hasher)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(s.features), pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(list(s.features), pa.list_(pa.float64()))], names=["id", "label", "x"])
 
-    sample = in_batches(found, ["_text", "_label"], run, "label double, x array<double>").toArrow()
+    kind = labels.schema[id_col].dataType.simpleString()
+    sample = in_batches(found, ["_text", "_id", "_label"], run, f"id {kind}, label double, x array<double>").groupBy("id").agg(F.min(F.struct("x", "label")).alias("v")).select("v.x", "v.label").toArrow()
     y = sample.column("label").to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return None
