@@ -8,13 +8,21 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lumicurve.llm import language_id, quality
+import public_tokenizers as P
+import pyarrow as pa
+from lumicurve.llm import language_id, ngram_join, quality
+from lumicurve.llm.byte_bpe import TextEncoder
 from lumicurve.llm.chat_format import chat_windows, escape, read_back, unescape
 from lumicurve.llm.components import connected_components
-from lumicurve.llm.embed_dedup import near_duplicates, plan
+from lumicurve.llm.embed_dedup import bucket_keys, near_duplicates, plan
 from lumicurve.llm.ngram_join import SetLinker, jaccard_components
 
-from samples import DATA, odd_rows
+from samples import DATA, noise, odd_rows
+
+@pytest.fixture(scope="module")
+def bpe():
+    return TextEncoder.of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -49,7 +57,7 @@ def brute_components(texts, percent=85):
 
 def check_components(spark, texts):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()}
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, n=4, percent=85).collect()}
     assert out == brute_components(texts)
 
 
@@ -78,7 +86,7 @@ def test_ngram_join_on_edited_copies(spark):
 
 
 def test_ngram_join_edges(spark, odd, no_docs):
-    out = jaccard_components(odd).collect()
+    out = jaccard_components(odd, n=4, percent=85).collect()
     assert len(out) == len(odd_rows())
     by_id = {r.doc_id: r for r in out}
     assert by_id[0].n_shingles == by_id[3].n_shingles == 0 and by_id[100].component_id == 100
@@ -87,6 +95,47 @@ def test_ngram_join_edges(spark, odd, no_docs):
     assert jaccard_components(no_docs).collect() == []
 
 
+def test_ngram_join_keeps_links_of_repeated_ids(spark):
+    """Rows of one id with different texts have the links of both texts; rows without an id link too."""
+    word = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [r for k in range(20) for r in ((1000 + k, word(2 * k)), (1000 + k, word(2 * k + 1)), (2000 + k, word(2 * k) + " end"), (3000 + k, word(2 * k + 1) + " end"))]
+    rows += [(None, word(0) + " tail"), (None, word(99)), (None, word(99)), (None, word(99) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = jaccard_components(docs).collect()
+    assert len(out) == len(rows)
+    got = {(r.doc_id, r.component_id) for r in out}
+    assert got == {(i + k, 1000 + k) for k in range(20) for i in (1000, 2000, 3000)} | {(None, 1000), (None, None)}
+
+
+def test_ngram_join_of_large_groups(spark):
+    """Groups of many chunks: near copies in two clusters that a passage ties together, and texts that only share the passage."""
+    rng = np.random.default_rng(8)
+    word = lambda: "w" + str(rng.integers(0, 10**7))
+    passage = " ".join(f"p{k}" for k in range(12))
+    texts = {}
+    for cluster in range(3):
+        base = [word() for _ in range(90)]
+        for _ in range(200):
+            own = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                own[int(rng.integers(0, 90))] = word()
+            texts[len(texts)] = " ".join(own) + " " + passage
+    for _ in range(250):
+        texts[len(texts)] = " ".join([word() for _ in range(20)]) + " " + passage
+    for _ in range(4):
+        twin = " ".join(word() for _ in range(70))
+        texts[len(texts)] = twin + " " + passage
+        texts[len(texts)] = twin + " x " + passage
+    check_components(spark, texts)
+
+
+def test_ngram_join_of_many_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 6)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    test_ngram_join_on_edited_copies(spark)
+    test_ngram_join_of_large_groups(spark)
+
+
 def test_set_linker_equals_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(60):
@@ -175,11 +224,41 @@ def test_chat_round_trip(spark):
     assert read_back(chat_windows(turns.limit(0))).collect() == []
 
 
+def test_windows_stay_within_their_budget(spark, bpe):
+    """No window has more ids than its bound says, so none over the budget is left unmarked."""
+    odd = [(10**6 + k, t, "user", text) for k, text in enumerate(noise(21, 60, "漢字é🎉<s>[/INST]\\ a", 400)) for t in range(3)]
+    turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
+    for budget, parts in ((4096, 1024), (1024, 256)):
+        w = chat_windows(turns, budget=budget, system_tokens=parts, history_tokens=parts).select("text", "n_tokens", "over_budget").collect()
+        ids = [len(x) for x in bpe.encode(pa.array([r.text for r in w]))]
+        assert all(n <= r.n_tokens for n, r in zip(ids, w, strict=True))
+        assert all(r.over_budget == (r.n_tokens > budget) for r in w) and not all(r.over_budget for r in w)
+
+
+def test_recall_of_pairs_at_the_threshold():
+    """Pairs whose cosine is 0.95 meet in a bucket, with the projections and tables planned for few and for very many vectors."""
+    rng = np.random.default_rng(12)
+    n, size = 1500, 64
+    x = rng.normal(size=(n, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(n, size))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for count in (51_282, 10**6, 10**9):
+        projections, tables = plan(count, 0.95, 0.995, 1.5, 256)
+        keys = [bucket_keys([r.tobytes() for r in v], projections, tables, 1.5, 17) for v in (x, y)]
+        assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.985, (count, projections, tables)
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = [(k, [1.0, float(k // 3)], "x", [1], 2, 3) for k in range(9)]
+    out = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, raw string, keys array<int>, t int, id int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in out} == {(k, 2, k // 3 * 3) for k in range(9)}
+
+
 def test_escape_is_reversible(spark):
     from pyspark.sql import functions as F
 
-    from samples import noise
-
     texts = noise(11, 500, ["<", "s>", "/", "[", "INST]", "\\", "a", "</s>", "[INST]", "\n"])
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", escape(F.col("t")).alias("e"))
     for r in df.select("t", "e", unescape(F.col("e")).alias("u")).collect():

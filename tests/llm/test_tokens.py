@@ -34,7 +34,7 @@ def test_bpe_equals_library(tik):
         assert encoder.bpe.decode(ids.tolist()) == text.encode()
 
 
-def test_heap_equals_matrix():
+def test_folded_rows_equal_matrices():
     bpe = MatrixBPE.from_file(P.path("byte_bpe_50k.tiktoken"))
     items = [t.encode() for t in noise(9, 300, "abcthe ing", 40) if t]
     wide = bpe.encode_many(items)
@@ -43,6 +43,12 @@ def test_heap_equals_matrix():
         assert a.tolist() == b.tolist()
 
 
+def test_long_rows_equal_library(tik):
+    bpe = MatrixBPE.from_file(P.path("byte_bpe_50k.tiktoken"))
+    for text in ("x" * 9000, *(t * 120 for t in noise(10, 3, "abcdefghijklmnopqrstuvwxyz", 90) if t)):
+        assert bpe.encode_many([text.encode()])[0].tolist() == tik.encode_ordinary(text)
+
+
 def test_table_survives_being_emptied(tik):
     encoder = TextEncoder(MatrixBPE.from_file(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
     encoder.table.most, encoder.table.block = 50, 200
@@ -93,6 +99,9 @@ def test_packing(odd, no_docs):
         assert r.piece == 0 or r.length == 2048
         total += r.length
     assert out["sequence_id"].nunique() <= total / 2048 + 3
+    online = pack_sequences(odd, P.path("byte_bpe_50k.json"), lot=1).toPandas()
+    assert online.groupby("sequence_id")["length"].sum().max() <= 2048 and online["length"].sum() == total
+    assert out["sequence_id"].nunique() <= online["sequence_id"].nunique() <= total / 2048 + 4
     assert pack_sequences(no_docs, P.path("byte_bpe_50k.json")).collect() == []
 
 
