@@ -32,15 +32,28 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (Jaccard similarity of 0.8 or more over
     five-word n-grams) the document with the least id; of rows that repeat an
-    id, one. Rows without an id stay, there is no telling which to keep."""
+    id, the one with the least text. Rows without an id are documents of their
+    own, behind all that have one."""
+    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return _first_of_groups(named)
+    # Numbers above all real ids stand for missing ones, written so that they cannot change.
+    number = (F.lit(1 << 62) + F.monotonically_increasing_id()).cast(docs.schema["doc_id"].dataType)
+    numbered = materialise(nameless.withColumn("doc_id", number), "nameless")
+    kept = _first_of_groups(named.unionByName(numbered))
+    return kept.withColumn("doc_id", F.when(F.col("doc_id") < (1 << 62), F.col("doc_id")))
+
+
+def _first_of_groups(docs: DataFrame) -> DataFrame:
     stay = jaccard_components(docs, n=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
+    named = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
     repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
-        return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
+        return named
     once = named.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    first = named.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.union(first).union(docs.where("doc_id IS NULL"))
+    row = F.struct("text", *[c for c in docs.columns if c != "text"])
+    first = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
+    return once.union(first.select([F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
