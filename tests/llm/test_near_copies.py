@@ -51,3 +51,25 @@ def test_stage_equals_brute_force_on_documents(spark, sample_texts):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, DATA).collect()}
     assert out == brute_stay(sample_texts)
+
+
+def test_stage_on_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, copies of each other."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(50))
+    rows = [(1, text(1)), (2, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (None, text(2) + " end"), (3, text(3)), (3, text(4)), (5, text(4)), (6, None), (7, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.one_of_each_group(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    nameless = [t for i, t in got if i == 0]
+    assert len(nameless) == 2 and "" in nameless and nameless[1] in (text(2), text(2) + " end")
+    assert [r for r in got if r[0]] == [(1, text(1)), (3, text(3)), (6, ""), (7, ""), (8, "")]
+
+
+def test_all_stages_on_odd_rows(spark, odd):
+    docs = odd.selectExpr("doc_id", "text", "'en' AS lang", "source", "doc_id AS n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns, name
+        docs = out if name != "quality_rules" else docs
+    assert out.count() > 0
