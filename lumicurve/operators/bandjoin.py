@@ -75,25 +75,47 @@ def sky_join(left: DataFrame, right: DataFrame, left_sky: tuple[str, str], right
 
 
 def best_match(pairs: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """The first pair of each key in the given order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return pairs.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-
-
-def asof_nearest(left: DataFrame, right: DataFrame, left_id: str, left_time: str, right_time: str, payload: Sequence[str], on: Sequence[str] = ()) -> DataFrame:
-    """For each left row the right row nearest in time, the earlier one on ties.
-
-    Both sides merge in one ordered window that carries the last row before and
-    the first one behind, so the cost is a sort whatever the gaps are.
+    """The first pair of each key in the given ascending order (nulls first), by
+    a minimum that is combined before the shuffle."""
+    rest = [c for c in pairs.columns if c != key]
+    best = pairs.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
+    return best.select(*[F.col(c) if c == key else F.col("_best")[c].alias(c) for c in pairs.columns])
+
+
+def neighbours(rows: DataFrame, on: Sequence[str], time: str, mark: str, span: float = 3600.0) -> DataFrame:
+    """Add ``_a``, the ``mark`` of the last marked row at or before each row's
+    time, and ``_b``, that of the first one behind it.
+
+    ``mark`` is a struct that begins with the time, null on rows that only look
+    for others. Rows are dealt by ``on`` and stretches of ``span``; what holds
+    at a stretch's edges comes from one row per stretch. Both passes run from
+    the start of their order, so the cost is a sort whatever the gaps are. Of
+    marks of one time the least counts.
     """
-    fields = [F.col(c) for c in payload]
-    known = F.struct(F.col(right_time).alias("t"), *fields)
+    keys = [*on, "_part"]
+    rows = rows.withColumn("_part", F.floor(F.col(time) / span))
+    marked = F.when(F.col(mark).isNotNull(), F.struct(-F.col(time), F.col(mark)))
+    edges = rows.groupBy(*keys).agg(F.min_by(mark, marked).alias("_hi"), F.min(mark).alias("_lo"))
+    up = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*on).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in keys], F.last("_hi", ignorenulls=True).over(up).alias("_before"), F.last("_lo", ignorenulls=True).over(down).alias("_behind"))
+    looks = F.col(mark).isNull().cast("int")
+    back = Window.partitionBy(*keys).orderBy(F.col(time), looks, F.desc(mark)).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(looks), F.desc(mark)).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in keys]
+    both = rows.join(edges, same, "left").select(*rows.columns, "_before", "_behind")
+    both = both.withColumn("_a", F.last(mark, ignorenulls=True).over(back)).withColumn("_b", F.last(mark, ignorenulls=True).over(ahead))
+    return both.withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_behind")).drop("_part", "_before", "_behind")
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, left_id: str, left_time: str, right_time: str, payload: Sequence[str], on: Sequence[str] = (), span: float = 3600.0) -> DataFrame:
+    """For each left row the right row nearest in time, the earlier one on ties;
+    null where there is none. ``span``: the stretch of time dealt to a task."""
+    known = F.struct(F.col(right_time).alias("t"), *[F.col(c) for c in payload])
     # The columns that name the rows are made up here, so none of the frames' own can clash.
     lhs = left.select(*on, F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.col(left_id).alias("_id"), F.lit(None).cast(right.select(known.alias("k")).schema["k"].dataType).alias("_k"))
     rhs = right.select(*on, F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(left.schema[left_id].dataType).alias("_id"), known.alias("_k"))
-    back = Window.partitionBy(*on).orderBy(F.col("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*on).orderBy(F.col("_t"), F.desc("_side")).rowsBetween(0, Window.unboundedFollowing)
-    m = lhs.unionByName(rhs).withColumn("_a", F.last("_k", ignorenulls=True).over(back)).withColumn("_b", F.first("_k", ignorenulls=True).over(ahead)).where("_side = 0")
+    m = neighbours(lhs.unionByName(rhs), on, "_t", "_k", span).where("_side = 0")
     use_b = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col("_b.t") - F.col("_t") < F.col("_t") - F.col("_a.t")))
     pick = F.when(use_b, F.col("_b")).otherwise(F.col("_a"))
     return m.select(*on, F.col("_id").alias(left_id), F.abs(pick["t"] - F.col("_t")).alias("dt"), *[pick[c].alias(c) for c in payload])

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumicurve.operators.bandjoin import neighbours
 from lumicurve.operators.series import Names, _list, convolve, detrend, indexed, ricker, trim_zeros
 
 
@@ -74,17 +79,17 @@ def align_by_index(scores: DataFrame, scope: str, index: str = "i", score: str =
     return scores.join(F.broadcast(n)).where(F.col(index) <= F.col("_last")).drop("_last").withColumn(score, F.coalesce(score, F.lit(0.0)))
 
 
-def align_by_time(reference: DataFrame, other: DataFrame, key: Names, time: str, score: str, out: str = "aligned") -> DataFrame:
+def align_by_time(reference: DataFrame, other: DataFrame, key: Names, time: str, score: str, out: str = "aligned", span: float = 3600.0) -> DataFrame:
     """The other stream's score at the reference's times by linear
-    interpolation, 0 outside of it. Both streams merge in one ordered window."""
+    interpolation, 0 outside of it. Both streams merge in ordered stretches of
+    ``span``."""
     keys = _list(key)
-    both = reference.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_ref"), F.lit(None).cast("double").alias("_v")).unionByName(other.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_ref"), F.col(score).cast("double").alias("_v")))
-    w = Window.partitionBy(*keys).orderBy("_t", "_ref")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("_ref") == 0, F.struct("_t", "_v"))
-    m = both.withColumn("_a", F.last(known, ignorenulls=True).over(back)).withColumn("_b", F.first(known, ignorenulls=True).over(ahead)).where("_ref = 1")
+    mark = F.struct(F.col(time).alias("_t"), F.col(score).cast("double").alias("_v"))
+    marks = other.select(*keys, F.col(time).alias("_t"), mark.alias("_k"))
+    both = reference.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(marks.schema["_k"].dataType).alias("_k")).unionByName(marks)
+    m = neighbours(both, keys, "_t", "_k", span).where("_k IS NULL")
     a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
-    value = F.when(a["_t"] == t, a["_v"]).when(a.isNull() | b.isNull(), 0.0).when(b["_t"] == a["_t"], a["_v"]).otherwise(a["_v"] + (b["_v"] - a["_v"]) * (t - a["_t"]) / (b["_t"] - a["_t"]))
+    value = F.when(a["_t"] == t, a["_v"]).when(a.isNull() | b.isNull(), 0.0).otherwise(a["_v"] + (b["_v"] - a["_v"]) * (t - a["_t"]) / (b["_t"] - a["_t"]))
     return m.select(*keys, t.alias(time), F.coalesce(value, F.lit(0.0)).alias(out))
 
 
@@ -99,28 +104,63 @@ def and_policy(peaks: DataFrame, key: Names, threshold: float, spread: int = 8)
     return agg.withColumn("detected", F.col("_all") & (F.col("least") >= threshold) & (F.col("spread") <= spread)).drop("_all")
 
 
-def kernel_match(events: DataFrame, kernels: DataFrame, first: int = -3, last: int = 2, gain: float = 0.82, bank_rows: int = 100_000) -> DataFrame:
+def kernel_match(events: DataFrame, kernels: DataFrame, first: int = -3, last: int = 2, gain: float = 0.82, block: int = 100_000) -> DataFrame:
     """The best template of each event: (event_id, kernel_id, offset, chi).
 
     ``events``: event_id, center, flux (array, normalised), median;
     ``kernels``: kernel_id, curve. A template is laid on the flux from
     center + offset less half its length; its distance is the sum of absolute
     differences over Poisson-like errors. Ties go to the lower kernel and
-    offset. The bank is broadcast if it holds at most ``bank_rows`` templates,
-    which is checked; a larger one is joined after a repartitioning.
+    offset. Templates are sent to the tasks in blocks of at most about ``block``
+    (by their hashed id), each of which meets the events in Arrow batches; the
+    least of all blocks is taken. Events that no template fits into, and null
+    arrays or ones with nulls, have no row.
     """
-    bank = F.broadcast(kernels) if kernels.limit(bank_rows + 1).count() <= bank_rows else kernels.repartition("kernel_id")
-    pairs = events.join(bank).withColumn("offset", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    start = F.col("center") + F.col("offset") - F.floor(F.size("curve") / 2)
-    part = F.slice("flux", (start + 1).cast("int"), F.size("curve"))
-    pairs = pairs.where((start >= 0) & (start + F.size("curve") <= F.size("flux"))).withColumn("part", part)
-    noise = lambda f: F.sqrt(F.abs(f) / F.col("median") / gain) * gain
-    sigma = lambda f: F.when(noise(f) == 0, 0.01).otherwise(noise(f))
-    chi = F.aggregate(F.zip_with("part", "curve", lambda f, c: F.abs(f - c) / sigma(f)), F.lit(0.0), lambda a, x: a + x)
-    best = pairs.select("event_id", F.struct(chi.alias("chi"), "kernel_id", "offset").alias("m")).groupBy("event_id").agg(F.min("m").alias("m"))
+    spark = events.sparkSession
+    blocks = max(1, -(-kernels.count() // block))
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    found = [_match_block(events.where(whole("flux")), kernels.where(whole("curve") & (F.pmod(F.xxhash64("kernel_id"), F.lit(blocks)) == k)), first, last, gain) for k in range(blocks)]
+    best = found[0]
+    for f in found[1:]:
+        best = best.union(f)
+    best = best.groupBy("event_id").agg(F.min(F.struct("chi", "kernel_id", "offset")).alias("m"))
     return best.select("event_id", F.col("m.kernel_id").alias("kernel_id"), F.col("m.offset").alias("offset"), F.col("m.chi").alias("chi"))
 
 
+def _match_block(events: DataFrame, kernels: DataFrame, first: int, last: int, gain: float) -> DataFrame:
+    """The best template of each event out of one block of templates."""
+    bank = kernels.select("kernel_id", F.col("curve").cast("array<double>").alias("curve")).orderBy("kernel_id").collect()
+    by_size: dict[int, tuple[list, list]] = {}
+    for r in bank:
+        ids, curves = by_size.setdefault(len(r["curve"]), ([], []))
+        ids.append(r["kernel_id"])
+        curves.append(r["curve"])
+    shared = events.sparkSession.sparkContext.broadcast({n: (ids, np.array(curves)) for n, (ids, curves) in by_size.items() if n})
+    kinds = {"event_id": events.schema["event_id"].dataType.simpleString(), "kernel_id": kernels.schema["kernel_id"].dataType.simpleString()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for event in pdf.itertuples():
+                flux, found = np.asarray(event.flux, float), []
+                noise = np.sqrt(np.abs(flux) / event.median / gain) * gain
+                noise[noise == 0] = 0.01
+                for size, (ids, curves) in shared.value.items():
+                    for offset in range(first, last + 1):
+                        start = event.center + offset - size // 2
+                        if start >= 0 and start + size <= len(flux):
+                            for a in range(0, len(ids), 4096):
+                                chi = (np.abs(flux[start : start + size] - curves[a : a + 4096]) / noise[start : start + size]).sum(axis=1)
+                                k = int(chi.argmin())
+                                found.append((float(chi[k]), ids[a + k], offset))
+                if found:
+                    chi, kernel, offset = min(found)
+                    rows.append((event.event_id, kernel, offset, chi))
+            yield pd.DataFrame(rows, columns=["event_id", "kernel_id", "offset", "chi"])
+
+    return events.select("event_id", "center", F.col("flux").cast("array<double>").alias("flux"), F.col("median").cast("double").alias("median")).mapInPandas(run, f"event_id {kinds['event_id']}, kernel_id {kinds['kernel_id']}, offset int, chi double")
+
+
 def inject(df: DataFrame, key: Names, value: str, centers: DataFrame, profile: DataFrame, index: str = "i", out: str = "injected") -> DataFrame:
     """Multiply the profile (offset, factor) into each series around its center;
     samples beyond it keep their value."""

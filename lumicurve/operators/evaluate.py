@@ -1,13 +1,13 @@
 """Evaluation of detectors from trials with and without an injected event.
 
 Trials are rows (kind: inject or null; peak; frame; center). All measures are
-aggregates over an explosion of the thresholds or bins, of fixed number, so
-they cost one pass and one small shuffle.
+aggregates over bins of fixed number, so they cost one pass and one small
+shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,15 +17,26 @@ def recovered(threshold: Column | float, near: int = 12) -> Column:
 
 
 def roc(trials: DataFrame, points: int = 80, near: int = 12) -> DataFrame:
-    """(threshold, completeness, far) over an even grid from the least to the
-    greatest peak of all trials."""
+    """(point, threshold, completeness, far) over an even grid from the least to
+    the greatest peak of all trials. Each trial counts once, at the last
+    threshold it reaches; sums from the top give the shares. Null peaks reach none."""
     ends = trials.agg(F.min("peak").alias("_lo"), F.max("peak").alias("_hi"))
     step = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0) / (points - 1)
-    grid = ends.select("_lo", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).select("point", (F.col("_lo") + F.col("point") * F.col("_step")).alias("threshold"))
-    at = trials.join(F.broadcast(grid))
-    hit = F.when(F.col("kind") == "inject", recovered(F.col("threshold"), near).cast("int"))
-    false = F.when(F.col("kind") == "null", (F.col("peak") >= F.col("threshold")).cast("int"))
-    return at.groupBy("point", "threshold").agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("completeness"), F.coalesce(F.avg(false), F.lit(0.0)).alias("far"))
+    grid = ends.select("_lo", step.alias("_step"))
+    level = lambda k: F.col("_lo") + k * F.col("_step")
+    k = F.least(F.floor((F.col("peak") - F.col("_lo")) / F.col("_step")), F.lit(points - 1)).cast("int")
+    at = trials.join(F.broadcast(grid)).withColumn("_k", k)
+    # Thresholds are rounded, so the quotient may be one off.
+    reached = F.when(level(F.col("_k")) > F.col("peak"), F.col("_k") - 1).when((F.col("_k") < points - 1) & (level(F.col("_k") + 1) <= F.col("peak")), F.col("_k") + 1).otherwise(F.col("_k"))
+    at = at.withColumn("point", F.coalesce(reached, F.lit(-1)).cast("int"))
+    near_center = F.coalesce(F.abs(F.col("frame") - F.col("center")) <= near, F.lit(False))
+    counts = at.groupBy("point").agg(F.count_if((F.col("kind") == "inject") & near_center).alias("hit"), F.count_if((F.col("kind") == "null")).alias("false"), F.count_if((F.col("kind") == "inject") & F.col("peak").isNotNull()).alias("inject"), F.count_if((F.col("kind") == "null") & F.col("peak").isNotNull()).alias("null"))
+    totals = counts.agg(F.sum("inject").alias("inject"), F.sum("null").alias("null"))
+    rows = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).select("point", level(F.col("point")).alias("threshold")).join(counts.select("point", "hit", "false"), "point", "left")
+    down = Window.orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.select("point", "threshold", F.coalesce(F.sum("hit").over(down), F.lit(0)).alias("hit"), F.coalesce(F.sum("false").over(down), F.lit(0)).alias("false"))
+    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
+    return sums.join(F.broadcast(totals)).select("point", "threshold", share("hit", "inject").alias("completeness"), share("false", "null").alias("far"))
 
 
 def completeness_at_far(curve: DataFrame, target: float) -> DataFrame:

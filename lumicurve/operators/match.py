@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,55 +116,88 @@ def pixel_match(stars: DataFrame, reference: str, others: tuple[str, ...], toler
     return out
 
 
-def global_star_ids(stars: DataFrame, key: str | list[str], tolerance: float = 2.0) -> DataFrame:
-    """(key, minute, local, star_id) of stars followed over the minutes of each
-    night. ``stars``: key, minute, local, x, y.
-
-    Minutes come in order. A star takes the nearest known star not yet claimed
-    in its minute, within the tolerance of that star's mean position so far;
-    else it is new. What a star gets depends on all minutes before, so a night
-    (of one telescope) is one group, in numpy.
+def sky_distance(ra1: np.ndarray, dec1: np.ndarray, ra2: np.ndarray, dec2: np.ndarray) -> np.ndarray:
+    """Great-circle distances in degrees, a row for each first place."""
+    a1, d1, a2, d2 = (np.radians(v) for v in (ra1, dec1, ra2, dec2))
+    h = np.sin((d2 - d1[:, None]) / 2) ** 2 + np.cos(d1)[:, None] * np.cos(d2) * np.sin((a2 - a1[:, None]) / 2) ** 2
+    return np.degrees(2 * np.arcsin(np.sqrt(np.minimum(h, 1.0))))
+
+
+def follow_minutes(pdf: pd.DataFrame, sky_tolerance: float, tolerance: float) -> np.ndarray:
+    """The star of each row (minute, local, x, y, ra, dec; in that order) of one night."""
+    place = np.empty((0, 4))  # sums of x, y, ra, dec
+    seen, seen_sky = np.empty(0), np.empty(0)
+    out = []
+    for _, m in pdf.groupby("minute", sort=True, dropna=False):
+        xy, sky = m[["x", "y"]].to_numpy(float), m[["ra", "dec"]].to_numpy(float)
+        on_sky, known = np.isfinite(sky).all(axis=1), np.flatnonzero(seen_sky > 0)
+        mine, taken = np.full(len(xy), -1), np.zeros(len(seen), bool)
+        rows = np.flatnonzero(on_sky)
+        if len(known) and len(rows):
+            mean = place[known, 2:] / seen_sky[known][:, None]
+            apart = sky_distance(sky[rows, 0], sky[rows, 1], mean[:, 0], mean[:, 1])
+            near = apart.argmin(axis=1)
+            for row, k, d in zip(rows.tolist(), near.tolist(), apart[np.arange(len(rows)), near].tolist(), strict=True):
+                if d < sky_tolerance and not taken[known[k]]:
+                    mine[row], taken[known[k]] = known[k], True
+        free, rows = np.flatnonzero(~taken), np.flatnonzero((mine < 0) & np.isfinite(xy).all(axis=1))
+        if len(free) and len(rows):
+            mean = place[free, :2] / seen[free][:, None]
+            apart = np.hypot(xy[rows, :1] - mean[:, 0], xy[rows, 1:] - mean[:, 1])
+            near = apart.argmin(axis=1)
+            for row, k, d in zip(rows.tolist(), near.tolist(), apart[np.arange(len(rows)), near].tolist(), strict=True):
+                if d < tolerance and not taken[free[k]]:
+                    mine[row], taken[free[k]] = free[k], True
+        fresh = np.flatnonzero(mine < 0)
+        mine[fresh] = len(seen) + np.arange(len(fresh))
+        place, seen, seen_sky = np.vstack([place, np.zeros((len(fresh), 4))]), np.append(seen, np.zeros(len(fresh))), np.append(seen_sky, np.zeros(len(fresh)))
+        place[mine] += np.column_stack([np.nan_to_num(xy), np.where(on_sky[:, None], sky, 0.0)])
+        seen[mine] += 1
+        seen_sky[mine] += on_sky
+        out += mine.tolist()
+    return np.array(out, np.int64)
+
+
+def global_star_ids(stars: DataFrame, key: str | list[str], tolerance: float = 2.0, sky_tolerance: float = 2.0 / 3600) -> DataFrame:
+    """(key, minute, local, x, y, ra, dec, star_id) of stars followed over the
+    minutes of each night. ``stars``: key, minute, local, x, y and, if the field
+    was solved, ra, dec.
+
+    Minutes come in order. A star with sky coordinates takes the star known to
+    be nearest on the sky, within ``sky_tolerance`` degrees of its mean place so
+    far; else it takes the nearest one in pixels of those not yet claimed, within
+    ``tolerance``; else, or if another row of the minute was first, it is new.
+    Coordinates that are null are not used; a star with none is always new. What
+    a star gets depends on all minutes before, so a night (of one telescope) is
+    one group, in numpy.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    for c in ("ra", "dec"):
+        if c not in stars.columns:
+            stars = stars.withColumn(c, F.lit(None).cast("double"))
 
-    def run(pdf):
-        import numpy as np
-
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["minute", "local"])
-        sums, seen = np.empty((0, 2)), np.empty(0)
-        ids = []
-        for _, m in pdf.groupby("minute", sort=True):
-            xy = m[["x", "y"]].to_numpy(float)
-            means = sums / np.maximum(seen, 1)[:, None]
-            d = np.sqrt(((xy[:, None, :] - means[None, :, :]) ** 2).sum(axis=2)) if len(means) else np.empty((len(xy), 0))
-            mine, taken = np.full(len(xy), -1), np.zeros(len(means), bool)
-            for flat in np.argsort(d, axis=None, kind="stable"):
-                i, j = divmod(int(flat), len(means))
-                if d[i, j] > tolerance:
-                    break
-                if mine[i] < 0 and not taken[j]:
-                    mine[i], taken[j] = j, True
-            fresh = np.flatnonzero(mine < 0)
-            mine[fresh] = len(means) + np.arange(len(fresh))
-            sums = np.vstack([sums, np.zeros((len(fresh), 2))])
-            seen = np.append(seen, np.zeros(len(fresh)))
-            np.add.at(sums, mine, xy)
-            np.add.at(seen, mine, 1)
-            ids += mine.tolist()
-        pdf["star_id"] = ids
-        return pdf[[*keys, "minute", "local", "star_id"]]
-
-    fields = ", ".join(f"`{c}` {stars.schema[c].dataType.simpleString()}" for c in [*keys, "minute", "local"])
-    return stars.select(*keys, "minute", "local", "x", "y").groupBy(*keys).applyInPandas(run, f"{fields}, star_id long")
+        return pdf.assign(star_id=follow_minutes(pdf, sky_tolerance, tolerance))
+
+    columns = [*keys, "minute", "local", "x", "y", "ra", "dec"]
+    fields = ", ".join(f"`{c}` {stars.schema[c].dataType.simpleString()}" for c in columns)
+    return stars.select(*columns).groupBy(*keys).applyInPandas(run, f"{fields}, star_id long")
+
+
+def global_stars(followed: DataFrame, key: str | list[str]) -> DataFrame:
+    """(key, star_id, n_detections, x, y, ra, dec): in how many minutes each
+    followed star is, and its mean place."""
+    keys = [key] if isinstance(key, str) else list(key)
+    on_sky = F.col("ra").isNotNull() & F.col("dec").isNotNull()
+    return followed.groupBy(*keys, "star_id").agg(F.count(F.lit(1)).alias("n_detections"), F.avg("x").alias("x"), F.avg("y").alias("y"), *[F.avg(F.when(on_sky, F.col(c))).alias(c) for c in ("ra", "dec")])
 
 
 def minute_triplets(minutes: DataFrame, key: str, spacing: float = 60.0) -> DataFrame:
     """(key, t1, t2, t3): a greedy merge of three ordered lists of minutes (scope
     1, 2, 3). The second list's place advances also where the third has no match."""
 
-    def run(pdf):
-        import pandas as pd
-
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [sorted(pdf.loc[pdf["scope"] == s, "t"]) for s in (1, 2, 3)]
         j = k = 0
         rows = []

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +51,29 @@ def rank_sigmas(df: DataFrame, group: str, scope: str, sigma: str, most: int = 3
     return ranked.groupBy(group).agg(*[F.max(F.when(F.col("_k") == k, F.col(sigma))).alias(f"sigma{k}") for k in range(1, most + 1)])
 
 
-def median_stack(frames: DataFrame, key: Names, pixels: str = "pixels") -> DataFrame:
+def median_stack(frames: DataFrame, key: Names, pixels: str = "pixels", tile: int = 4096) -> DataFrame:
     """(key, pixel, value): the median of each pixel over the frames of a key.
-    Pixels are dealt by key and place, so one stack uses many tasks."""
-    return frames.select(*_list(key), F.posexplode(pixels).alias("pixel", "_v")).groupBy(*_list(key), "pixel").agg(F.median("_v").alias("value"))
+
+    Frames are cut into tiles of ``tile`` pixels, dealt by key and tile, so one
+    stack uses many tasks and a task holds one tile of all its frames. Nulls are
+    left out; frames may differ in length.
+    """
+    keys = _list(key)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(pixels) - 1, F.lit(0)), F.lit(tile))
+    tiles = frames.where(F.size(pixels) > 0).select(*keys, F.col(pixels).cast("array<double>").alias("_p"), F.explode(starts).alias("_tile")).select(*keys, "_tile", F.slice("_p", F.col("_tile") + 1, F.lit(tile)).alias("_p"))
+
+    def stack(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = max(map(len, pdf["_p"]))
+        image = np.full((len(pdf), size), np.nan)
+        for row, p in zip(image, pdf["_p"], strict=True):
+            row[: len(p)] = p
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            value = np.nanmedian(image, axis=0)
+        return pdf[[*keys, "_tile"]].iloc[[0] * size].assign(pixel=int(pdf["_tile"].iloc[0]) + np.arange(size), value=value)[[*keys, "pixel", "value"]]
+
+    kinds = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
+    return tiles.groupBy(*keys, "_tile").applyInPandas(stack, f"{kinds}, pixel int, value double")
 
 
 def first_frames(frames: DataFrame, key: Names, order: str, n: int) -> DataFrame:

@@ -36,13 +36,17 @@ def trim_zeros(df: DataFrame, key: Names, value: str, index: str = "i", least: i
 
 def boxcar(df: DataFrame, key: Names, value: str, width: int, index: str = "i", out: str = "trend") -> DataFrame:
     """Running mean over [i - width // 2, i + (width - 1) // 2] with the series
-    mirrored at its ends (the edge sample repeats). ``index`` runs from 0 without
-    holes; a series needs width // 2 samples."""
+    mirrored at its ends (the edge sample repeats), as often as a short series
+    needs. ``index`` runs from 0 without holes. Null values are left out of the
+    means; a window of nulls alone gives null."""
     half, keys = width // 2, _list(key)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    i = F.col(index)
+    i, size = F.col(index).cast("long"), F.col("_n")
     none = F.array().cast("array<bigint>")
-    at = F.concat(F.array(i), F.when(i < half, F.array(-1 - i)).otherwise(none), F.when(i >= F.col("_n") - half, F.array(2 * F.col("_n") - 1 - i)).otherwise(none))
+    once = F.concat(F.array(i), F.when(i < half, F.array(-1 - i)).otherwise(none), F.when(i >= size - half, F.array(2 * size - 1 - i)).otherwise(none))
+    turns = F.floor((half + size) / (2 * size)) + 1
+    all_turns = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(i + 2 * size * k, 2 * size * k - 1 - i)))
+    at = F.when(size >= half, once).otherwise(F.filter(all_turns, lambda p: (p >= -half) & (p < size + half)))
     wide = df.withColumn("_n", n).withColumn("_at", F.explode(at))
     mean = F.avg(value).over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(-half, width - 1 - half))
     return wide.withColumn(out, mean).where(F.col("_at") == i).drop("_n", "_at")
@@ -63,8 +67,9 @@ def ricker(width: float, taps: int = 49) -> list[float]:
 
 def convolve(df: DataFrame, key: Names, value: str, taps: Sequence[float], index: str = "i", out: str = "c", mode: str = "valid") -> DataFrame:
     """Correlate each series with ``taps`` (equal to convolution where they are
-    symmetric). ``valid`` keeps only samples whose taps all lie in the series,
-    ``same`` takes zeros beyond its ends. One window, a lag or lead for each tap."""
+    symmetric). ``valid`` keeps only samples whose taps all lie in the series and
+    meet no null (so a null takes the samples around it along), ``same`` takes
+    zeros beyond the ends and for nulls. One window, a lag or lead for each tap."""
     half, w = len(taps) // 2, Window.partitionBy(*_list(key)).orderBy(index)
     total: Column | None = None
     for k, tap in enumerate(taps):
@@ -158,9 +163,12 @@ def rollover_seconds(df: DataFrame, key: Names, order: Names, seconds: str, limi
 
 
 def cutout(samples: DataFrame, events: DataFrame, key: Names, index: str, event_index: str, before: int = 40, behind: int = 39) -> DataFrame:
-    """Samples around each event of the same series, clipped at its ends."""
-    joined = samples.join(events, _list(key))
-    return joined.where(F.col(index).between(F.col(event_index) - before, F.col(event_index) + behind)).withColumn("offset", (F.col(index) - F.col(event_index)).cast("long"))
+    """Samples around each event of the same series, clipped at its ends. Each
+    event asks for its own places, so the join is on series and place."""
+    at = F.explode(F.sequence(F.col(event_index).cast("long") - before, F.col(event_index).cast("long") + behind))
+    wanted = events.withColumn("_at", at)
+    s = samples.withColumn("_at", F.col(index).cast("long"))
+    return s.join(wanted, [*_list(key), "_at"]).drop("_at").withColumn("offset", (F.col(index) - F.col(event_index)).cast("long"))
 
 
 def drift(df: DataFrame, key: Names, order: Names, time: str, x: str, y: str) -> DataFrame:

@@ -177,9 +177,9 @@ def nearest_star(spark, sf_dir):
 
 @query("asof_nearest_dark", "WITH o AS (SELECT event_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'click'), k AS (SELECT event_id AS dark, epoch_us(ts) / 1e6 AS td FROM events WHERE event_type = 'error') SELECT o.event_id, arg_min(dark, (abs(t - td), td, dark)) AS dark, round(min(abs(t - td)), 6) AS dt FROM o CROSS JOIN k GROUP BY o.event_id")
 def asof_nearest_dark(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", seconds("ts").alias("t"), F.lit(1).alias("night"))
-    darks = e.where("event_type = 'error'").select("night", F.col("event_id").alias("dark"), F.col("t").alias("td"))
-    near = bandjoin.asof_nearest(e.where("event_type = 'click'"), darks, "event_id", "t", "td", ["dark"], ["night"])
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", seconds("ts").alias("t"))
+    darks = e.where("event_type = 'error'").select(F.col("event_id").alias("dark"), F.col("t").alias("td"))
+    near = bandjoin.asof_nearest(e.where("event_type = 'click'"), darks, "event_id", "t", "td", ["dark"])
     return near.select("event_id", "dark", r6("dt").alias("dt"))
 
 
@@ -194,13 +194,30 @@ def detections_per_minute(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(n, "o_orderkey", "left").groupBy("o_orderkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("detections"))
 
 
+#: Minutes of one made-up night.
+NIGHT = 4
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    solved = F.col("star") % 3 != 0
+    s = stars(spark, sf_dir).select(
+        F.floor(F.col("minute") / NIGHT).alias("night"), "minute", F.col("star").alias("local"), (F.col("x") * 20).alias("x"), (F.col("y") * 20).alias("y"), *[F.when(solved, F.col(c)).alias(c) for c in ("ra", "dec")]
+    )
+    return match.global_star_ids(s, "night", 2.0, 0.5)
+
+
 @query("global_star_ids")
 def global_star_ids(spark, sf_dir):
-    s = stars(spark, sf_dir).select(F.lit(1).alias("night"), "minute", F.col("star").alias("local"), (F.col("x") * 20).alias("x"), (F.col("y") * 20).alias("y"))
-    return match.global_star_ids(s, "night", 2.0)
+    return _followed(spark, sf_dir).select("night", "minute", "local", "star_id")
+
+
+@query("global_stars")
+def global_stars(spark, sf_dir):
+    g = match.global_stars(_followed(spark, sf_dir), "night")
+    return g.select("night", "star_id", "n_detections", *[r6(c).alias(c) for c in ("x", "y", "ra", "dec")])
 
 
 @query("minute_triplets")
 def minute_triplets(spark, sf_dir):
     scope = F.when(F.col("scope") == "green", 1).when(F.col("scope") == "red", 2).otherwise(3)
-    return match.minute_triplets(detections(spark, sf_dir).select(F.lit(1).alias("night"), scope.alias("scope"), "t"), "night", 3600.0)
+    return match.minute_triplets(detections(spark, sf_dir).select(F.floor(F.col("t") / 86400).alias("night"), scope.alias("scope"), "t"), "night", 3600.0)

@@ -69,7 +69,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_coincidence", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.event_type = 'click' AND b.event_type = 'view' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 10000000")
 def stream_coincidence(spark, sf_dir):
     side = lambda kind, n: event_stream(spark, sf_dir).where(F.col("event_type") == kind).select(F.col("event_id").alias(n), F.col("ts").cast("timestamp").alias(f"{n}_t"))
-    pairs = streams.coincident_pairs(side("click", "a"), side("view", "b"), 10, "365 days")
+    pairs = streams.coincident_pairs(side("click", "a"), side("view", "b"), 10, "1 hour")
     return run_to_end(pairs.select("a", "b"), "pairs")
 
 
@@ -82,4 +82,4 @@ def stream_dip_scores(spark, sf_dir):
 @query("stream_minutes", "SELECT DISTINCT epoch_us(date_trunc('minute', ts)) // 1000000 AS minute FROM events")
 def stream_minutes(spark, sf_dir):
     m = event_stream(spark, sf_dir).select(F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute"))
-    return run_to_end(streams.new_minutes(m, "minute", "minute", "365 days"), "minutes").select(F.unix_seconds("minute").alias("minute"))
+    return run_to_end(streams.new_minutes(m, "minute", "minute", "1 hour"), "minutes").select(F.unix_seconds("minute").alias("minute"))

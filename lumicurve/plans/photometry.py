@@ -100,53 +100,39 @@ def normalize_by_median(spark, sf_dir):
     return robust.normalise_by_median(frames(spark, sf_dir), "star", "flux").select("star", "frame", r6("norm").alias("norm"))
 
 
-SEL = STARS + ", cd AS (SELECT a.star AS target, b.star AS ref, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM s a JOIN s b ON a.star <> b.star AND a.star < 60 AND b.star < 60), rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY d, ref) AS rank FROM cd WHERE d <= 0.1), sl AS (SELECT * FROM rk WHERE rank <= 6 AND target IN (SELECT target FROM rk GROUP BY target HAVING count(*) >= 3))"
-VECTORS = "fx AS (SELECT vec_id AS star, unnest(range(64)) AS t, unnest(embedding)::DOUBLE + 1 AS flux FROM embeddings WHERE vec_id < 60)"
+SEL = STARS + ", cd AS (SELECT a.star AS target, b.star AS ref, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM s a JOIN s b ON a.star <> b.star), rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY d, ref) AS rank FROM cd WHERE d <= 0.1), sl AS (SELECT * FROM rk WHERE rank <= 6 AND target IN (SELECT target FROM rk GROUP BY target HAVING count(*) >= 3))"
+VECTORS = "fx AS (SELECT vec_id AS star, unnest(range(64)) AS t, unnest(embedding)::DOUBLE + 1 AS flux FROM embeddings)"
 NORM = "nm AS (SELECT star, t, flux / median(flux) OVER (PARTITION BY star) AS f FROM fx)"
 
 
-#: The stars that the SQL forms take; the queries without SQL take all.
-FIRST = "star < 60"
-
-
-def _selection(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    s = stars(spark, sf_dir).where(where)
+def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stars(spark, sf_dir)
     a = s.select(F.col("star").alias("target"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = s.select(F.col("star").alias("ref"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     d = F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2))
     return robust.reference_selection(bandjoin.plane_join(a, b, ("x1", "y1"), ("x2", "y2"), 0.1).where("target <> ref").select("target", "ref", d.alias("d")), 0.1, 6, 3)
 
 
-def _vectors(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("star"), "embedding").where(where).select("star", F.posexplode("embedding").alias("t", "v")).select("star", F.col("t").cast("long").alias("t"), (F.col("v").cast("double") + 1).alias("flux"))
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("star"), "embedding").select("star", F.posexplode("embedding").alias("t", "v")).select("star", F.col("t").cast("long").alias("t"), (F.col("v").cast("double") + 1).alias("flux"))
 
 
-@query("reference_selection", f"WITH {SEL} SELECT target, ref, rank FROM sl")
-def reference_selection(spark, sf_dir):
-    return _ranked(_selection(spark, sf_dir, FIRST))
+REFERENCES = f"WITH {SEL} SELECT target, ref, rank FROM sl"
 
 
-@query("reference_selection_all")
-def reference_selection_all(spark, sf_dir):
-    return _ranked(_selection(spark, sf_dir))
+@query("reference_selection", REFERENCES)
+@query("reference_selection_all", REFERENCES)
+def reference_selection(spark, sf_dir):
+    return _selection(spark, sf_dir).select("target", "ref", F.col("rank").cast("long").alias("rank"))
 
 
-def _ranked(selection: DataFrame) -> DataFrame:
-    return selection.select("target", "ref", F.col("rank").cast("long").alias("rank"))
+ENSEMBLE = f"WITH {SEL}, {VECTORS}, dn AS (SELECT target, t, avg(flux) AS d FROM sl JOIN fx ON fx.star = ref GROUP BY target, t), rl AS (SELECT target, dn.t, flux / d AS rel FROM dn JOIN fx ON fx.star = target AND fx.t = dn.t WHERE d > 0) SELECT target, t, round(rel / median(rel) OVER (PARTITION BY target), 6) AS rel FROM rl"
 
 
-@query("ensemble_differential", f"WITH {SEL}, {VECTORS}, dn AS (SELECT target, t, avg(flux) AS d FROM sl JOIN fx ON fx.star = ref GROUP BY target, t), rl AS (SELECT target, dn.t, flux / d AS rel FROM dn JOIN fx ON fx.star = target AND fx.t = dn.t WHERE d > 0) SELECT target, t, round(rel / median(rel) OVER (PARTITION BY target), 6) AS rel FROM rl")
+@query("ensemble_differential", ENSEMBLE)
+@query("ensemble_differential_all", ENSEMBLE)
 def ensemble_differential(spark, sf_dir):
-    return _ensemble(spark, sf_dir, FIRST)
-
-
-@query("ensemble_differential_all")
-def ensemble_differential_all(spark, sf_dir):
-    return _ensemble(spark, sf_dir)
-
-
-def _ensemble(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return robust.ensemble(_vectors(spark, sf_dir, where), _selection(spark, sf_dir, where)).select("target", "t", r6("rel").alias("rel"))
+    return robust.ensemble(_vectors(spark, sf_dir), _selection(spark, sf_dir)).select("target", "t", r6("rel").alias("rel"))
 
 
 IDL = f"""WITH {SEL}, {VECTORS}, {NORM}, e1 AS (SELECT sl.target, ref, avg(power(r.f - o.f, 2)) AS sse FROM sl JOIN nm r ON r.star = ref JOIN nm o ON o.star = target AND o.t = r.t GROUP BY sl.target, ref),
@@ -157,17 +143,9 @@ SELECT target, ref, rank, round(sse, 6) AS sse FROM k2 WHERE rank <= greatest(3,
 
 
 @query("idl_reference_selection", IDL)
+@query("idl_reference_selection_all", IDL)
 def idl_reference_selection(spark, sf_dir):
-    return _similar(spark, sf_dir, FIRST)
-
-
-@query("idl_reference_selection_all")
-def idl_reference_selection_all(spark, sf_dir):
-    return _similar(spark, sf_dir)
-
-
-def _similar(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    s = robust.similar_references(_vectors(spark, sf_dir, where), _selection(spark, sf_dir, where))
+    s = robust.similar_references(_vectors(spark, sf_dir), _selection(spark, sf_dir))
     return s.select("target", "ref", F.col("rank").cast("long").alias("rank"), r6("sse").alias("sse"))
 
 

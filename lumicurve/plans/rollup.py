@@ -166,9 +166,9 @@ def read_noise(spark, sf_dir):
 
 @query(
     "unpack_12bit",
-    "WITH b AS (SELECT vec_id, list_transform(embedding[1:6], lambda v: (floor((v::DOUBLE + 1) * 100)::INT) % 256) AS b FROM embeddings) SELECT vec_id, unnest([b[1] * 16 + b[2] // 16, (b[2] % 16) * 256 + b[3], b[4] * 16 + b[5] // 16, (b[5] % 16) * 256 + b[6]])::INT AS pixel, unnest(range(4))::INT AS i FROM b",
+    "WITH b AS (SELECT vec_id, list_transform(embedding, lambda v: (floor((v::DOUBLE + 1) * 100)::INT) % 256) || [0, 0] AS b FROM embeddings), p AS (SELECT vec_id, unnest(range(44)) AS i, b FROM b) SELECT vec_id, i::INT AS i, (CASE WHEN i % 2 = 0 THEN b[i // 2 * 3 + 1] * 16 + b[i // 2 * 3 + 2] // 16 ELSE (b[i // 2 * 3 + 2] % 16) * 256 + b[i // 2 * 3 + 3] END)::INT AS pixel FROM p",
 )
 def unpack_12bit(spark, sf_dir):
-    digits = F.transform(F.slice("embedding", 1, 6), lambda v: F.lpad(F.hex((F.floor((v.cast("double") + 1) * 100) % 256).cast("long")), 2, "0"))
-    packed = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.array_join(digits, "")).alias("data"))
+    digits = F.transform("embedding", lambda v: F.lpad(F.hex((F.floor((v.cast("double") + 1) * 100) % 256).cast("long")), 2, "0"))
+    packed = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.concat(F.array_join(digits, ""), F.lit("0000"))).alias("data"))
     return packed.select("vec_id", F.posexplode(text.unpack12(F.col("data"))).alias("i", "pixel"))

@@ -219,8 +219,8 @@ SELECT round(a.t, 6) AS t, round(CASE WHEN ta IS NULL OR tb IS NULL THEN 0 WHEN
 
 @query("align_interp", INTERP)
 def align_interp(spark, sf_dir):
-    c = curves(spark, sf_dir).withColumn("night", F.lit(1))
-    a = detect.align_by_time(c.where("star = 'click'"), c.where("star = 'view'"), "night", "t", "flux")
+    c = curves(spark, sf_dir)
+    a = detect.align_by_time(c.where("star = 'click'"), c.where("star = 'view'"), [], "t", "flux")
     return a.select(r6("t").alias("t"), r6("aligned").alias("aligned"))
 
 
@@ -235,29 +235,20 @@ def inject_profile(spark, sf_dir):
     return detect.inject(s, KEY, "flux", centers, profile).select("star", "i", r6("injected").alias("injected"))
 
 
-KERNELS = f"""WITH e AS (SELECT vec_id AS event_id, embedding::DOUBLE[] AS f FROM embeddings WHERE vec_id % 10 = 0), k AS (SELECT vec_id AS kernel_id, embedding[1:15]::DOUBLE[] AS c FROM embeddings WHERE vec_id < 40),
-x AS (SELECT event_id, kernel_id, unnest(range(-3, 3)) AS o, f, c FROM e CROSS JOIN k), y AS (SELECT *, unnest(range(0, 15)) AS j FROM x),
-z AS (SELECT event_id, kernel_id, o, sum(abs(f[26 + o + j] + 1 - c[j + 1] - 1) / CASE WHEN sqrt(abs(f[26 + o + j] + 1) / 1.0 / 0.82) * 0.82 = 0 THEN 0.01 ELSE sqrt(abs(f[26 + o + j] + 1) / 1.0 / 0.82) * 0.82 END) AS chi FROM y GROUP BY event_id, kernel_id, o)
+KERNELS = f"""WITH e AS (SELECT vec_id AS event_id, embedding::DOUBLE[] AS f FROM embeddings), k AS (SELECT vec_id AS kernel_id, embedding[1:15]::DOUBLE[] AS c FROM embeddings),
+w AS (SELECT event_id, o, list_transform(f[26 + o:40 + o], lambda v: v + 1) AS p FROM e, range(-3, 3) r(o)), u AS (SELECT *, list_transform(p, lambda v: CASE WHEN sqrt(abs(v) / 1.0 / 0.82) * 0.82 = 0 THEN 0.01 ELSE sqrt(abs(v) / 1.0 / 0.82) * 0.82 END) AS n FROM w),
+z AS (SELECT event_id, kernel_id, o, list_sum([abs(p[1] - c[1] - 1) / n[1], {", ".join(f"abs(p[{j}] - c[{j}] - 1) / n[{j}]" for j in range(2, 16))}]) AS chi FROM u CROSS JOIN k)
 SELECT event_id, arg_min(kernel_id, (round(chi, 9), kernel_id, o)) AS kernel_id, arg_min(o, (round(chi, 9), kernel_id, o))::INT AS "offset", round(min(chi), 6) AS chi FROM z GROUP BY event_id"""
 
 
-def _kernel_match(spark: SparkSession, sf_dir: str, events: str = "true", kernels: str = "true") -> DataFrame:
+@query("kernel_match", KERNELS)
+@query("kernel_match_all", KERNELS)
+def kernel_match(spark, sf_dir):
+    """Every event against the whole bank."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     plus = lambda c: F.transform(c, lambda x: x.cast("double") + 1)
-    events = e.where(events).select(F.col("vec_id").alias("event_id"), F.lit(32).alias("center"), plus(F.col("embedding")).alias("flux"), F.lit(1.0).alias("median"))
-    kernels = e.where(kernels).select(F.col("vec_id").alias("kernel_id"), plus(F.slice("embedding", 1, 15)).alias("curve"))
+    events = e.select(F.col("vec_id").alias("event_id"), F.lit(32).alias("center"), plus(F.col("embedding")).alias("flux"), F.lit(1.0).alias("median"))
+    kernels = e.select(F.col("vec_id").alias("kernel_id"), plus(F.slice("embedding", 1, 15)).alias("curve"))
     # The table may be one file, and each of its rows meets the whole bank.
     events = events.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "event_id")
     return detect.kernel_match(events, kernels).select("event_id", "kernel_id", "offset", r6("chi").alias("chi"))
-
-
-@query("kernel_match", KERNELS)
-def kernel_match(spark, sf_dir):
-    """The events and kernels that its SQL takes; ``kernel_match_all`` takes all."""
-    return _kernel_match(spark, sf_dir, "vec_id % 10 = 0", "vec_id < 40")
-
-
-@query("kernel_match_all")
-def kernel_match_all(spark, sf_dir):
-    """Every event against the whole bank."""
-    return _kernel_match(spark, sf_dir)
