@@ -80,3 +80,73 @@ def manifest(parameters: dict[str, str], **counts: DataFrame) -> DataFrame:
     for name, df in counts.items():
         out = out.join(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))
     return out.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def write_positions(stars: DataFrame, path: str, by: str = "minute_key", fewest: int = 10) -> None:
+    """Star lists, replaced minute by minute; minutes with too few stars are not written."""
+    enough = stars.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= fewest).select(by)
+    write_table(stars.join(enough, by, "left_semi"), path, [by])
+
+
+def with_sky(stars: DataFrame, solved: DataFrame, on: Sequence[str] = ("minute_key", "star")) -> DataFrame:
+    """Star lists with ra and dec where a field was solved; what is known stays."""
+    new = solved.select(*on, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"))
+    rows = stars
+    for c in ("ra", "dec"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("double"))
+    joined = rows.join(new, list(on), "left")
+    return joined.select(*[c for c in rows.columns if c not in ("ra", "dec")], F.coalesce("_ra", "ra").alias("ra"), F.coalesce("_dec", "dec").alias("dec"))
+
+
+def curve_texts(curves: DataFrame, by: str = "star", order: str = "t", header: str = "# time flux") -> DataFrame:
+    """(by, line_no, value): lines of one text per star, numbered in order."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    rows = curves.select(by, n.alias("line_no"), F.concat_ws(" ", F.col(order).cast("string"), F.coalesce(F.col("flux").cast("string"), F.lit("nan"))).alias("value"))
+    return rows.unionByName(curves.select(by).distinct().select(by, F.lit(0).alias("line_no"), F.lit(header).alias("value")))
+
+
+def write_curves(curves: DataFrame, path: str, by: str = "star", order: str = "t") -> None:
+    """A folder of lines for each star, in order of time."""
+    lines = curve_texts(curves, by, order).repartition(by).sortWithinPartitions(by, "line_no")
+    lines.select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    """Lines (value) behind those that are there."""
+    lines.select("value").write.mode("append").text(path)
+
+
+def write_catalogue(path: str, **tables: DataFrame) -> None:
+    """A night's tables, each in a folder of its own, and what they hold as one JSON line."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    manifest({"tables": ",".join(tables)}, **tables).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def read_catalogue(spark, path: str) -> dict[str, DataFrame]:
+    """The tables that ``write_catalogue`` wrote."""
+    import json
+
+    names = json.loads(spark.read.text(f"{path}/manifest").collect()[0]["value"])["parameters"]["tables"]
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names.split(",") if name}
+
+
+def catalogue_summary(stars: DataFrame, samples: DataFrame) -> DataFrame:
+    """(star, n_frames, n_minutes, median_flux, snr, x, y, ra, dec) by signal-to-noise, for a CSV."""
+    s = samples.where(F.col("flux").isNotNull()).groupBy("star").agg(F.count(F.lit(1)).alias("n_frames"), F.count_distinct("minute").alias("n_minutes"), F.median("flux").alias("median_flux"), (F.median("flux") / F.nullif(F.stddev_pop("flux"), F.lit(0.0))).alias("snr"))
+    return stars.select("star", "x", "y", "ra", "dec").join(s, "star", "left").orderBy(F.desc_nulls_last("snr"), "star")
+
+
+def kernel_lines(kernels: DataFrame) -> DataFrame:
+    """(kernel_id, curve_line, parameter_line): a bank and its parameters as text."""
+    curve = F.array_join(F.transform("curve", lambda v: F.format_string("%.6f", v)), " ")
+    columns = [c for c in kernels.columns if c not in ("kernel_id", "curve")]
+    return kernels.select("kernel_id", curve.alias("curve_line"), F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("parameter_line"))
+
+
+def star_hours_file(star_hours: DataFrame, value: str = "star_hours") -> DataFrame:
+    """(name): the file name that tells the night's star hours."""
+    return star_hours.agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("v")).select(F.format_string("starhours_%.2f.txt", "v").alias("name"))
