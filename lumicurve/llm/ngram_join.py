@@ -434,14 +434,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, elements), each from one of the rows that have the set."""
-        wanted = nodes.select("node").distinct().join(classes, "node").select(*key, "node", "rep")
-        texts = docs.join(wanted.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
+        # Written, so that its size is known when the joins are planned.
+        wanted = materialise(nodes.select("node").distinct().join(classes, "node").select(*key, "node", "rep"), "wanted")
+        texts = docs.join(wanted.select(F.col("rep").alias(id_col)), id_col, "left_semi")
         if has_nameless:
             texts = texts.select(id_col, text_col).union(docs.where(F.col(id_col).isNull()).select(id_col, text_col))
         return whole_sets(texts, n, id_col, text_col).join(wanted.drop("rep"), key).select("node", "elements").dropDuplicates(["node"])
 
     has_nameless = not classes.where("rep IS NULL").isEmpty()
-    links = materialise(first_links(groups, sets_of(materialise(groups.select("node").distinct(), "wanted")), percent), "links")
+    links = materialise(first_links(groups, sets_of(groups), percent), "links")
     component = materialise(connected_components(links.union(ties_of_ids(rows, classes))), "components")
     dealt = materialise(outsiders(groups, component), "outsiders")
     if not dealt.isEmpty():
