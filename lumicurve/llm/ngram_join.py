@@ -355,7 +355,7 @@ def _compare(percent: int):
 
 
 #: Sets to a chunk of the first pass, and how many of a group are its pivots (about).
-CHUNK, PIVOTS = 128, 16
+CHUNK, PIVOTS = 64, 12
 
 
 def first_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
