@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The observatory: latitude and longitude in degrees.
+# Latitude and longitude of the observatory in degrees.
 SITE = (43.1933116667, -81.3160233333)
 
 UNIX_JD, J2000 = 2440587.5, 2451545.0
@@ -89,11 +89,25 @@ def pixel_to_sky(x: Column, y: Column, wcs: dict[str, float], sip: dict[str, dic
     return from_tangent_plane(wcs["cd1_1"] * f + wcs["cd1_2"] * g, wcs["cd2_1"] * f + wcs["cd2_2"] * g, wcs["crval1"], wcs["crval2"])
 
 
-def sky_to_pixel(ra: Column, dec: Column, wcs: dict[str, float]) -> dict[str, Column]:
-    """Pixels of sky coordinates under a tangent-plane solution without distortion."""
+def sky_to_pixel(ra: Column, dec: Column, wcs: dict[str, float], sip: dict[str, dict[tuple[int, int], float]] | None = None, rounds: int = 6) -> dict[str, Column]:
+    """Pixels of sky coordinates under a tangent-plane solution. With SIP
+    polynomials the distortion is taken off in some rounds, each from the place
+    found before; small distortions settle in three or four."""
     p = tangent_plane(ra, dec, wcs["crval1"], wcs["crval2"])
     det = wcs["cd1_1"] * wcs["cd2_2"] - wcs["cd1_2"] * wcs["cd2_1"]
-    return {"x": wcs["crpix1"] + (wcs["cd2_2"] * p["xi"] - wcs["cd1_2"] * p["eta"]) / det, "y": wcs["crpix2"] + (wcs["cd1_1"] * p["eta"] - wcs["cd2_1"] * p["xi"]) / det}
+    f = (wcs["cd2_2"] * p["xi"] - wcs["cd1_2"] * p["eta"]) / det
+    g = (wcs["cd1_1"] * p["eta"] - wcs["cd2_1"] * p["xi"]) / det
+    if not sip:
+        return {"x": wcs["crpix1"] + f, "y": wcs["crpix2"] + g}
+
+    def part(name: str, u: Column, v: Column) -> Column:
+        return sum((c * F.pow(u, F.lit(m)) * F.pow(v, F.lit(n)) for (m, n), c in sip.get(name, {}).items()), F.lit(0.0))
+
+    # The rounds are an aggregate over a sequence, so that the expression does not double with each.
+    start = F.struct(f.alias("u"), g.alias("v"), f.alias("f"), g.alias("g"))
+    step = lambda s, _: F.struct((s["f"] - part("a", s["u"], s["v"])).alias("u"), (s["g"] - part("b", s["u"], s["v"])).alias("v"), s["f"].alias("f"), s["g"].alias("g"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    return {"x": wcs["crpix1"] + found["u"], "y": wcs["crpix2"] + found["v"]}
 
 
 def magnitude(flux: Column) -> Column:

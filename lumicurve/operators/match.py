@@ -123,39 +123,47 @@ def sky_distance(ra1: np.ndarray, dec1: np.ndarray, ra2: np.ndarray, dec2: np.nd
     return np.degrees(2 * np.arcsin(np.sqrt(np.minimum(h, 1.0))))
 
 
-def follow_minutes(pdf: pd.DataFrame, sky_tolerance: float, tolerance: float) -> np.ndarray:
-    """The star of each row (minute, local, x, y, ra, dec; in that order) of one night."""
-    place = np.empty((0, 4))  # sums of x, y, ra, dec
-    seen, seen_sky = np.empty(0), np.empty(0)
-    out = []
-    for _, m in pdf.groupby("minute", sort=True, dropna=False):
-        xy, sky = m[["x", "y"]].to_numpy(float), m[["ra", "dec"]].to_numpy(float)
-        on_sky, known = np.isfinite(sky).all(axis=1), np.flatnonzero(seen_sky > 0)
-        mine, taken = np.full(len(xy), -1), np.zeros(len(seen), bool)
-        rows = np.flatnonzero(on_sky)
-        if len(known) and len(rows):
-            mean = place[known, 2:] / seen_sky[known][:, None]
-            apart = sky_distance(sky[rows, 0], sky[rows, 1], mean[:, 0], mean[:, 1])
+class KnownStars:
+    """The stars of one night so far: sums of their places, and how often each was seen."""
+
+    def __init__(self, place: np.ndarray | None = None, seen: np.ndarray | None = None, seen_sky: np.ndarray | None = None):
+        self.place = np.empty((0, 4)) if place is None else place  # sums of x, y, ra, dec
+        self.seen = np.empty(0) if seen is None else seen
+        self.seen_sky = np.empty(0) if seen_sky is None else seen_sky
+
+    def follow(self, xy: np.ndarray, sky: np.ndarray, sky_tolerance: float, tolerance: float) -> np.ndarray:
+        """The star of each row of one minute; the sums take the rows in."""
+        on_sky, known = np.isfinite(sky).all(axis=1), np.flatnonzero(self.seen_sky > 0)
+        mine, taken = np.full(len(xy), -1), np.zeros(len(self.seen), bool)
+
+        def claim(rows: np.ndarray, stars: np.ndarray, apart: np.ndarray, limit: float) -> None:
             near = apart.argmin(axis=1)
             for row, k, d in zip(rows.tolist(), near.tolist(), apart[np.arange(len(rows)), near].tolist(), strict=True):
-                if d < sky_tolerance and not taken[known[k]]:
-                    mine[row], taken[known[k]] = known[k], True
+                if d < limit and not taken[stars[k]]:
+                    mine[row], taken[stars[k]] = stars[k], True
+
+        rows = np.flatnonzero(on_sky)
+        if len(known) and len(rows):
+            mean = self.place[known, 2:] / self.seen_sky[known][:, None]
+            claim(rows, known, sky_distance(sky[rows, 0], sky[rows, 1], mean[:, 0], mean[:, 1]), sky_tolerance)
         free, rows = np.flatnonzero(~taken), np.flatnonzero((mine < 0) & np.isfinite(xy).all(axis=1))
         if len(free) and len(rows):
-            mean = place[free, :2] / seen[free][:, None]
-            apart = np.hypot(xy[rows, :1] - mean[:, 0], xy[rows, 1:] - mean[:, 1])
-            near = apart.argmin(axis=1)
-            for row, k, d in zip(rows.tolist(), near.tolist(), apart[np.arange(len(rows)), near].tolist(), strict=True):
-                if d < tolerance and not taken[free[k]]:
-                    mine[row], taken[free[k]] = free[k], True
+            mean = self.place[free, :2] / self.seen[free][:, None]
+            claim(rows, free, np.hypot(xy[rows, :1] - mean[:, 0], xy[rows, 1:] - mean[:, 1]), tolerance)
         fresh = np.flatnonzero(mine < 0)
-        mine[fresh] = len(seen) + np.arange(len(fresh))
-        place, seen, seen_sky = np.vstack([place, np.zeros((len(fresh), 4))]), np.append(seen, np.zeros(len(fresh))), np.append(seen_sky, np.zeros(len(fresh)))
-        place[mine] += np.column_stack([np.nan_to_num(xy), np.where(on_sky[:, None], sky, 0.0)])
-        seen[mine] += 1
-        seen_sky[mine] += on_sky
-        out += mine.tolist()
-    return np.array(out, np.int64)
+        mine[fresh] = len(self.seen) + np.arange(len(fresh))
+        self.place = np.vstack([self.place, np.zeros((len(fresh), 4))])
+        self.seen, self.seen_sky = np.append(self.seen, np.zeros(len(fresh))), np.append(self.seen_sky, np.zeros(len(fresh)))
+        self.place[mine] += np.column_stack([np.nan_to_num(xy), np.where(on_sky[:, None], sky, 0.0)])
+        self.seen[mine] += 1
+        self.seen_sky[mine] += on_sky
+        return mine
+
+
+def follow_minutes(pdf: pd.DataFrame, known: KnownStars, sky_tolerance: float, tolerance: float) -> np.ndarray:
+    """The star of each row (minute, local, x, y, ra, dec; in that order) of one night."""
+    minutes = [known.follow(m[["x", "y"]].to_numpy(float), m[["ra", "dec"]].to_numpy(float), sky_tolerance, tolerance) for _, m in pdf.groupby("minute", sort=True, dropna=False)]
+    return np.concatenate([np.empty(0, np.int64), *minutes]).astype(np.int64)
 
 
 def global_star_ids(stars: DataFrame, key: str | list[str], tolerance: float = 2.0, sky_tolerance: float = 2.0 / 3600) -> DataFrame:
@@ -178,7 +186,7 @@ def global_star_ids(stars: DataFrame, key: str | list[str], tolerance: float = 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["minute", "local"])
-        return pdf.assign(star_id=follow_minutes(pdf, sky_tolerance, tolerance))
+        return pdf.assign(star_id=follow_minutes(pdf, KnownStars(), sky_tolerance, tolerance))
 
     columns = [*keys, "minute", "local", "x", "y", "ra", "dec"]
     fields = ", ".join(f"`{c}` {stars.schema[c].dataType.simpleString()}" for c in columns)

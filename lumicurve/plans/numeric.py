@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicurve.operators import numeric, series
+from lumicurve.operators import numeric, series, trials
 from lumicurve.plans.common import LC, curves, r6, ricker_sql, trend_sql
+from lumicurve.plans.match import NIGHT
 from lumicurve.plans.photometry import _selection, _vectors
 from lumicurve.plans.registry import query
 from lumicurve.session import work_dir
@@ -83,3 +84,41 @@ def stream_dip_scores(spark, sf_dir):
 def stream_minutes(spark, sf_dir):
     m = event_stream(spark, sf_dir).select(F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute"))
     return run_to_end(streams.new_minutes(m, "minute", "minute", "1 hour"), "minutes").select(F.unix_seconds("minute").alias("minute"))
+
+
+@query("stream_star_ids")
+def stream_star_ids(spark, sf_dir):
+    """Stars followed as a stream; the same as ``global_star_ids`` in batch."""
+    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    c = lambda k: F.col("embedding")[k].cast("double")
+    solved = F.col("vec_id") % 3 != 0
+    stars = e.select(F.floor(F.col("label") / NIGHT).alias("night"), F.col("label").alias("minute"), F.col("vec_id").alias("local"), (c(0) * 20).alias("x"), (c(1) * 20).alias("y"), F.when(solved, F.pmod(c(0) * 20, F.lit(360.0))).alias("ra"), F.when(solved, c(1) * 200).alias("dec"))
+    return run_to_end(streams.followed_stars(stars, "night", 2.0, 0.5), "stars")
+
+
+@query("stream_complete_nights", "SELECT strftime(ts, '%Y-%m-%d') AS night FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 3")
+def stream_complete_nights(spark, sf_dir):
+    e = event_stream(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("night"), F.col("event_type").alias("scope"), F.col("ts").cast("timestamp").alias("t"))
+    return run_to_end(streams.complete_nights(e, "night", "scope", "t"), "nights")
+
+
+BANKS = trials.shapes()
+
+
+@query("template_banks")
+def template_banks(spark, sf_dir):
+    """The peak of every bank of templates: all widths, in numpy on one series at a time."""
+    import pandas as pd
+
+    detectors = trials.detector_grid(BANKS, ["mean_subtract"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, kept, out = pdf.sort_values("i")["flux"].to_numpy(float), {}, []
+        for name, d in detectors.items():
+            score = d.scores(x, kept).round(9)
+            out.append((pdf["star"].iloc[0], name.split("@")[0], float(score.max()), int(score.argmax())))
+        return pd.DataFrame(out, columns=["star", "shape", "peak", "frame"])
+
+    found = series.indexed(curves(spark, sf_dir), "star", ["t", "event_id"]).groupBy("star").applyInPandas(run, "star string, shape string, peak double, frame long")
+    return found.select("star", "shape", r6("peak").alias("peak"), "frame")

@@ -172,3 +172,30 @@ def unpack_12bit(spark, sf_dir):
     digits = F.transform("embedding", lambda v: F.lpad(F.hex((F.floor((v.cast("double") + 1) * 100) % 256).cast("long")), 2, "0"))
     packed = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.concat(F.array_join(digits, ""), F.lit("0000"))).alias("data"))
     return packed.select("vec_id", F.posexplode(text.unpack12(F.col("data"))).alias("i", "pixel"))
+
+
+@query("kernel_geometry", "SELECT p_partkey, round(29800.0 * (1 - sqrt(1.0 / (30 + p_size % 16))), 6) AS speed, round(p_size * 1e9 * tan(0.05 / 206265000.0 / 2), 6) AS disc, round(p_size * 20 / sqrt(5e-7 * (30 + p_size % 16) * 1.496e11 / 2), 6) AS scaled, (ceil(p_size / 3.0) - CASE WHEN ceil(p_size / 3.0) % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS frames FROM part")
+def kernel_geometry(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    size, dist = F.col("p_size"), 30 + F.col("p_size") % 16
+    return p.select(
+        "p_partkey",
+        r6(astro.transverse_velocity(dist)).alias("speed"),
+        r6(astro.stellar_radius(F.lit(0.05), size * 1e9)).alias("disc"),
+        r6(astro.fresnel_units(size * 20, F.lit(5e-7), dist * 1.496e11)).alias("scaled"),
+        astro.round_odd(size / 3.0).cast("long").alias("frames"),
+    )
+
+
+@query("repaired_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT') || printf('%02d', (hour(ts) + CASE WHEN event_id % 3 = 0 THEN 24 ELSE 0 END) % 24) || strftime(ts, ':%M:%S') AS fixed FROM events")
+def repaired_times(spark, sf_dir):
+    hour = F.hour("ts") + F.when(F.col("event_id") % 3 == 0, 24).otherwise(0)
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'"), F.format_string("%02d", hour), F.date_format("ts", ":mm:ss"))
+    return table(spark, sf_dir, "events").select("event_id", text.repaired_hour(iso).alias("fixed"))
+
+
+@query("field_star_hours", "SELECT 'field' || (user_id % 25) AS field, count(*) AS frames, round(count(*) * 0.025 / 3600 * count(DISTINCT event_type), 9) AS star_hours FROM events GROUP BY 1")
+def field_star_hours(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("field"), (F.col("user_id") % 25).cast("string")).alias("field"), "event_type")
+    n = e.groupBy("field").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("event_type").alias("stars"))
+    return n.select("field", "frames", F.round(F.col("frames") * 0.025 / 3600 * F.col("stars"), 9).alias("star_hours"))

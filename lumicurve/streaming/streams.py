@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumicurve.operators.match import KnownStars, follow_minutes
 from lumicurve.operators.series import ricker
 
 
@@ -43,8 +44,10 @@ def binned(samples: DataFrame, key: str, time: str, value: str, width: str, late
     return b.select(key, F.col("w.start").alias("start"), "value", "n")
 
 
-def dip_scores(samples: DataFrame, key: str, value: str = "flux", order: str = "frame", detrend_width: int = 200, kernel_width: float = 6.0, taps: int = 49) -> DataFrame:
-    """(key, frame, score): detrended and convolved samples as they come.
+def dip_scores(samples: DataFrame, key: str, value: str = "flux", order: str = "frame", detrend_width: int = 200, kernel_width: float = 6.0, taps: int = 49, idle: str | None = None) -> DataFrame:
+    """(key, frame, score): detrended and convolved samples as they come. With
+    ``idle`` (such as "10 minutes") a key without new samples for so long is
+    forgotten, so that the state holds only series that still grow.
 
     Each key's state is the stretch of samples that scores still to come need:
     half a running mean and half a kernel on both sides. A sample's score is
@@ -54,6 +57,9 @@ def dip_scores(samples: DataFrame, key: str, value: str = "flux", order: str = "
     kernel = np.array(ricker(kernel_width, taps))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = pd.concat([pd.DataFrame({"f": state.get[0], "v": state.get[1]}) if state.exists else pd.DataFrame({"f": [], "v": []}), *[b[[order, value]].set_axis(["f", "v"], axis=1) for b in batches]])
         held = held.sort_values("f").drop_duplicates("f")
         f, v = held["f"].to_numpy(np.int64), held["v"].to_numpy(float)
@@ -67,7 +73,57 @@ def dip_scores(samples: DataFrame, key: str, value: str = "flux", order: str = "
             keep = at[-1] + 1 - reach
             f, v = f[keep:], v[keep:]
         state.update((f.tolist(), v.tolist()))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield out
 
     kind = samples.schema[key].dataType.simpleString()
-    return samples.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, frame long, score double", "f array<long>, v array<double>", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, frame long, score double", "f array<long>, v array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+def followed_stars(stars: DataFrame, night: str, tolerance: float = 2.0, sky_tolerance: float = 2.0 / 3600, idle: str | None = None) -> DataFrame:
+    """(night, minute, local, star_id): stars (night, minute, local, x, y, ra,
+    dec) followed as their minutes come, as ``global_star_ids`` does in batch.
+    Minutes of a night arrive in order; what a night knows of its stars is
+    its state. With ``idle`` (such as "1 day") it goes when no minute has come
+    for so long; a stream that waits for that never ends by itself, so runs over
+    what there is now do without."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        place, seen, seen_sky = (np.array(v, float) for v in state.get) if state.exists else (np.empty(0),) * 3
+        known = KnownStars(place.reshape(-1, 4), seen, seen_sky)
+        rows = pd.concat(list(batches)).sort_values(["minute", "local"])
+        ids = follow_minutes(rows, known, sky_tolerance, tolerance)
+        state.update((known.place.ravel().tolist(), known.seen.tolist(), known.seen_sky.tolist()))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        yield pd.DataFrame({night: k[0], "minute": rows["minute"].to_numpy(), "local": rows["local"].to_numpy(), "star_id": ids})
+
+    kinds = ", ".join(f"`{c}` {stars.schema[c].dataType.simpleString()}" for c in (night, "minute", "local"))
+    schema = "place array<double>, seen array<double>, seen_sky array<double>"
+    return stars.groupBy(night).applyInPandasWithState(step, f"{kinds}, star_id long", schema, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+def complete_nights(done: DataFrame, night: str, scope: str, time: str, scopes: int = 3, late: str = "1 hour") -> DataFrame:
+    """(night): each night once all of its scopes have said they are done
+    (night, scope, time), which is what a stage that needs them all waits for.
+    A night is forgotten when the watermark has passed it."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        have, told = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
+        for b in batches:
+            have |= set(b[scope].dropna().astype(str))
+        ready = len(have) >= scopes
+        state.update((sorted(have), told or ready))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + int(pd.Timedelta(late).total_seconds() * 1000) + 1)
+        if ready and not told:
+            yield pd.DataFrame({night: [k[0]]})
+
+    kind = done.schema[night].dataType.simpleString()
+    return done.withWatermark(time, late).groupBy(night).applyInPandasWithState(step, f"`{night}` {kind}", "have array<string>, told boolean", "append", GroupStateTimeout.EventTimeTimeout)

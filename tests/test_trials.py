@@ -286,3 +286,40 @@ def test_streamed_bins(spark, tmp_path):
     s = spark.readStream.schema("k string, t timestamp, v long").parquet(str(tmp_path))
     got = sorted((r.start.second, r.value, r.n) for r in run_to_end(streams.binned(s, "k", "t", "v", "5 seconds", "1 second"), "bins").collect())
     assert got[:3] == [(0, 2.0, 5), (5, 7.0, 5), (10, 12.0, 5)]
+
+
+def test_template_banks_equal_sums(spark):
+    from lumicurve.plans import catalog
+    from lumicurve.plans.common import curves
+
+    got = {(r.star, r["shape"]): (r.peak, r.frame) for r in catalog.QUERIES["template_banks"](spark, "/root/testdata/sf0.001").collect()}
+    rows = curves(spark, "/root/testdata/sf0.001").toPandas().sort_values(["t", "event_id"])
+    star = rows.star.iloc[0]
+    x = rows[rows.star == star].flux.to_numpy()
+    d = x - numeric.running_mean(x, 200)
+    for shape, width in (("box", 6), ("delta", 1)):
+        scores = [-sum(d[i + k] for k in range(-(width // 2), width - width // 2) if 0 <= i + k < len(d)) / math.sqrt(width) / d.std() for i in range(len(d))]
+        assert got[star, shape] == (pytest.approx(max(scores), abs=1e-6), int(np.argmax(scores)))
+    wide = max(got[star, "box_bank"][0], got[star, "box"][0])
+    assert got[star, "box_bank"][0] == wide and len(got) == 5 * rows.star.nunique()
+
+
+def test_streamed_stars_equal_batch(spark):
+    from lumicurve.plans import catalog
+
+    batch = {(r.night, r.minute, r.local): r.star_id for r in catalog.QUERIES["global_star_ids"](spark, "/root/testdata/sf0.001").collect()}
+    stream = {(r.night, r.minute, r.local): r.star_id for r in catalog.QUERIES["stream_star_ids"](spark, "/root/testdata/sf0.001").collect()}
+    assert batch == stream and batch
+
+
+def test_distortion_is_taken_off_again(spark):
+    from lumicurve.functions import astro
+
+    wcs = {"crpix1": 500.0, "crpix2": 400.0, "crval1": 270.0, "crval2": -20.0, "cd1_1": -6e-4, "cd1_2": 1e-5, "cd2_1": 1e-5, "cd2_2": 6e-4}
+    sip = {"a": {(2, 0): 2e-6, (1, 1): -1e-6}, "b": {(0, 2): 3e-6, (3, 0): 1e-9}}
+    at = spark.createDataFrame([(10.0, 20.0), (900.0, 700.0), (500.0, 400.0)], "x double, y double")
+    sky = astro.pixel_to_sky(F.col("x"), F.col("y"), wcs, sip)
+    on_sky = at.select("x", "y", sky["ra"].alias("ra"), sky["dec"].alias("dec"))
+    back = astro.sky_to_pixel(F.col("ra"), F.col("dec"), wcs, sip)
+    for r in on_sky.select("x", "y", back["x"].alias("bx"), back["y"].alias("by")).collect():
+        assert (r.bx, r.by) == pytest.approx((r.x, r.y), abs=1e-3)
