@@ -248,9 +248,11 @@ def with_found(base: list[Span], found: list[tuple[int, int]]) -> list[Span]:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id) of every row.
 
-    A null text is empty: no spans. Ids may be null or repeat, each row has its
-    own result; an empty table gives an empty result; other columns are not
-    read. ``options`` go to ``learn_patterns``.
+    What patterns can mark (kind ``id``) are runs of eight or more letters,
+    digits and _+/- that hold a digit; shorter ones, and those of letters alone,
+    are never taken for identifiers. A null text is empty: no spans. Ids may be
+    null or repeat, each row has its own result; an empty table gives an empty
+    result; other columns are not read. ``options`` go to ``learn_patterns``.
     """
     extracted = materialise(extract(docs, id_col, text_col), "pii-extracted")
     learnt = learn_patterns(extracted, docs, text_col, **options)
