@@ -3,15 +3,22 @@
 Prefix sums of the turns' tokens cut a conversation into spans of whole turns.
 Each span is a window: the conversation's system turn and a limited history of
 the span before are repeated in front of its own turns, and only assistant
-texts among the own turns are under the loss mask. All of it is one hash
-partitioning by conversation: the window functions and both groupings below
-reuse it.
+texts among the own turns are under the loss mask.
+
+No task needs a whole conversation for that. Turns are dealt by conversation and
+block of turn numbers; sums of the blocks in front are added to the running sums
+within a block, one row per span tells where it ends, and windows are put
+together by conversation and span.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+#: Turn numbers to a block, within which turns are put in order.
+BLOCK_TURNS = 512
 
 # The template's control strings; a turn is
 # <s>role[INST]text[/INST]</s>.
@@ -71,18 +78,27 @@ def chat_windows(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("_id"), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_role"), text.alias("_text"))
     rows = rows.withColumn("_tokens", (turn_tokens(F.col("_role"), F.col("_text")) if tokens is None else tokens).cast("long"))
-    in_order = Window.partitionBy("_id").orderBy("_turn", "_role", "_text")
-    rows = rows.withColumn("_n", F.row_number().over(in_order)).withColumn("_to", F.sum("_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_stride", F.floor((F.col("_to") - 1) / stride)).withColumn("_before", F.lag("_stride").over(in_order))
-    starts = F.when(F.col("_before").isNotNull() & (F.col("_before") != F.col("_stride")), 1).otherwise(0)
-    rows = rows.withColumn("_span", F.sum(starts).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole, span = Window.partitionBy("_id"), Window.partitionBy("_id", "_span")
-    rows = rows.withColumn("_last_span", F.max("_span").over(whole)).withColumn("_span_n", F.max("_n").over(span)).withColumn("_span_to", F.max("_to").over(span))
+    # Blocks of turn numbers, and what stands in front of each.
+    is_number = isinstance(turns.schema[turn_col].dataType, IntegralType)
+    rows = rows.withColumn("_block", F.floor(F.col("_turn") / BLOCK_TURNS).cast("long") if is_number else F.lit(0).cast("long"))
+    blocks = rows.groupBy("_id", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_tokens").alias("_sum"))
+    ahead = Window.partitionBy("_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda c, name: F.coalesce(F.sum(c).over(ahead), F.lit(0).cast("long")).alias(name)
+    blocks = blocks.select(F.col("_id").alias("_id_b"), F.col("_block").alias("_block_b"), offset("_rows", "_rows_before"), offset("_sum", "_sum_before"))
+    rows = rows.join(blocks, F.col("_id").eqNullSafe(F.col("_id_b")) & F.col("_block").eqNullSafe(F.col("_block_b"))).drop("_id_b", "_block_b")
+    in_order = Window.partitionBy("_id", "_block").orderBy("_turn", "_role", "_text")
+    running = F.sum("_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_n", F.col("_rows_before") + F.row_number().over(in_order)).withColumn("_to", F.col("_sum_before") + running).withColumn("_stride", F.floor((F.col("_to") - 1) / stride))
+    # Spans: the turns that end in one stride. One row each says where it ends, which it is, and how many there are.
+    spans = rows.groupBy("_id", "_stride").agg(F.max("_n").alias("_span_n"), F.max("_to").alias("_span_to"))
+    whole = Window.partitionBy("_id")
+    spans = spans.select(F.col("_id").alias("_id_s"), F.col("_stride").alias("_stride_s"), "_span_n", "_span_to", (F.row_number().over(whole.orderBy("_stride")) - 1).alias("_span"), (F.count(F.lit(1)).over(whole) - 1).alias("_last_span"))
+    rows = rows.join(spans, F.col("_id").eqNullSafe(F.col("_id_s")) & (F.col("_stride") == F.col("_stride_s"))).drop("_id_s", "_stride_s")
     is_system = (F.col("_n") == 1) & (F.col("_role") == "system")
     is_history = ~is_system & (F.col("_span") < F.col("_last_span")) & (F.col("_span_n") - F.col("_n") < history_turns) & (F.col("_span_to") - F.col("_to") + F.col("_tokens") <= history_tokens)
     own = F.array(F.struct(F.col("_span").cast("long").alias("window"), F.lit(False).alias("again")))
     later = F.when(is_system & (F.col("_last_span") > 0), F.transform(F.sequence(F.lit(1).cast("long"), F.col("_last_span")), lambda w: F.struct(w.alias("window"), F.lit(True).alias("again"))))
-    later = later.when(is_history, F.array(F.struct((F.col("_span") + 1).alias("window"), F.lit(True).alias("again"))))
+    later = later.when(is_history, F.array(F.struct((F.col("_span") + 1).cast("long").alias("window"), F.lit(True).alias("again"))))
     shown = rows.select("_id", "_n", "_role", "_text", "_tokens", F.explode(F.concat(own, F.coalesce(later, F.slice(own, 1, 0)))).alias("_at"))
     head = F.concat(F.lit(OPEN), escape(F.col("_role")), F.lit(TEXT))
     body = escape(F.col("_text"))
@@ -113,7 +129,8 @@ def chat_windows(
 
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """What the windows of each conversation say: n_turns, turns_sha256 (of
+    """What the windows of each conversation say, for checks: since it digests a
+    conversation's text as a whole, that text comes together here. n_turns, turns_sha256 (of
     role, line end, text, line end for each turn), loss_chars and loss_sha256
     (of the texts under the mask, unescaped), formatted_chars (of all windows)."""
     segments = F.filter(F.split(F.col("text"), CLOSE), lambda s: s != "")

@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 import public_tokenizers as P
 import pyarrow as pa
-from lumicurve.llm import language_id, ngram_join, quality
+from lumicurve.llm import chat_format, language_id, ngram_join, quality
 from lumicurve.llm.byte_bpe import TextEncoder
 from lumicurve.llm.chat_format import chat_windows, escape, read_back, unescape
 from lumicurve.llm.components import connected_components
@@ -224,6 +224,16 @@ def test_chat_round_trip(spark):
     assert read_back(chat_windows(turns.limit(0))).collect() == []
 
 
+def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
+    said = ["a short one", "é🎉 " * 40, "word " * 90, "", "</s> x"]
+    rows = [(c, None if t == 0 and c == 2 else t // 2, ("system", "user", "assistant")[(t > 0) + t % 2 * (t > 0)], said[(t + (c or 7)) % 5]) for c in (1, 2, None) for t in range(60)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    windows = lambda: sorted(map(str, chat_windows(turns, budget=900, system_tokens=100, history_tokens=300).collect()))
+    whole = windows()
+    monkeypatch.setattr(chat_format, "BLOCK_TURNS", 3)
+    assert windows() == whole and len(whole) > 30
+
+
 def test_windows_stay_within_their_budget(spark, bpe):
     """No window has more ids than its bound says, so none over the budget is left unmarked."""
     odd = [(10**6 + k, t, "user", text) for k, text in enumerate(noise(21, 60, "漢字é🎉<s>[/INST]\\ a", 400)) for t in range(3)]
