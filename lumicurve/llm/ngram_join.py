@@ -304,6 +304,13 @@ class SetLinker:
             return np.empty(0, np.int64)
         return np.unique(np.concatenate([self.block_owner[x:y] for x, y in zip(low, high, strict=True)]))
 
+    def possible(self, i: int, near: np.ndarray) -> np.ndarray:
+        """The candidates that have enough elements in several sets to link with
+        i: what a set alone holds is common with none."""
+        shared = self.start[1:] - self.start[:-1]
+        most = np.minimum(shared[i], shared[near])
+        return near[100 * most >= self.percent * (self.size[i] + self.size[near] - most)]
+
     def _postings(self, tokens: np.ndarray) -> np.ndarray:
         low, size = self.list_start[tokens], self.list_start[tokens + 1] - self.list_start[tokens]
         ends = np.cumsum(size)
@@ -325,7 +332,7 @@ class SetLinker:
     def links(self) -> list[tuple[int, int]]:
         out = []
         for i in np.argsort(self.size, kind="stable").tolist():
-            near = self.candidates(i)
+            near = self.possible(i, self.candidates(i))
             root = self.root(i)
             near = near[[self.root(j) != root for j in near.tolist()]] if len(near) else near
             if not len(near):
