@@ -89,7 +89,7 @@ def dark_subtracted(spark, sf_dir):
 
 @query("star_extraction")
 def star_extraction(spark, sf_dir):
-    found = images.find_stars(frames(spark, sf_dir), "frame", 1.5, 2, box=SIDE)
+    found = images.find_stars(frames(spark, sf_dir), "frame", 0.7, 2, box=SIDE)
     return found.select("frame", "star", *[r6(c).alias(c) for c in ("x", "y", "r", "flux")], "npix")
 
 
