@@ -228,10 +228,11 @@ def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
     said = ["a short one", "é🎉 " * 40, "word " * 90, "", "</s> x"]
     rows = [(c, None if t == 0 and c == 2 else t // 2, ("system", "user", "assistant")[(t > 0) + t % 2 * (t > 0)], said[(t + (c or 7)) % 5]) for c in (1, 2, None) for t in range(60)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    windows = lambda: sorted(map(str, chat_windows(turns, budget=900, system_tokens=100, history_tokens=300).collect()))
+    turns = turns.union(spark.createDataFrame([(5, 0, "user", "hi")], turns.schema))
+    windows = lambda **o: sorted(map(str, chat_windows(turns, budget=900, system_tokens=100, history_tokens=300, **o).collect()))
     whole = windows()
     monkeypatch.setattr(chat_format, "BLOCK_TURNS", 3)
-    assert windows() == whole and len(whole) > 30
+    assert windows(most_turns=10) == whole and len(whole) > 30
 
 
 def test_windows_stay_within_their_budget(spark, bpe):
