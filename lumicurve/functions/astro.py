@@ -50,6 +50,7 @@ def airmass(alt: Column) -> Column:
 
 def twilight(jd: Column, site: tuple[float, float] = SITE, altitude: float = -12.0) -> dict[str, Column]:
     """rise and set (Julian dates) of the sun passing the altitude, by the sunrise equation."""
+    # The coefficients of the public sunrise equation.
     day = F.floor(jd - J2000 + 0.0008) - site[1] / 360.0
     m = F.pmod(357.5291 + 0.98560028 * day, F.lit(360.0))
     r = F.radians(m)

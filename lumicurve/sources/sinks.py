@@ -33,6 +33,7 @@ def detection_texts(detections: DataFrame, samples: DataFrame) -> DataFrame:
     cutout has some 80 samples, so a text is small."""
     h = lambda label, c: F.concat(F.lit(f"#    {label}: "), F.coalesce(F.col(c).cast("string"), F.lit("N/A")))
     number = lambda label, c, f: F.concat(F.lit(f"#    {label}: "), F.coalesce(F.format_string(f, F.col(c)), F.lit("N/A")))
+    # The labels, number formats and order of the file's header.
     lines = [
         F.lit("#\n#\n#\n#"),
         h("Event File", "event_file"),
