@@ -12,6 +12,7 @@ from lumicurve.llm import language_id, quality
 from lumicurve.llm.byte_bpe import bpe_round_trip
 from lumicurve.llm.chat_format import chat_windows, read_back
 from lumicurve.llm.embed_dedup import near_duplicates
+from lumicurve.llm.filter_audit import filter_audit
 from lumicurve.llm.ngram_join import jaccard_components
 from lumicurve.llm.packing import pack_sequences
 from lumicurve.llm.pii import find_personal_data
@@ -134,6 +135,49 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, [
+    len(words) < 50,
+    100 * len(list_distinct(words)) < 65 * len(words),
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t),
+    regexp_matches(t, '[#$%&*|]'),
+    coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS f
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), one AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM one a, one b, one c, one d, one e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, strpos('ABCDE', filter_order[step]) AS own, list_transform(range(1, step), lambda k: strpos('ABCDE', filter_order[k])) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), cells AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, f
+), r AS (
+  SELECT *, f[own] AS fails, list_bool_or(list_concat([false], list_transform(before, lambda k: f[k]))) AS gone FROM cells, steps
+), s AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, any_value(own) AS own,
+    CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails AND len(list_filter(f, lambda y: y)) = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step
+)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM s
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
@@ -146,12 +190,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op6_ngram_jaccard_join": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op8_embedding_near_dedup": OP8_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
