@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -82,11 +83,12 @@ def spans_of(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 class SegmentHash:
-    """64-bit hashes of byte segments, for whole arrays of segments at once.
+    """64-bit hashes of short byte segments, for whole arrays of segments at once.
 
     A polynomial over the bytes from prefix sums modulo 2^64 with an odd base
     (so that the power of a segment's start can be divided out), mixed with the
-    segment's length.
+    segment's length. Only for segments of bounded length: from 1,024 bytes on
+    there are pairs that collide whatever the base is (``word_hashes`` has none).
     """
 
     BASE = 0x9E3779B97F4A7C15 | 1
@@ -117,6 +119,31 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of a word that are hashed by lanes; what lies behind goes through BLAKE2b.
+LANE_BYTES = 256
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte segments of any length: lanes of eight bytes are
+    mixed into the hash one after the other, in rounds over all segments that
+    still have one. Segments of up to eight bytes and one length never collide."""
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    lanes = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    h = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live, at = np.flatnonzero(size > 0), 0
+    while len(live) and at < LANE_BYTES:
+        left = size[live] - at
+        h[live] = mix64(h[live] ^ (lanes[starts[live] + at] & _LANE_MASK[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    for i in live.tolist():
+        rest = hashlib.blake2b(raw[starts[i] + at : ends[i]].tobytes(), digest_size=8).digest()
+        h[i : i + 1] = mix64(h[i : i + 1] ^ np.frombuffer(rest, "<u8"))
+    return h
+
+
 #: Bytes that part words: space and the controls from tab to carriage return.
 BREAK = np.zeros(256, bool)
 BREAK[[*range(9, 14), 32]] = True

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicurve.llm.common import SegmentHash, in_batches, mix64, spans_of, text_bytes, window_hashes, words_of
+from lumicurve.llm.common import in_batches, mix64, spans_of, text_bytes, window_hashes, word_hashes, words_of
 from lumicurve.llm.components import connected_components
 from lumicurve.session import materialise
 
@@ -43,7 +43,7 @@ _LOWER[65:91] += 32
 SKETCH_SLOTS = 1 << 26
 
 
-def shingle_sets(column: pa.Array, n: int, hasher: SegmentHash) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text, A-Z lower-cased. A text
     with fewer words has its whole sequence as its only n-gram; one without
     words or text has none."""
@@ -52,7 +52,7 @@ def shingle_sets(column: pa.Array, n: int, hasher: SegmentHash) -> Iterator[np.n
     for a, b in spans_of(starts, 1 << 20):
         part, at = raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
         begin, end, first = words_of(part, at)
-        words = hasher(part, begin, end)
+        words = word_hashes(part, begin, end)
         for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if y == x:
                 yield np.empty(0, np.uint64)
@@ -80,7 +80,6 @@ def describe(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) ->
     numbers. Texts with equal sets count once in such a lot of documents."""
 
     def run(batches):
-        hasher = SegmentHash()
         lot: dict[tuple[int, int], np.ndarray] = {}
         held = 0
         kind = None
@@ -109,7 +108,7 @@ def describe(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) ->
         for b in batches:
             kind = b.column(0).type
             size, f1, f2 = [], [], []
-            for s in shingle_sets(b.column(1), n, hasher):
+            for s in shingle_sets(b.column(1), n):
                 p = fingerprint(s)
                 size.append(len(s))
                 f1.append(p[0])
@@ -216,10 +215,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, sketch, text_col: str) -> Da
     left out."""
 
     def run(batches):
-        hasher, order = SegmentHash(), sketch.value
+        order = sketch.value
         for b in batches:
             f1, f2, size, out = [], [], [], []
-            for s in shingle_sets(b.column(0), n, hasher):
+            for s in shingle_sets(b.column(0), n):
                 level = order.of(s)
                 by = np.lexsort((s, level))[: prefix_length(len(s), percent)] if len(s) else np.empty(0, np.int64)
                 first = s[by[level[by] > 0]] if order.complete else s[by]
@@ -238,9 +237,8 @@ def whole_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
     """(id, f1, f2, size, elements) of each row, the elements as bytes of sorted hashes."""
 
     def run(batches):
-        hasher = SegmentHash()
         for b in batches:
-            sets = list(shingle_sets(b.column(1), n, hasher))
+            sets = list(shingle_sets(b.column(1), n))
             prints = [fingerprint(s) for s in sets]
             numbers = [[p[0] for p in prints], [p[1] for p in prints], list(map(len, sets))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "f1", "f2", "size", "elements"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicurve.llm.common import SegmentHash, in_batches, spans_of, text_bytes, texts_of, window_hashes, words_of
+from lumicurve.llm.common import in_batches, spans_of, text_bytes, texts_of, window_hashes, word_hashes, words_of
 
 # The symbols that the base rule counts.
 SYMBOLS = "#*$%&|<>"
@@ -93,7 +93,7 @@ def duplicate_lines(text: str) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def statistics(column: pa.Array, hasher: SegmentHash, window: int = 8, min_words: int = 20, most_repeat_percent: int = 30) -> Statistics:
+def statistics(column: pa.Array, window: int = 8, min_words: int = 20, most_repeat_percent: int = 30) -> Statistics:
     """Statistics of every text of a string column; a null text has no words."""
     texts = texts_of(column)
     raw, starts = text_bytes(column)
@@ -103,7 +103,7 @@ def statistics(column: pa.Array, hasher: SegmentHash, window: int = 8, min_words
     for a, b in spans_of(starts, 1 << 20):
         part, at = raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
         begin, end, first = words_of(part, at)
-        hashes, size = hasher(part, begin, end), end - begin
+        hashes, size = word_hashes(part, begin, end), end - begin
         for i in range(a, b):
             counts[i] = np.bincount(part[at[i - a] : at[i - a + 1]], minlength=256) @ _MEMBERS
             x, y = first[i - a], first[i - a + 1]
@@ -242,9 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, id_col: s
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
 
     def run(batches):
-        hasher = SegmentHash()
         for b in batches:
-            s = statistics(b.column(0), hasher)
+            s = statistics(b.column(0))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(list(s.features), pa.list_(pa.float64()))], names=["id", "label", "x"])
 
     kind = labels.schema[id_col].dataType.simpleString()
@@ -273,9 +272,8 @@ def quality_report(docs: DataFrame, model: BoostedTrees | None, threshold: float
     """
 
     def run(batches):
-        hasher = SegmentHash()
         for b in batches:
-            s = statistics(b.column(1), hasher)
+            s = statistics(b.column(1))
             score, kept = judge(s, model, threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, s.base.values()), pa.array(score), pa.array(kept)], names=[id_col, *s.base, "score", "kept"])
 
@@ -288,8 +286,7 @@ def quality_filter(docs: DataFrame, model: BoostedTrees | None, threshold: float
     at = docs.columns.index(text_col)
 
     def run(batches):
-        hasher = SegmentHash()
         for b in batches:
-            yield b.filter(pa.array(judge(statistics(b.column(at), hasher), model, threshold)[1]))
+            yield b.filter(pa.array(judge(statistics(b.column(at)), model, threshold)[1]))
 
     return in_batches(docs, docs.columns, run, docs.schema)
