@@ -13,6 +13,7 @@ from lumicurve.llm.byte_bpe import bpe_round_trip
 from lumicurve.llm.chat_format import chat_windows, read_back
 from lumicurve.llm.embed_dedup import near_duplicates
 from lumicurve.llm.filter_audit import filter_audit
+from lumicurve.llm.fingerprints import fingerprint_report
 from lumicurve.llm.ngram_join import jaccard_components
 from lumicurve.llm.packing import pack_sequences
 from lumicurve.llm.pii import find_personal_data
@@ -178,6 +179,10 @@ SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGIN
 """
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
@@ -191,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
     "op12_filter_audit": op12_filter_audit,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
