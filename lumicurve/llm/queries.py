@@ -17,6 +17,7 @@ from lumicurve.llm.fingerprints import fingerprint_report
 from lumicurve.llm.ngram_join import jaccard_components
 from lumicurve.llm.packing import pack_sequences
 from lumicurve.llm.pii import find_personal_data
+from lumicurve.llm.prefix_trie import prefix_trie
 from lumicurve.llm.token_counts import token_counts
 from lumicurve.llm.url_filter import judge_urls
 
@@ -136,6 +137,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(strlen(role)::VARCHAR || ':' || role || text)) AS said FROM t GROUP BY c
+), h AS (
+  SELECT c, said, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda v, y: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT)::BIGINT % 4 AS h FROM o
+), w AS (
+  SELECT h.c, list_concat(coalesce(p.said, [])[1:h.h], h.said[h.h + 1:]) AS path FROM h LEFT JOIN o p ON p.c = h.c - h.c % 20
+), e AS (
+  SELECT c, len(path) AS size, unnest(range(0, len(path) + 1)) AS d, path FROM w
+), k AS (
+  SELECT c, size, d, path[1:d] AS key, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS words FROM e
+), n AS (
+  SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, max(size) AS deepest, (count(*) - 1) * any_value(words) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '')) AS ends_sha256 FROM k GROUP BY d, key
+), up AS (
+  SELECT n.conv_id, n.d, a.d AS top_d, b.conv_id AS top, n.saved, n.deepest FROM n JOIN k a ON a.c = n.conv_id AND a.d <= n.d JOIN n b ON b.d = a.d AND b.key = a.key
+), s AS (
+  SELECT top, top_d, sum(saved) AS saved_tokens, count(*) FILTER (deepest = d) AS n_leaves, count(*) FILTER (d = top_d + 1) AS n_children FROM up GROUP BY top, top_d
+)
+SELECT n.conv_id, n.d AS depth, p.top AS parent_conv_id, n.n_convs, CAST(s.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.top = n.conv_id AND s.top_d = n.d LEFT JOIN up p ON p.conv_id = n.conv_id AND p.d = n.d AND p.top_d = n.d - 1
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -195,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -203,6 +237,7 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard_join": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op8_embedding_near_dedup": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
