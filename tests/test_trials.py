@@ -63,60 +63,44 @@ def test_bessel_table():
     assert all(table[k, n] == pytest.approx(integral_bessel(n, v), abs=1e-10) for k, v in enumerate(x) for n in range(0, 80, 7))
 
 
-def slow_curve(exposure, low, high, radius, impact, au, mas, shift, reach, step, colours, ring):
-    """The model with loops over every distance, colour and point of the star's disc."""
-
-    def series_of(n, a, b):
-        total = 0.0
-        for k in range(400):
-            term = (-1) ** k * (a / b) ** (n + 2 * k) * integral_bessel(n + 2 * k, math.pi * a * b)
-            total += term
-            if abs(term) < 1e-5:
-                return total
-
-    metres = au * 1.496e11
-    disc = metres * math.tan(mas / 206265000.0 / 2)
-    places = np.arange(-reach, reach, step)
-    light = np.zeros(len(places))
-    for c in range(colours):
-        unit = math.sqrt((low + c * (high - low) / colours) * metres / 2)
-        p, b, s = radius / unit, impact / unit, disc / unit
-        line = np.linspace(-s, s, 2 * ring - 1)
-        points = [(x, y) for x in line for y in line if math.hypot(x, y) <= s] if s else [(0.0, 0.0)]
-        for k, v in enumerate(places):
-            value = 0.0
-            for x, y in points:
-                rho = round(math.hypot(v / unit - x, y - b), 2)
-                if rho > p:
-                    u1, u2, angle = series_of(1, p, rho), series_of(2, p, rho), math.pi * (rho**2 + p**2) / 2
-                    value += 1 + u1**2 + u2**2 + 2 * (u2 * math.cos(angle) - u1 * math.sin(angle))
-                else:
-                    value += (series_of(0, rho, p) ** 2 + series_of(1, rho, p) ** 2) if rho else 1.0
-            light[k] += value / len(points) / colours
-    speed = 29800 * (1 - au**-0.5)
-    frame = math.ceil(exposure / (step / speed))
-    frame -= frame % 2 == 0
-    phase = shift + 1 if shift < 0 else shift
-    first = (len(light) // 2) % frame - (frame - 1) // 2
-    while first < 0:
-        first += frame
-    first += int(frame * phase)
-    out, last = light.copy(), first
-    for at in range(first, len(light) - frame + 1, frame):
-        out[at : at + frame] = light[at : at + frame].mean()
-        last = at + frame
-    if last < len(light):
-        out[last:] = light[last:].mean()
-    if first:
-        out[:first] = light[:first].mean()
-    return out[::frame]
+def diffracted(rho, p, points=4000):
+    """Intensity behind a disc by Babinet's principle: the diffraction integral
+    over the disc, by quadrature, taken from the open wave."""
+    r = (np.arange(points) + 0.5) * p / points
+    j0 = np.cos(np.pi * r[:, None] * rho * np.sin(np.linspace(0, np.pi, 400, endpoint=False))).mean(axis=1)
+    disc = (np.exp(0.5j * np.pi * r * r) * j0 * r).sum() * p / points
+    return abs(1 + 1j * np.pi * np.exp(0.5j * np.pi * rho * rho) * disc) ** 2
+
+
+@pytest.mark.parametrize("p", [0.3, 0.8, 1.0, 2.5])
+def test_intensity_equals_the_diffraction_integral(p):
+    rho = np.array([0.0, 0.2 * p, 0.7 * p, 1.3 * p, 2.0, 4.0, 9.0])
+    assert numeric.intensity_at(rho, p) == pytest.approx([diffracted(x, p) for x in rho], abs=2e-4)
+    # The bright spot in the middle of any round shadow, and full light far from it.
+    assert numeric.intensity_at(np.array([0.0]), p)[0] == pytest.approx(1.0)
+    assert numeric.intensity_at(np.linspace(60, 61, 50), p).mean() == pytest.approx(1.0, abs=0.01)
+
+
+def test_curve_of_a_point_source():
+    """One colour, a point source, exposures of one step: the intensity at each
+    place; a finite disc, a band and longer exposures only take means of it."""
+    unit = math.sqrt(5e-7 * 40 * numeric.AU_METRES / 2)
+    places = np.arange(-4000.0, 4000.0, 80.0)
+    rho = np.round(np.hypot(places, 150.0) / unit, 2)
+    got = numeric.occultation_curve(1e-6, (5e-7, 5e-7), 600.0, 150.0, 40.0, 0.0, 0.0, reach=4000.0, step=80.0)
+    assert got == pytest.approx([diffracted(x, 600.0 / unit) for x in rho], abs=2e-4)
+    assert got[1:] == pytest.approx(got[:0:-1], abs=1e-9)
+    wide = numeric.occultation_curve(1e-6, (4e-7, 7e-7), 600.0, 150.0, 40.0, 0.05, 0.0, reach=4000.0, step=80.0, colours=2, ring=2)
+    assert np.ptp(wide) < np.ptp(got) and wide.mean() == pytest.approx(got.mean(), abs=0.03)
 
 
 @pytest.mark.parametrize("shift", [0.0, -0.3, 0.4])
-def test_diffraction_equals_loops(shift):
-    own = (600.0, 150.0, 40.0, 0.05, shift)
-    got = numeric.occultation_curve(0.025, (4e-7, 7e-7), *own, reach=4000.0, step=80.0, colours=2, ring=2)
-    assert got == pytest.approx(slow_curve(0.025, 4e-7, 7e-7, *own, 4000.0, 80.0, 2, 2), abs=1e-6)
+def test_exposures_are_means_of_their_samples(shift):
+    x = np.random.default_rng(3).normal(size=103)
+    out = numeric.exposures(x, 7, shift)
+    means = {round(float(v), 9) for k in range(len(x)) for v in [x[k : k + 7].mean()]} | {round(float(x[:k].mean()), 9) for k in range(1, 14)} | {round(float(x[-k:].mean()), 9) for k in range(1, 7)}
+    assert len(out) in (15, 16) and all(round(float(v), 9) in means for v in out)
+    assert numeric.exposures(np.ones(103), 7, shift) == pytest.approx(1.0)
 
 
 def test_filter_blocks_equal_single_steps():
