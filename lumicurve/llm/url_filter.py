@@ -10,8 +10,9 @@
    of a url is counted under what the other words of that url say.
 
 Tables of words, names and odds stay in Spark and are joined, whatever their
-size; hot words and names are dealt out by a salt. Only a few sums reach the
-driver.
+size; hot names and tokens are dealt out by a salt, and the shortest words,
+which are parts of most names, are few enough to be broadcast. Only a few sums
+reach the driver.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ COMMON_WORDS = frozenset(
 #: In how many parts the rows of one name or token are joined.
 SALTS = 16
 
+#: Words of so few letters are broadcast: there are at most 26^2 + 26^3 of them.
+SHORT = 3
+
 #: Letters of the longest word: a host's label has at most 63 characters.
 LONGEST = 63
 
@@ -133,7 +137,9 @@ def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     lengths = F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("name") - F.col("start")))
     parts = starts.where(F.length("name") - F.col("start") >= 2).withColumn("length", F.explode(lengths))
     parts = parts.withColumn("word", F.substring("name", F.col("start") + 1, F.col("length")))
-    found = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("found"))
+    is_short = F.length("word") <= SHORT
+    found = parts.where(is_short).join(F.broadcast(counts.where(is_short)), "word").unionByName(parts.where(~is_short).join(counts.where(~is_short), "word"))
+    found = found.groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("found"))
 
     def run(batches):
         for b in batches:
