@@ -106,13 +106,12 @@ def time_bins(df: DataFrame, key: Names, time: str, value: str, width: float, ho
     multiple of the width; bins without samples have a null value."""
     keys = _list(key)
     agg = {"mean": F.avg, "median": F.median, "sum": F.sum}[how]
-    w = Window.partitionBy(*keys)
-    t0, t1 = F.min(time).over(w), F.max(time).over(w)
-    bins = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0")) / width)).cast("long")
-    placed = df.withColumn("_t0", t0).withColumn("_t1", t1).withColumn("_bins", bins)
+    ends = df.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    ends = ends.select(*keys, "_t0", F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0")) / width)).cast("long").alias("_bins"))
+    placed = df.join(ends, keys)
     placed = placed.withColumn("bin", F.least(F.floor((F.col(time) - F.col("_t0")) / width), F.col("_bins") - 1).cast("long"))
     full = placed.groupBy(*keys, "bin").agg(agg(value).alias("value"), F.count(value).alias("n"))
-    axis = placed.groupBy(*keys).agg(F.first("_t0").alias("_t0"), F.first("_bins").alias("_bins")).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bins") - 1)))
+    axis = ends.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bins") - 1)))
     out = axis.join(full, [*keys, "bin"], "left")
     return out.select(*keys, "bin", (F.col("_t0") + (F.col("bin") + 0.5) * width).alias("t_center"), "value", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 

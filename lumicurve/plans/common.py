@@ -20,6 +20,10 @@ def curves(spark: SparkSession, sf_dir: str, star: str = "event_type") -> DataFr
     return table(spark, sf_dir, "events").select(F.col(star).alias("star"), "event_id", seconds("ts").alias("t"), F.col("value").alias("flux"))
 
 
+#: Samples of a stretch of the long curves: so few that even the smallest tables have several.
+STRETCH = 1024
+
+
 def r6(c: str | Column) -> Column:
     """Six decimals, and no negative zero."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + 0.0

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicurve.operators import numeric, series, trials
-from lumicurve.plans.common import LC, curves, r6, ricker_sql, trend_sql
+from lumicurve.operators import numeric, series, stretches
+from lumicurve.plans.common import LC, STRETCH, curves, r6, ricker_sql, trend_sql
 from lumicurve.plans.match import NIGHT
 from lumicurve.plans.photometry import _selection, _vectors
 from lumicurve.plans.registry import query
@@ -23,7 +23,10 @@ def _with(spark: SparkSession, sf_dir: str, fn, out: str) -> DataFrame:
 
 @query("median_divide", f"WITH {LC}, m AS (SELECT *, i AS pos FROM lc UNION ALL SELECT *, -1 - i FROM lc WHERE i < 100 UNION ALL SELECT *, 2 * n - 1 - i FROM lc WHERE i >= n - 100), w AS (SELECT *, median(flux) OVER (PARTITION BY star ORDER BY pos ROWS BETWEEN 100 PRECEDING AND 99 FOLLOWING) AS md FROM m) SELECT star, i, round(CASE WHEN abs(md) < 1e-10 THEN 0 ELSE flux / md - 1 END, 6) AS ratio FROM w WHERE pos = i")
 def median_divide(spark, sf_dir):
-    return _with(spark, sf_dir, numeric.median_divide, "ratio")
+    s = stretches.indexed(curves(spark, sf_dir), "star", ["t", "event_id"], length=STRETCH).select("star", "i", "flux")
+    # Medians of a stretch and its mirrored halo; what the ends of the halo give is not the stretch's own.
+    d = stretches.per_stretch(s, "star", "flux", numeric.median_divide, 100, "ratio", mirrored=True, length=STRETCH)
+    return d.select("star", "i", r6("ratio").alias("ratio"))
 
 
 @query("bandpass")
@@ -46,13 +49,6 @@ def pca_differential(spark, sf_dir):
     return numeric.pca_differential(members.join(v, "star")).select("target", "t", r6("rel").alias("rel"))
 
 
-@query("occultation_curves")
-def occultation_curves(spark, sf_dir):
-    radii = spark.createDataFrame([(k, 500.0 + 500.0 * k, 0.02, 0.0, 0.0, 40.0) for k in range(4)], "kernel_id long, object_r double, star_d double, impact double, shift double, dist double")
-    bank = numeric.occultation_bank(radii.repartition(4))
-    return bank.select("kernel_id", F.posexplode("curve").alias("frame", "v")).select("kernel_id", "frame", r6("v").alias("flux"))
-
-
 def run_to_end(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over all its input there is now, and read what it wrote."""
     spark = df.sparkSession
@@ -101,24 +97,3 @@ def stream_star_ids(spark, sf_dir):
 def stream_complete_nights(spark, sf_dir):
     e = event_stream(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("night"), F.col("event_type").alias("scope"), F.col("ts").cast("timestamp").alias("t"))
     return run_to_end(streams.complete_nights(e, "night", "scope", "t"), "nights")
-
-
-BANKS = trials.shapes()
-
-
-@query("template_banks")
-def template_banks(spark, sf_dir):
-    """The peak of every bank of templates: all widths, in numpy on one series at a time."""
-    import pandas as pd
-
-    detectors = trials.detector_grid(BANKS, ["mean_subtract"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, kept, out = pdf.sort_values("i")["flux"].to_numpy(float), {}, []
-        for name, d in detectors.items():
-            score = d.scores(x, kept).round(9)
-            out.append((pdf["star"].iloc[0], name.split("@")[0], float(score.max()), int(score.argmax())))
-        return pd.DataFrame(out, columns=["star", "shape", "peak", "frame"])
-
-    found = series.indexed(curves(spark, sf_dir), "star", ["t", "event_id"]).groupBy("star").applyInPandas(run, "star string, shape string, peak double, frame long")
-    return found.select("star", "shape", r6("peak").alias("peak"), "frame")

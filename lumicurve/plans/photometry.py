@@ -121,7 +121,6 @@ REFERENCES = f"WITH {SEL} SELECT target, ref, rank FROM sl"
 
 
 @query("reference_selection", REFERENCES)
-@query("reference_selection_all", REFERENCES)
 def reference_selection(spark, sf_dir):
     return _selection(spark, sf_dir).select("target", "ref", F.col("rank").cast("long").alias("rank"))
 
@@ -130,7 +129,6 @@ ENSEMBLE = f"WITH {SEL}, {VECTORS}, dn AS (SELECT target, t, avg(flux) AS d FROM
 
 
 @query("ensemble_differential", ENSEMBLE)
-@query("ensemble_differential_all", ENSEMBLE)
 def ensemble_differential(spark, sf_dir):
     return robust.ensemble(_vectors(spark, sf_dir), _selection(spark, sf_dir)).select("target", "t", r6("rel").alias("rel"))
 
@@ -143,7 +141,6 @@ SELECT target, ref, rank, round(sse, 6) AS sse FROM k2 WHERE rank <= greatest(3,
 
 
 @query("idl_reference_selection", IDL)
-@query("idl_reference_selection_all", IDL)
 def idl_reference_selection(spark, sf_dir):
     s = robust.similar_references(_vectors(spark, sf_dir), _selection(spark, sf_dir))
     return s.select("target", "ref", F.col("rank").cast("long").alias("rank"), r6("sse").alias("sse"))
@@ -160,18 +157,18 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TR = "tr AS (SELECT doc_id AS trial_id, CASE WHEN quality = 1 THEN 'inject' ELSE 'null' END AS kind, log10(n_chars + 1) + quality * 0.5 AS peak, doc_id % 40 AS frame, 20 AS center, (doc_id % 97) / 97.0 AS depth, (n_chars % 50)::DOUBLE AS snr, doc_id % 12 + 1 AS duration FROM documents JOIN labels USING (doc_id))"
-ROC = f"WITH {TR}, gr AS (SELECT unnest(range(80)) AS point, min(peak) AS lo, max(peak) AS hi FROM tr), th AS (SELECT point, lo + point * ((hi - lo) / 79) AS threshold FROM gr), rc AS (SELECT point, threshold, coalesce(avg(CASE WHEN kind = 'inject' THEN (peak >= threshold AND abs(frame - center) <= 12)::INT END), 0) AS completeness, coalesce(avg(CASE WHEN kind = 'null' THEN (peak >= threshold)::INT END), 0) AS far FROM tr CROSS JOIN th WHERE point < 79 GROUP BY ALL)"
+ROC = f"WITH {TR}, gr AS (SELECT unnest(range(80)) AS point, min(peak) AS lo, max(peak) AS hi FROM tr), th AS (SELECT point, lo + point * ((hi - lo) / 79) AS threshold FROM gr), rc AS (SELECT point, threshold, coalesce(avg(CASE WHEN kind = 'inject' THEN (peak >= threshold AND abs(frame - center) <= 12)::INT END), 0) AS completeness, coalesce(avg(CASE WHEN kind = 'null' THEN (peak >= threshold)::INT END), 0) AS far FROM tr CROSS JOIN th GROUP BY ALL)"
 
 
 @query("roc_curve", ROC + " SELECT point::INT AS point, round(threshold, 6) AS threshold, round(completeness, 6) AS completeness, round(far, 6) AS far FROM rc")
 def roc_curve(spark, sf_dir):
-    r = evaluate.roc(trials(spark, sf_dir)).where("point < 79")
+    r = evaluate.roc(trials(spark, sf_dir))
     return r.select("point", r6("threshold").alias("threshold"), r6("completeness").alias("completeness"), r6("far").alias("far"))
 
 
 @query("completeness_at_far", ROC + " SELECT round(coalesce(max(CASE WHEN far <= 0.1 THEN completeness END), 0), 6) AS completeness FROM rc")
 def completeness_at_far(spark, sf_dir):
-    return evaluate.completeness_at_far(evaluate.roc(trials(spark, sf_dir)).where("point < 79"), 0.1).select(r6("completeness").alias("completeness"))
+    return evaluate.completeness_at_far(evaluate.roc(trials(spark, sf_dir)), 0.1).select(r6("completeness").alias("completeness"))
 
 
 @query("threshold_at_far", f"WITH {TR} SELECT round(quantile_cont(peak, 0.95) FILTER (kind = 'null'), 6) AS threshold FROM tr")

@@ -94,11 +94,11 @@ LST = f"((280.46061837 + 360.98564736629 * ({DAY} - 2451545.0) + 0.000387933 * p
 ALT = f"asin(sin(radians(20.0)) * sin(radians(43.1933116667)) + cos(radians(20.0)) * cos(radians(43.1933116667)) * cos(radians({LST} - user_id)))"
 
 
-@query("airmass", f"SELECT event_id, round(degrees({ALT}), 5) AS alt, round(1 / cos(radians(90 - degrees({ALT}))), 4) AS airmass FROM events WHERE degrees({ALT}) > 20")
+@query("airmass", f"SELECT event_id, round(degrees({ALT}), 5) AS alt, round(1 / cos(radians(90 - degrees({ALT}))), 4) AS airmass FROM events")
 def airmass(spark, sf_dir):
     h = astro.horizontal(F.col("t"), F.col("user_id").cast("double"), F.lit(20.0))
     e = table(spark, sf_dir, "events").select("event_id", "user_id", seconds("ts").alias("t"))
-    return e.select("event_id", h["alt"].alias("a"), h["airmass"].alias("m")).where("a > 20").select("event_id", F.round("a", 5).alias("alt"), F.round("m", 4).alias("airmass"))
+    return e.select("event_id", h["alt"].alias("a"), h["airmass"].alias("m")).select("event_id", F.round("a", 5).alias("alt"), F.round("m", 4).alias("airmass"))
 
 
 TW = """WITH d AS (SELECT o_orderkey, floor(epoch_us(o_orderdate) / 1e6 / 86400.0 + 2440587.5 - 2451545.0 + 0.0008) + 81.3160233333 / 360.0 AS j FROM orders),

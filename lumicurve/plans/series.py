@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicurve.operators import detect, series
-from lumicurve.plans.common import LC, USER_LC, curves, r6, ricker_sql, trend_sql
+from lumicurve.operators import detect, series, stretches, trials
+from lumicurve.plans.common import LC, STRETCH, USER_LC, curves, r6, ricker_sql, trend_sql
 from lumicurve.plans.registry import query
 
 KEY, ORDER = "star", ["t", "event_id"]
 
 
 def _indexed(spark: SparkSession, sf_dir: str, star: str = "event_type") -> DataFrame:
-    return series.indexed(curves(spark, sf_dir, star), KEY, ORDER)
+    """Few long curves by event type, many short ones by user."""
+    c = curves(spark, sf_dir, star)
+    return stretches.indexed(c, KEY, ORDER, length=STRETCH) if star == "event_type" else series.indexed(c, KEY, ORDER)
 
 
 DIP = f"""WITH {LC}, {trend_sql("lc", "flux", 200, "det")}, {ricker_sql("det", 6, "cv")},
@@ -25,23 +27,23 @@ SELECT star, CAST(frame AS BIGINT) AS frame, round(conv_min, 6) AS conv_min, rou
 
 @query("dip_detection", DIP)
 def dip_detection(spark, sf_dir):
-    d = detect.dip_detection(curves(spark, sf_dir), KEY, ORDER, "flux", threshold=3.0)
+    d = stretches.dip_detection(curves(spark, sf_dir), KEY, ORDER, "flux", threshold=3.0, length=STRETCH)
     return d.select("star", "frame", r6("conv_min").alias("conv_min"), r6("bkg_mean").alias("bkg_mean"), r6("bkg_std").alias("bkg_std"), "n_conv", r6("significance").alias("significance"), "detected")
 
 
 @query("boxcar_detrend", f"WITH {LC}, {trend_sql('lc', 'flux', 200, 'det')} SELECT star, i, round(d, 6) AS d FROM det")
 def boxcar_detrend(spark, sf_dir):
-    return series.detrend(_indexed(spark, sf_dir), KEY, "flux", 200).select("star", "i", r6("d").alias("d"))
+    return stretches.detrend(_indexed(spark, sf_dir), KEY, "flux", 200, length=STRETCH).select("star", "i", r6("d").alias("d"))
 
 
 @query("highpass_detrend", f"WITH {LC}, {trend_sql('lc', 'flux', 40, 'det')} SELECT star, i, round(d, 6) AS d FROM det")
 def highpass_detrend(spark, sf_dir):
-    return series.detrend(_indexed(spark, sf_dir), KEY, "flux", 40).select("star", "i", r6("d").alias("d"))
+    return stretches.detrend(_indexed(spark, sf_dir), KEY, "flux", 40, length=STRETCH).select("star", "i", r6("d").alias("d"))
 
 
 @query("ricker_convolve", f"WITH {LC}, det AS (SELECT *, flux AS d FROM lc), {ricker_sql('det', 6, 'cv')} SELECT star, i, round(c, 6) AS c FROM cv")
 def ricker_convolve(spark, sf_dir):
-    return series.convolve(_indexed(spark, sf_dir), KEY, "flux", series.ricker(6.0)).select("star", "i", r6("c").alias("c"))
+    return stretches.convolve(_indexed(spark, sf_dir), KEY, "flux", series.ricker(6.0), length=STRETCH).select("star", "i", r6("c").alias("c"))
 
 
 @query(
@@ -91,7 +93,7 @@ for _how in ("mean", "median", "sum"):
 
 @query("count_bins", f"WITH {LC} SELECT star, i // 30 AS bin, round(avg(t), 3) AS t, round(avg(flux), 6) AS value, count(*) AS n FROM lc GROUP BY star, i // 30")
 def count_bins(spark, sf_dir):
-    b = series.count_bins(curves(spark, sf_dir), KEY, ORDER, "t", "flux", 30)
+    b = series.count_bins(_indexed(spark, sf_dir), KEY, "i", "t", "flux", 30)
     return b.select("star", "bin", (F.round("t", 3)).alias("t"), r6("value").alias("value"), "n")
 
 
@@ -108,7 +110,8 @@ def synth_time_axis(spark, sf_dir):
 
 @query("cadence", f"WITH {LC}, s AS (SELECT star, t - lag(t) OVER (PARTITION BY star ORDER BY t, event_id) AS dt FROM lc) SELECT star, round(median(dt), 6) AS cadence FROM s GROUP BY star")
 def cadence(spark, sf_dir):
-    return series.cadence(curves(spark, sf_dir), KEY, ORDER, "t").select("star", r6("cadence").alias("cadence"))
+    s = stretches.steps(curves(spark, sf_dir), KEY, ORDER, "t", length=STRETCH)
+    return s.groupBy("star").agg(r6(F.median("dt")).alias("cadence"))
 
 
 LINE = f"""WITH {USER_LC}, c AS (SELECT *, arg_min(i, (flux, i)) OVER (PARTITION BY star) AS center FROM lc),
@@ -163,27 +166,35 @@ def drift_positions(spark, sf_dir):
     return series.propagate(s, KEY, ORDER, "t", "flux", "event_id", 0.001, -0.002).select("star", "event_id", F.round("x_t", 5).alias("x_t"), F.round("y_t", 5).alias("y_t"))
 
 
-TEMPLATES = {"box3": detect.box(3), "box6": detect.box(6), "ricker3": [-x for x in series.ricker(3.0, 25)]}
+#: Every template of every bank, with its bank.
+TEMPLATES = [(shape, k, taps) for shape, bank in trials.shapes().items() for k, taps in enumerate(bank)]
 
 
 def _template_sql() -> str:
-    rows = []
-    for name, taps in TEMPLATES.items():
-        u = detect.unit(taps)
-        rows += [f"('{name}', {k - len(u) // 2}, {v!r}::DOUBLE)" for k, v in enumerate(u)]
-    return f"tp(name, o, w) AS (VALUES {', '.join(rows)})"
+    rows = [f"('{shape}', {k}, {detect.unit(list(taps))!r}::DOUBLE[])" for shape, k, taps in TEMPLATES]
+    return f"tp(shape, k, w) AS (VALUES {', '.join(rows)})"
 
 
-BANK = f"""WITH {LC}, {trend_sql("lc", "flux", 200, "det")}, sg AS (SELECT star, stddev_pop(d) AS sigma FROM det GROUP BY star), {_template_sql()},
-sc AS (SELECT a.star, a.i, name, sum(b.d * w) / any_value(CASE WHEN sigma = 0 THEN 1 ELSE sigma END) AS s FROM det a CROSS JOIN tp JOIN det b ON b.star = a.star AND b.i = a.i + o JOIN sg ON sg.star = a.star GROUP BY a.star, a.i, name),
+BANK = f"""WITH {LC}, {trend_sql("lc", "flux", 200, "det")}, {_template_sql()},
+dl AS (SELECT star, CASE WHEN stddev_pop(d) = 0 THEN 1 ELSE stddev_pop(d) END AS sigma, list_concat(list_transform(range(50), lambda z: 0.0::DOUBLE), list(d ORDER BY i), list_transform(range(50), lambda z: 0.0::DOUBLE)) AS x FROM det GROUP BY star),
+sc AS (SELECT det.star, i, shape, k, list_dot_product(x[51 + i - len(w) // 2:50 + i - len(w) // 2 + len(w)], w) / sigma AS s FROM det JOIN dl USING (star) CROSS JOIN tp),
 bk AS (SELECT star, i, max(s) AS score FROM sc GROUP BY star, i)"""
 
 
+def _detrended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = stretches.detrend(_indexed(spark, sf_dir), KEY, "flux", 200, length=STRETCH)
+    return stretches.with_sigma(d, KEY, "d")
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return stretches.best_scores(_detrended(spark, sf_dir), KEY, "d", [taps for _, _, taps in TEMPLATES], "sigma", length=STRETCH)
+
 
-    d = series.detrend(_indexed(spark, sf_dir), KEY, "flux", 200).withColumn("sigma", F.stddev_pop("d").over(Window.partitionBy(KEY)))
-    return detect.bank_scores(d, KEY, "d", TEMPLATES, "sigma")
+@query("template_banks", BANK + ", sh AS (SELECT star, i, shape, round(max(s), 9) AS score FROM sc GROUP BY star, i, shape) SELECT star, shape, round(max(score), 6) AS peak, arg_max(i, (score, -i)) AS frame FROM sh GROUP BY star, shape")
+def template_banks(spark, sf_dir):
+    """The peak of every bank of templates in every curve."""
+    found = stretches.bank_peaks(_detrended(spark, sf_dir), KEY, "d", trials.shapes(), "sigma", length=STRETCH)
+    return found.select("star", "shape", r6("peak").alias("peak"), "frame")
 
 
 @query("matched_filter_scores", BANK + " SELECT star, i, round(score, 6) AS score FROM bk")
@@ -191,9 +202,9 @@ def matched_filter_scores(spark, sf_dir):
     return _scores(spark, sf_dir).select("star", "i", r6("score").alias("score"))
 
 
-@query("template_bank_peak", BANK + " SELECT star, round(max(score), 6) AS peak, arg_max(i, (score, -i)) AS frame FROM bk GROUP BY star")
+@query("template_bank_peak", BANK + " SELECT star, round(max(score), 6) AS peak, arg_max(i, (round(score, 9), -i)) AS frame FROM bk GROUP BY star")
 def template_bank_peak(spark, sf_dir):
-    return detect.peak(_scores(spark, sf_dir), KEY).select("star", r6("peak").alias("peak"), "frame")
+    return detect.peak(_scores(spark, sf_dir).withColumn("score", F.round("score", 9)), KEY).select("star", r6("peak").alias("peak"), "frame")
 
 
 SCOPES = ("click", "view", "purchase")
@@ -206,9 +217,9 @@ def joint_score(spark, sf_dir):
     return detect.joint_score(three, []).select("i", r6("joint").alias("joint"))
 
 
-@query("and_policy", BANK + ", p AS (SELECT star, max(score) AS peak, arg_max(i, (score, -i)) AS frame FROM bk WHERE star IN ('click', 'view', 'purchase') GROUP BY star) SELECT round(min(peak), 6) AS least, max(frame) - min(frame) AS spread, min(peak) >= 2.0 AND max(frame) - min(frame) <= 400 AS detected FROM p")
+@query("and_policy", BANK + ", p AS (SELECT star, max(score) AS peak, arg_max(i, (round(score, 9), -i)) AS frame FROM bk WHERE star IN ('click', 'view', 'purchase') GROUP BY star) SELECT round(min(peak), 6) AS least, max(frame) - min(frame) AS spread, min(peak) >= 2.0 AND max(frame) - min(frame) <= 400 AS detected FROM p")
 def and_policy(spark, sf_dir):
-    p = detect.peak(_scores(spark, sf_dir).where(F.col("star").isin(*SCOPES)), KEY)
+    p = detect.peak(_scores(spark, sf_dir).where(F.col("star").isin(*SCOPES)).withColumn("score", F.round("score", 9)), KEY)
     return detect.and_policy(p, [], 2.0, 400).select(r6("least").alias("least"), "spread", "detected")
 
 
@@ -242,7 +253,6 @@ SELECT event_id, arg_min(kernel_id, (round(chi, 9), kernel_id, o)) AS kernel_id,
 
 
 @query("kernel_match", KERNELS)
-@query("kernel_match_all", KERNELS)
 def kernel_match(spark, sf_dir):
     """Every event against the whole bank."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -23,7 +23,7 @@ def test_kernel_match_all_takes_every_event_and_kernel(spark, tmp_path):
                 part = f[25 + offset : 40 + offset] + 1
                 best.append((float(np.sum(np.abs(part - (c[:15] + 1)) / (np.sqrt(np.abs(part) / 0.82) * 0.82))), kernel, offset))
         want[event] = min(best)
-    got = {r.event_id: r for r in catalog.QUERIES["kernel_match_all"](spark, folder).collect()}
+    got = {r.event_id: r for r in catalog.QUERIES["kernel_match"](spark, folder).collect()}
     assert set(got) == set(vectors)
     for event, (chi, kernel, offset) in want.items():
         assert (got[event].kernel_id, got[event].offset) == (kernel, offset)
@@ -51,13 +51,13 @@ def sky(tmp_path_factory):
 
 def test_references_of_all_stars(spark, sky):
     folder, _, refs = sky
-    got = {(r.target, r.rank): r.ref for r in catalog.QUERIES["reference_selection_all"](spark, folder).collect()}
+    got = {(r.target, r.rank): r.ref for r in catalog.QUERIES["reference_selection"](spark, folder).collect()}
     assert got == {(t, k + 1): ref for t, near in refs.items() for k, ref in enumerate(near)}
 
 
 def test_ensemble_of_all_stars(spark, sky):
     folder, flux, refs = sky
-    got = catalog.QUERIES["ensemble_differential_all"](spark, folder).toPandas().set_index(["target", "t"]).rel.unstack()
+    got = catalog.QUERIES["ensemble_differential"](spark, folder).toPandas().set_index(["target", "t"]).rel.unstack()
     assert set(got.index) == set(refs)
     for target, near in refs.items():
         rel = flux[target] / np.mean([flux[r] for r in near], axis=0)
@@ -76,7 +76,7 @@ def test_similar_references_of_all_stars(spark, sky):
     for target, near in refs.items():
         first = [r for _, r in keep(near, norm[target])]
         want |= {(target, k + 1): r for k, (_, r) in enumerate(keep(first, np.mean([norm[r] for r in first], axis=0)))}
-    got = {(r.target, r["rank"]): r.ref for r in catalog.QUERIES["idl_reference_selection_all"](spark, folder).collect()}
+    got = {(r.target, r["rank"]): r.ref for r in catalog.QUERIES["idl_reference_selection"](spark, folder).collect()}
     assert got == want
 
 
@@ -92,10 +92,12 @@ def test_pca_of_all_stars(spark, sky):
         assert np.allclose(got.loc[target].to_numpy(), own - (mean - 1) - ((own - mean) @ v.T) @ v, atol=2e-6)
 
 
-def test_occultation_curves_have_the_reference_parameters(spark, tmp_path):
-    from lumicurve.operators import numeric
+def test_occultation_curves_of_every_supplier(spark, tmp_path):
+    from lumicurve.operators import numeric, trials
 
+    spark.createDataFrame([(3,), (8,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     got = catalog.QUERIES["occultation_curves"](spark, str(tmp_path)).toPandas()
-    want = numeric.occultation_curve(0.025, (4e-7, 7e-7), 500.0, 0.0, 40.0, 0.02, 0.0, reach=10_000.0, step=10.0, colours=20, ring=5)
-    assert set(got.kernel_id) == {0, 1, 2, 3}
-    assert np.allclose(got[got.kernel_id == 0].sort_values("frame").flux.to_numpy(), want, atol=2e-6)
+    assert set(got.kernel_id) == {3, 8}
+    for p in trials.sampled_parameters(spark.createDataFrame([(3,), (8,)], "trial long")).collect():
+        want = numeric.occultation_curve(0.025, (4e-7, 7e-7), p.object_r, p.impact, p.dist, p.star_d, p.shift, reach=10_000.0, step=10.0, colours=20, ring=5)
+        assert np.allclose(got[got.kernel_id == p.trial].sort_values("frame").flux.to_numpy(), want, atol=2e-6)
