@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from lumicurve.operators.bandjoin import band_join, best_match, plane_join
 
@@ -201,28 +204,52 @@ def global_stars(followed: DataFrame, key: str | list[str]) -> DataFrame:
     return followed.groupBy(*keys, "star_id").agg(F.count(F.lit(1)).alias("n_detections"), F.avg("x").alias("x"), F.avg("y").alias("y"), *[F.avg(F.when(on_sky, F.col(c))).alias(c) for c in ("ra", "dec")])
 
 
-def minute_triplets(minutes: DataFrame, key: str, spacing: float = 60.0) -> DataFrame:
-    """(key, t1, t2, t3): a greedy merge of three ordered lists of minutes (scope
-    1, 2, 3). The second list's place advances also where the third has no match."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [sorted(pdf.loc[pdf["scope"] == s, "t"]) for s in (1, 2, 3)]
-        j = k = 0
-        rows = []
-        for a in lists[0]:
-            while j < len(lists[1]) and lists[1][j] <= a - spacing:
-                j += 1
-            if j == len(lists[1]) or abs(lists[1][j] - a) >= spacing:
-                continue
-            b = lists[1][j]
-            j += 1
-            while k < len(lists[2]) and lists[2][k] <= a - spacing:
-                k += 1
-            if k < len(lists[2]) and abs(lists[2][k] - a) < spacing:
-                rows.append((pdf[key].iloc[0], a, b, lists[2][k]))
-                k += 1
-        return pd.DataFrame(rows, columns=[key, "t1", "t2", "t3"])
-
-    return minutes.groupBy(key).applyInPandas(run, f"`{key}` {minutes.schema[key].dataType.simpleString()}, t1 double, t2 double, t3 double")
+class _Triplets:
+    """Merges the minutes of one key, which come in order of time: (key, scope,
+    t) rows of scopes 1, 2 and 3. A minute of scope 1 is decided once the time
+    is ``spacing`` past it; nothing older than that is held."""
+
+    def __init__(self):
+        self.first: deque[float] = deque()
+        self.others: tuple[deque[float], deque[float]] = (deque(), deque())
+        self.key = None
+        self.spacing = 0.0
+
+    def eval(self, row, spacing: float):
+        self.key, self.spacing = row["key"], spacing
+        now = row["t"]
+        while self.first and self.first[0] + spacing <= now:
+            yield from self._decide(self.first.popleft())
+        if row["scope"] == 1:
+            self.first.append(now)
+        elif row["scope"] in (2, 3):
+            self.others[row["scope"] - 2].append(now)
+        if not self.first:
+            for times in self.others:
+                while times and times[0] <= now - spacing:
+                    times.popleft()
+
+    def terminate(self):
+        while self.first:
+            yield from self._decide(self.first.popleft())
+
+    def _decide(self, t: float):
+        found = []
+        for times in self.others:
+            while times and times[0] <= t - self.spacing:
+                times.popleft()
+            if not times or times[0] - t >= self.spacing:
+                return
+            found.append(times.popleft())
+        yield (self.key, t, *found)
 
 
+def minute_triplets(minutes: DataFrame, key: str, spacing: float = 60.0) -> DataFrame:
+    """(key, t1, t2, t3): a greedy merge of three ordered lists of minutes (scope
+    1, 2, 3) in which each minute is used once. The second list's place advances
+    also where the third has no match. Rows stream through a table function,
+    partitioned by key and ordered by time, so a key of any size needs the
+    memory of two spacings. Null times and other scopes are left out."""
+    rows = minutes.where("scope IN (1, 2, 3) AND t IS NOT NULL").select(F.col(key).alias("key"), F.col("scope").cast("int").alias("scope"), F.col("t").cast("double").alias("t"))
+    merge = udtf(_Triplets, returnType=f"`{key}` {minutes.schema[key].dataType.simpleString()}, t1 double, t2 double, t3 double")
+    return merge(rows.asTable().partitionBy("key").orderBy("t"), F.lit(float(spacing)))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumicurve.operators import images
 from lumicurve.plans.common import r6, table
 from lumicurve.plans.registry import query
+from lumicurve.session import work_dir
+from lumicurve.sources.frame_source import frame_bands, frame_sizes, write_frames
 
 SIDE = 8
 #: Two places in each image, which depend on its label.
@@ -125,3 +129,28 @@ def guided_shifts(spark, sf_dir):
     first = found.groupBy("label").agg(F.min("frame").alias("frame"))
     shifts = images.guided_shifts(found, found.join(first, ["label", "frame"], "left_semi").select("label", "star", "x", "y"), "label", "frame", 1.0)
     return shifts.select("label", "frame", r6("dx").alias("dx"), r6("dy").alias("dy"), "guides")
+
+
+def _raw_files(spark: SparkSession, sf_dir: str) -> str:
+    """Every embedding written as a raw frame of 8 x 8 pixels, in a folder by label."""
+    path = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
+    low = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 100).cast("int"))
+    e = table(spark, sf_dir, "embeddings").select(F.format_string("m%03d", "label").alias("folder"), F.format_string("f%07d.rcd", "vec_id").alias("name"), F.lit("2025-08-30T03:04:05").alias("date_obs"), F.lit(8).alias("height"), F.lit(8).alias("width"), low.alias("low"))
+    write_frames(e.withColumn("high", F.transform("low", lambda v: v * 16 + 7)), path)
+    return path
+
+
+RAW = "f AS (SELECT printf('m%03d', label) AS folder, vec_id, list_transform(embedding, lambda v: floor((v::DOUBLE + 1) * 100)::BIGINT) AS px FROM embeddings)"
+
+
+@query("raw_frame_bands", f"WITH {RAW}, b AS (SELECT folder, unnest([0, 3, 6])::INT AS row0, unnest([px[1:24], px[25:48], px[49:64]]) AS px FROM f) SELECT folder, row0, count(*) AS frames, sum(list_sum(px))::BIGINT AS low, sum(list_sum(list_transform(px, lambda v: (v * 16 + 7) % 4096)))::BIGINT AS high, (count(*) * (384 + any_value(len(px)) * 3))::BIGINT AS bytes FROM b GROUP BY folder, row0")
+def raw_frame_bands(spark, sf_dir):
+    """Sums over bands of three rows, each task reading its own bytes of the files."""
+    b = frame_bands(spark, _raw_files(spark, sf_dir), bandRows=3)
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)).alias(c)
+    return b.groupBy("folder", "row0").agg(F.count(F.lit(1)).alias("frames"), total("low"), total("high"), F.sum("bytes").alias("bytes"))
+
+
+@query("raw_frame_sizes", f"WITH {RAW} SELECT folder, count(*) AS frames, 8 AS height, 8 AS width FROM f GROUP BY folder")
+def raw_frame_sizes(spark, sf_dir):
+    return frame_sizes(spark, _raw_files(spark, sf_dir))

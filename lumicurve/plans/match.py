@@ -217,7 +217,19 @@ def global_stars(spark, sf_dir):
     return g.select("night", "star_id", "n_detections", *[r6(c).alias(c) for c in ("x", "y", "ra", "dec")])
 
 
-@query("minute_triplets")
+#: The detections alone.
+D = DET[: DET.index("g AS (")]
+
+TRIPLETS = """l AS (SELECT floor(t / 86400)::BIGINT AS night, coalesce(list(t ORDER BY t) FILTER (scope = 'green'), []) AS a, coalesce(list(t ORDER BY t) FILTER (scope = 'red'), []) AS b, coalesce(list(t ORDER BY t) FILTER (scope NOT IN ('green', 'red')), []) AS c FROM d GROUP BY 1),
+r AS (SELECT night, 0 AS i, 1 AS j, 1 AS k, NULL::DOUBLE AS t1, NULL::DOUBLE AS t2, NULL::DOUBLE AS t3 FROM l UNION ALL
+SELECT night, i, CASE WHEN two THEN j + 1 ELSE j END, CASE WHEN two AND three THEN k + 1 ELSE k END, CASE WHEN two AND three THEN x END, CASE WHEN two AND three THEN b[j] END, CASE WHEN two AND three THEN c[k] END
+FROM (SELECT *, coalesce(b[j] - x < 3600.0, false) AS two, coalesce(c[k] - x < 3600.0, false) AS three
+FROM (SELECT l.night, i + 1 AS i, l.a[i + 1] AS x, l.b, l.c, j + len(list_filter(l.b[j:], lambda v: v <= l.a[i + 1] - 3600.0)) AS j,
+  k + len(list_filter(l.c[k:], lambda v: v <= l.a[i + 1] - 3600.0)) AS k FROM r JOIN l USING (night) WHERE i < len(l.a))))
+SELECT night, t1, t2, t3 FROM r WHERE t1 IS NOT NULL"""
+
+
+@query("minute_triplets", "WITH RECURSIVE " + D + TRIPLETS)
 def minute_triplets(spark, sf_dir):
     scope = F.when(F.col("scope") == "green", 1).when(F.col("scope") == "red", 2).otherwise(3)
     return match.minute_triplets(detections(spark, sf_dir).select(F.floor(F.col("t") / 86400).alias("night"), scope.alias("scope"), "t"), "night", 3600.0)
