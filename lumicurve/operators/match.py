@@ -120,12 +120,46 @@ def pixel_match(stars: DataFrame, reference: str, others: tuple[str, ...], toler
 
 
 def sky_distance(ra1: np.ndarray, dec1: np.ndarray, ra2: np.ndarray, dec2: np.ndarray) -> np.ndarray:
-    """Great-circle distances in degrees, a row for each first place."""
+    """Great-circle distances in degrees, element by element."""
     a1, d1, a2, d2 = (np.radians(v) for v in (ra1, dec1, ra2, dec2))
-    h = np.sin((d2 - d1[:, None]) / 2) ** 2 + np.cos(d1)[:, None] * np.cos(d2) * np.sin((a2 - a1[:, None]) / 2) ** 2
+    h = np.sin((d2 - d1) / 2) ** 2 + np.cos(d1) * np.cos(d2) * np.sin((a2 - a1) / 2) ** 2
     return np.degrees(2 * np.arcsin(np.sqrt(np.minimum(h, 1.0))))
 
 
+def cell_pairs(a: np.ndarray, b: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of rows of ``a`` and ``b`` (points in a space of any dimension) in
+    the same or neighbouring cells of a grid, so of all that are within ``size``
+    of each other along every axis: one lookup per point and neighbour."""
+    factors = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.int64)[: a.shape[1]]
+    place = lambda p: np.floor(p / size).astype(np.int64)
+    key = (place(b) * factors).sum(axis=1)
+    order = np.argsort(key, kind="stable")
+    key, here = key[order], place(a)
+    rows, others = [], []
+    for offset in np.ndindex(*[3] * a.shape[1]):
+        own = ((here + np.array(offset) - 1) * factors).sum(axis=1)
+        low, high = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows.append(np.repeat(np.arange(len(a)), n))
+        others.append(order[at])
+    return np.concatenate(rows), np.concatenate(others)
+
+
+def nearest_within(apart: np.ndarray, rows: np.ndarray, others: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs with their distances the nearest partner of each row, closer
+    than ``limit`` (the lower one on ties): rows in order, and their partners."""
+    near = np.flatnonzero(apart < limit)
+    near = near[np.lexsort((others[near], apart[near], rows[near]))]
+    rows, first = np.unique(rows[near], return_index=True)
+    return rows, others[near][first]
+
+
+def unit_vectors(ra: np.ndarray, dec: np.ndarray) -> np.ndarray:
+    a, d = np.radians(ra), np.radians(dec)
+    return np.column_stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)])
+
+
 class KnownStars:
     """The stars of one night so far: sums of their places, and how often each was seen."""
 
@@ -139,20 +173,24 @@ class KnownStars:
         on_sky, known = np.isfinite(sky).all(axis=1), np.flatnonzero(self.seen_sky > 0)
         mine, taken = np.full(len(xy), -1), np.zeros(len(self.seen), bool)
 
-        def claim(rows: np.ndarray, stars: np.ndarray, apart: np.ndarray, limit: float) -> None:
-            near = apart.argmin(axis=1)
-            for row, k, d in zip(rows.tolist(), near.tolist(), apart[np.arange(len(rows)), near].tolist(), strict=True):
-                if d < limit and not taken[stars[k]]:
-                    mine[row], taken[stars[k]] = stars[k], True
+        def claim(rows: np.ndarray, stars: np.ndarray) -> None:
+            for row, star in zip(rows.tolist(), stars.tolist(), strict=True):
+                if not taken[star]:
+                    mine[row], taken[star] = star, True
 
         rows = np.flatnonzero(on_sky)
         if len(known) and len(rows):
             mean = self.place[known, 2:] / self.seen_sky[known][:, None]
-            claim(rows, known, sky_distance(sky[rows, 0], sky[rows, 1], mean[:, 0], mean[:, 1]), sky_tolerance)
+            chord = 2 * np.sin(np.radians(min(sky_tolerance, 180.0)) / 2) * (1 + 1e-9)
+            i, j = cell_pairs(unit_vectors(*sky[rows].T), unit_vectors(*mean.T), chord)
+            i, j = nearest_within(sky_distance(sky[rows[i], 0], sky[rows[i], 1], mean[j, 0], mean[j, 1]), i, j, sky_tolerance)
+            claim(rows[i], known[j])
         free, rows = np.flatnonzero(~taken), np.flatnonzero((mine < 0) & np.isfinite(xy).all(axis=1))
         if len(free) and len(rows):
             mean = self.place[free, :2] / self.seen[free][:, None]
-            claim(rows, free, np.hypot(xy[rows, :1] - mean[:, 0], xy[rows, 1:] - mean[:, 1]), tolerance)
+            i, j = cell_pairs(xy[rows], mean, tolerance)
+            i, j = nearest_within(np.hypot(*(xy[rows[i]] - mean[j]).T), i, j, tolerance)
+            claim(rows[i], free[j])
         fresh = np.flatnonzero(mine < 0)
         mine[fresh] = len(self.seen) + np.arange(len(fresh))
         self.place = np.vstack([self.place, np.zeros((len(fresh), 4))])

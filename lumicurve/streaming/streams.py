@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumicurve.operators.match import KnownStars, follow_minutes
@@ -81,30 +82,51 @@ def dip_scores(samples: DataFrame, key: str, value: str = "flux", order: str = "
     return samples.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, frame long, score double", "f array<long>, v array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
+class _FollowedStars(StatefulProcessor):
+    """What a night knows of its stars, an entry for each: only those that a
+    batch has seen are written back."""
+
+    SUMS = ["x", "y", "ra", "dec", "seen", "seen_sky"]
+
+    def __init__(self, night: str, tolerance: float, sky_tolerance: float, idle_ms: int | None):
+        self.night, self.tolerance, self.sky_tolerance, self.idle_ms = night, tolerance, sky_tolerance, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stars = handle.getMapState("stars", "star long", ", ".join(f"{c} double" for c in self.SUMS), ttlDurationMs=self.idle_ms)
+        self.named = handle.getValueState("named", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = sorted((int(k[0]), tuple(v)) for k, v in self.stars.iterator())
+        ids = np.array([k for k, _ in known], np.int64)
+        sums = np.array([v for _, v in known], float).reshape(-1, 6)
+        named = int(self.named.get()[0]) if self.named.exists() else 0
+        state = KnownStars(sums[:, :4], sums[:, 4], sums[:, 5])
+        pdf = pd.concat(list(rows)).sort_values(["minute", "local"])
+        at = follow_minutes(pdf, state, self.sky_tolerance, self.tolerance)
+        # Stars of this batch are numbered on from all that the night ever had.
+        ids = np.concatenate([ids, named + np.arange(len(state.seen) - len(ids))])
+        for k in np.unique(at).tolist():
+            self.stars.updateValue((int(ids[k]),), (*map(float, state.place[k]), float(state.seen[k]), float(state.seen_sky[k])))
+        fresh = len(state.seen) - len(known)
+        if fresh:
+            self.named.update((named + fresh,))
+        yield pd.DataFrame({self.night: key[0], "minute": pdf["minute"].to_numpy(), "local": pdf["local"].to_numpy(), "star_id": ids[at]})
+
+
 def followed_stars(stars: DataFrame, night: str, tolerance: float = 2.0, sky_tolerance: float = 2.0 / 3600, idle: str | None = None) -> DataFrame:
     """(night, minute, local, star_id): stars (night, minute, local, x, y, ra,
     dec) followed as their minutes come, as ``global_star_ids`` does in batch.
-    Minutes of a night arrive in order; what a night knows of its stars is
-    its state. With ``idle`` (such as "1 day") it goes when no minute has come
-    for so long; a stream that waits for that never ends by itself, so runs over
-    what there is now do without."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        place, seen, seen_sky = (np.array(v, float) for v in state.get) if state.exists else (np.empty(0),) * 3
-        known = KnownStars(place.reshape(-1, 4), seen, seen_sky)
-        rows = pd.concat(list(batches)).sort_values(["minute", "local"])
-        ids = follow_minutes(rows, known, sky_tolerance, tolerance)
-        state.update((known.place.ravel().tolist(), known.seen.tolist(), known.seen_sky.tolist()))
-        if idle:
-            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield pd.DataFrame({night: k[0], "minute": rows["minute"].to_numpy(), "local": rows["local"].to_numpy(), "star_id": ids})
+    Minutes of a night arrive in order. What a night knows is a map of its
+    stars in state, of which a batch writes those it has seen; with ``idle``
+    (such as "1 day") a star that was not seen for so long is forgotten.
 
+    Sets the session's state store to RocksDB, which maps in state need.
+    """
+    stars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
     kinds = ", ".join(f"`{c}` {stars.schema[c].dataType.simpleString()}" for c in (night, "minute", "local"))
-    schema = "place array<double>, seen array<double>, seen_sky array<double>"
-    return stars.groupBy(night).applyInPandasWithState(step, f"{kinds}, star_id long", schema, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    processor = _FollowedStars(night, tolerance, sky_tolerance, idle_ms)
+    return stars.groupBy(night).transformWithStateInPandas(processor, f"{kinds}, star_id long", "append", "processingTime" if idle else "none")
 
 
 def complete_nights(done: DataFrame, night: str, scope: str, time: str, scopes: int = 3, late: str = "1 hour") -> DataFrame:

@@ -60,10 +60,10 @@ def test_cones_equal_all_sources(spark, centre):
     got = {r.source for r in catalogue.cone_search(df, *centre, 0.7, 16.0).collect()}
     from lumicurve.operators.match import sky_distance
 
-    apart = sky_distance(np.array([centre[0]]), np.array([centre[1]]), ra, dec)[0]
+    apart = sky_distance(np.array([centre[0]]), np.array([centre[1]]), ra, dec)
     assert got == {k for k in range(400) if apart[k] <= 0.7 and k % 20 < 16} and got
     stars = spark.createDataFrame([(centre[0], centre[1]), (None, None)], "ra double, dec double")
-    assert {r.source for r in catalogue.night_catalogue(df, stars, 0.7, 16.0).collect()} == {k for k in range(400) if sky_distance(np.array([round(centre[0], 4)]), np.array([round(centre[1], 4)]), ra, dec)[0][k] <= 0.7 and k % 20 < 16}
+    assert {r.source for r in catalogue.night_catalogue(df, stars, 0.7, 16.0).collect()} == {k for k in range(400) if sky_distance(np.array([round(centre[0], 4)]), np.array([round(centre[1], 4)]), ra, dec)[k] <= 0.7 and k % 20 < 16}
     assert catalogue.night_catalogue(df, stars.limit(0), 0.7).count() == 0
 
 
