@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicurve.operators import bandjoin, match
+from lumicurve.operators import bandjoin, match, nearest
 from lumicurve.plans.common import r6, seconds, table
 from lumicurve.plans.registry import query
 
@@ -169,10 +169,18 @@ def pixel_match_all_scopes(spark, sf_dir):
     return match.pixel_match(s, "zero", ("one", "two"), 0.05)
 
 
-@query("nearest_star", f"WITH {STARS}, a AS (SELECT 10.0 AS ra, 5.0 AS dec) SELECT star, round({SEP}, 6) AS sep FROM a CROSS JOIN s b ORDER BY {SEP}, star LIMIT 1")
+NEAREST = f"""WITH {STARS}, t AS (SELECT star AS target, CASE WHEN star % 5 <> 0 THEN ra END AS ra, dec, x, y FROM s WHERE star % 2 = 1), c AS (SELECT star, CASE WHEN star % 7 <> 0 THEN ra END AS ra, dec, x, y FROM s WHERE star % 2 = 0),
+p AS (SELECT target, star, a.ra IS NOT NULL AS asks, b.ra IS NOT NULL AS has, {SEP} AS sep, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS far FROM t a CROSS JOIN c b)
+SELECT target, arg_min(star, (sep, star)) AS star, 'sky' AS by, round(min(sep), 6) AS d FROM p WHERE asks AND has GROUP BY target
+UNION ALL SELECT target, arg_min(star, (far, star)), 'pixels', round(min(far), 6) FROM p WHERE NOT asks GROUP BY target"""
+
+
+@query("nearest_star", NEAREST)
 def nearest_star(spark, sf_dir):
-    sep = bandjoin.separation(F.lit(10.0), F.lit(5.0), F.col("ra"), F.col("dec"))
-    return stars(spark, sf_dir).select("star", sep.alias("sep")).orderBy("sep", "star").limit(1).select("star", r6("sep").alias("sep"))
+    """Stars with odd numbers look for the nearest with an even one, on the sky where both are solved, else in pixels."""
+    s = stars(spark, sf_dir)
+    part = lambda k, n, name: s.where(F.col("star") % 2 == k).select(F.col("star").alias(name), F.when(F.col("star") % n != 0, F.col("ra")).alias("ra"), "dec", "x", "y")
+    return nearest.nearest_star(part(1, 5, "target"), part(0, 7, "star")).select("target", "star", "by", r6("d").alias("d"))
 
 
 @query("asof_nearest_dark", "WITH o AS (SELECT event_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'click'), k AS (SELECT event_id AS dark, epoch_us(ts) / 1e6 AS td FROM events WHERE event_type = 'error') SELECT o.event_id, arg_min(dark, (abs(t - td), td, dark)) AS dark, round(min(abs(t - td)), 6) AS dt FROM o CROSS JOIN k GROUP BY o.event_id")

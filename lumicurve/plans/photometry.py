@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicurve.operators import bandjoin, evaluate, robust, series
+from lumicurve.operators import evaluate, nearest, robust, series
 from lumicurve.plans.common import LC, USER_LC, curves, r6, table, trend_sql
 from lumicurve.plans.match import STARS, stars
 from lumicurve.plans.registry import query
@@ -107,10 +107,8 @@ NORM = "nm AS (SELECT star, t, flux / median(flux) OVER (PARTITION BY star) AS f
 
 def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stars(spark, sf_dir)
-    a = s.select(F.col("star").alias("target"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = s.select(F.col("star").alias("ref"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2))
-    return robust.reference_selection(bandjoin.plane_join(a, b, ("x1", "y1"), ("x2", "y2"), 0.1).where("target <> ref").select("target", "ref", d.alias("d")), 0.1, 6, 3)
+    near = nearest.k_nearest(s.withColumnRenamed("star", "target"), s.withColumnRenamed("star", "ref"), 6, ("x", "y"), "target", "ref", exclude_same=True)
+    return robust.reference_selection(near.drop("rank"), 0.1, 6, 3)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
