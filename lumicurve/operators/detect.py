@@ -104,61 +104,107 @@ def and_policy(peaks: DataFrame, key: Names, threshold: float, spread: int = 8)
     return agg.withColumn("detected", F.col("_all") & (F.col("least") >= threshold) & (F.col("spread") <= spread)).drop("_all")
 
 
-def kernel_match(events: DataFrame, kernels: DataFrame, first: int = -3, last: int = 2, gain: float = 0.82, block: int = 100_000) -> DataFrame:
-    """The best template of each event: (event_id, kernel_id, offset, chi).
+#: Samples whose sums bound a template's distance from below, and bytes of templates that are sent to every task.
+BOUND_SAMPLES, BANK_BYTES = 4, 64 << 20
+
+
+class TemplateBank:
+    """Templates of equal lengths as matrices, with sums over blocks of samples."""
+
+    def __init__(self, ids: list, curves: list[np.ndarray]):
+        self.sizes: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(c) for c in curves} - {0}):
+            own = sorted((i, k) for k, (i, c) in enumerate(zip(ids, curves, strict=True)) if len(c) == n)
+            matrix = np.array([curves[k] for _, k in own], float)
+            self.sizes[n] = ([i for i, _ in own], matrix, np.add.reduceat(matrix, np.arange(0, n, BOUND_SAMPLES), axis=1))
+
+    def best(self, flux: np.ndarray, center: int, median: float, first: int, last: int, gain: float) -> tuple[tuple | None, int]:
+        """((chi, id, offset), samples compared): the nearest template, the lower
+        id and offset on ties.
+
+        Over a block the sum of absolute differences is at least the difference
+        of the sums, so dividing that by the block's largest error bounds the
+        distance from below. Templates whose bound is over the best distance
+        found so far are never laid on the event.
+        """
+        noise = np.sqrt(np.abs(flux) / median / gain) * gain
+        noise[noise == 0] = 0.01
+        found, compared, places = None, 0, []
+        for size, (ids, curves, sums) in self.sizes.items():
+            blocks = np.arange(0, size, BOUND_SAMPLES)
+            for offset in range(first, last + 1):
+                start = center + offset - size // 2
+                if start < 0 or start + size > len(flux):
+                    continue
+                window, error = flux[start : start + size], noise[start : start + size]
+                bound = (np.abs(np.add.reduceat(window, blocks) - sums) / np.maximum.reduceat(error, blocks)).sum(axis=1)
+                places.append((bound * (1 - 1e-9), ids, curves, window, error, offset))
+        # Places with the most promising template first.
+        for bound, ids, curves, window, error, offset in sorted(places, key=lambda p: float(p[0].min())):
+            first_k = int(bound.argmin())
+            for some in (np.array([first_k]), None):
+                if some is None:
+                    some = np.flatnonzero(bound <= (found[0] if found else np.inf))
+                    some = some[some != first_k]
+                if not len(some) or found and bound[some].min() > found[0]:
+                    continue
+                chi = (np.abs(window - curves[some]) / error).sum(axis=1)
+                compared += len(some) * len(window)
+                k = int(chi.argmin())
+                one = (float(chi[k]), ids[int(some[k])], offset)
+                found = one if found is None else min(found, one)
+        return found, compared
+
+
+def kernel_match(events: DataFrame, kernels: DataFrame, first: int = -3, last: int = 2, gain: float = 0.82, bank_bytes: int = BANK_BYTES) -> DataFrame:
+    """The best template of each event: (event_id, kernel_id, offset, chi, compared).
 
     ``events``: event_id, center, flux (array, normalised), median;
     ``kernels``: kernel_id, curve. A template is laid on the flux from
     center + offset less half its length; its distance is the sum of absolute
-    differences over Poisson-like errors. Ties go to the lower kernel and
-    offset. Templates are sent to the tasks in blocks of at most about ``block``
-    (by their hashed id), each of which meets the events in Arrow batches; the
-    least of all blocks is taken. Events that no template fits into, and null
-    arrays or ones with nulls, have no row.
+    differences over Poisson-like errors; ``compared`` counts the samples that
+    were compared for it, once bounds had ruled most templates out. Ties go to
+    the lower kernel and offset. A bank of at most ``bank_bytes`` is broadcast;
+    a larger one is cut into blocks of that size, and events and blocks meet in
+    a grid of tasks, each with some events and one block, of which the least
+    distances are taken. Events that no template fits into, and null arrays or
+    ones with nulls, have no row.
     """
     spark = events.sparkSession
-    blocks = max(1, -(-kernels.count() // block))
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
-    found = [_match_block(events.where(whole("flux")), kernels.where(whole("curve") & (F.pmod(F.xxhash64("kernel_id"), F.lit(blocks)) == k)), first, last, gain) for k in range(blocks)]
-    best = found[0]
-    for f in found[1:]:
-        best = best.union(f)
-    best = best.groupBy("event_id").agg(F.min(F.struct("chi", "kernel_id", "offset")).alias("m"))
-    return best.select("event_id", F.col("m.kernel_id").alias("kernel_id"), F.col("m.offset").alias("offset"), F.col("m.chi").alias("chi"))
-
-
-def _match_block(events: DataFrame, kernels: DataFrame, first: int, last: int, gain: float) -> DataFrame:
-    """The best template of each event out of one block of templates."""
-    bank = kernels.select("kernel_id", F.col("curve").cast("array<double>").alias("curve")).orderBy("kernel_id").collect()
-    by_size: dict[int, tuple[list, list]] = {}
-    for r in bank:
-        ids, curves = by_size.setdefault(len(r["curve"]), ([], []))
-        ids.append(r["kernel_id"])
-        curves.append(r["curve"])
-    shared = events.sparkSession.sparkContext.broadcast({n: (ids, np.array(curves)) for n, (ids, curves) in by_size.items() if n})
     kinds = {"event_id": events.schema["event_id"].dataType.simpleString(), "kernel_id": kernels.schema["kernel_id"].dataType.simpleString()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for event in pdf.itertuples():
-                flux, found = np.asarray(event.flux, float), []
-                noise = np.sqrt(np.abs(flux) / event.median / gain) * gain
-                noise[noise == 0] = 0.01
-                for size, (ids, curves) in shared.value.items():
-                    for offset in range(first, last + 1):
-                        start = event.center + offset - size // 2
-                        if start >= 0 and start + size <= len(flux):
-                            for a in range(0, len(ids), 4096):
-                                chi = (np.abs(flux[start : start + size] - curves[a : a + 4096]) / noise[start : start + size]).sum(axis=1)
-                                k = int(chi.argmin())
-                                found.append((float(chi[k]), ids[a + k], offset))
-                if found:
-                    chi, kernel, offset = min(found)
-                    rows.append((event.event_id, kernel, offset, chi))
-            yield pd.DataFrame(rows, columns=["event_id", "kernel_id", "offset", "chi"])
-
-    return events.select("event_id", "center", F.col("flux").cast("array<double>").alias("flux"), F.col("median").cast("double").alias("median")).mapInPandas(run, f"event_id {kinds['event_id']}, kernel_id {kinds['kernel_id']}, offset int, chi double")
+    schema = f"event_id {kinds['event_id']}, kernel_id {kinds['kernel_id']}, offset int, chi double, compared long"
+    asked = events.where(whole("flux")).select("event_id", "center", F.col("flux").cast("array<double>").alias("flux"), F.col("median").cast("double").alias("median"))
+    bank = kernels.where(whole("curve")).select("kernel_id", F.col("curve").cast("array<double>").alias("curve"))
+    size = (bank.agg(F.sum(F.size("curve"))).collect()[0][0] or 0) * 8
+    names = ["event_id", "kernel_id", "offset", "chi", "compared"]
+
+    def matched(pdf: pd.DataFrame, held: TemplateBank) -> pd.DataFrame:
+        rows = []
+        for event in pdf.itertuples():
+            found, compared = held.best(np.asarray(event.flux, float), int(event.center), event.median, first, last, gain)
+            if found:
+                rows.append((event.event_id, found[1], found[2], found[0], compared))
+        return pd.DataFrame(rows, columns=names)
+
+    if size <= bank_bytes:
+        rows = bank.toArrow()
+        shared = spark.sparkContext.broadcast((rows.column("kernel_id").to_pylist(), [np.array(c, float) for c in rows.column("curve").to_pylist()]))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = TemplateBank(*shared.value)
+            for pdf in batches:
+                yield matched(pdf, held)
+
+        return asked.mapInPandas(run, schema)
+
+    blocks, parts = -(-size // bank_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("event_id"), F.lit(parts)).alias("part"))
+    right = bank.select("*", F.pmod(F.xxhash64("kernel_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
+    found = met.applyInPandas(lambda e, k: matched(e, TemplateBank(k["kernel_id"].tolist(), [np.asarray(c, float) for c in k["curve"]])), schema)
+    best = found.groupBy("event_id").agg(F.min(F.struct("chi", "kernel_id", "offset")).alias("m"), F.sum("compared").alias("compared"))
+    return best.select("event_id", F.col("m.kernel_id").alias("kernel_id"), F.col("m.offset").alias("offset"), F.col("m.chi").alias("chi"), "compared")
 
 
 def inject(df: DataFrame, key: Names, value: str, centers: DataFrame, profile: DataFrame, index: str = "i", out: str = "injected") -> DataFrame:

@@ -294,15 +294,17 @@ def square_photometry(pixels: DataFrame, stars: DataFrame, on: Names, half: int)
     return stars.select(*keys, "star").join(light, [*keys, "star"], "left").withColumn("flux", F.coalesce("flux", F.lit(0.0)))
 
 
-def refined(frames: DataFrame, key: Names, sigma: float) -> DataFrame:
-    """(key, star, x, y): centres of the places in each frame's row, refined."""
+def refined(frames: DataFrame, key: Names, sigma: float | str) -> DataFrame:
+    """(key, star, x, y): centres of the places in each frame's row, refined with
+    a window of width ``sigma``, a number or a column of the frames."""
+    frames = frames.withColumn("_sigma", F.col(sigma) if isinstance(sigma, str) else F.lit(float(sigma)))
 
-    def one(image: np.ndarray, stars: list) -> list[tuple]:
+    def one(image: np.ndarray, stars: list, width: float) -> list[tuple]:
         stars = [] if stars is None else list(stars)
-        x, y = windowed_centroids(image, np.array([s["x"] for s in stars], float), np.array([s["y"] for s in stars], float), sigma)
+        x, y = windowed_centroids(image, np.array([s["x"] for s in stars], float), np.array([s["y"] for s in stars], float), float(width))
         return [(int(s["star"]), float(a), float(b)) for s, a, b in zip(stars, x, y, strict=True)]
 
-    return per_frame(frames, key, one, "star int, x double, y double", "stars")
+    return per_frame(frames, key, one, "star int, x double, y double", ["stars", "_sigma"])
 
 
 def drifting_photometry(frames: DataFrame, stars: DataFrame, drift: DataFrame, key: Names, on: Names, time: str = "t", radius: float = 3.0, annulus: tuple[float, float] | None = None) -> DataFrame:

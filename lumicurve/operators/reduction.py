@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumicurve.functions.text import repaired_hour
 from lumicurve.operators import detect, images, rollup, series
+from lumicurve.operators.reports import aperture_sigma
 from lumicurve.operators.robust import edge_mask
 from lumicurve.session import materialise
 
@@ -57,14 +58,13 @@ def hour_of_folder(iso: Column, folder_hour: Column, folder_minute: Column) -> C
 
 def master_darks(darks: DataFrame, folder: str, order: str, n: int) -> DataFrame:
     """(folder, dark): the median of the first ``n`` frames of each folder of darks."""
-    stack = rollup.median_stack(rollup.first_frames(darks, folder, order, n), folder)
-    return stack.groupBy(folder).agg(F.array_sort(F.collect_list(F.struct("pixel", "value")))["value"].alias("dark"))
+    return rollup.median_images(rollup.first_frames(darks, folder, order, n), folder, out="dark")
 
 
 def stacked(frames: DataFrame, n: int, by: str = "minute", order: str = "frame") -> DataFrame:
     """(by, pixels, height, width): the median image of each ``by``'s first frames."""
     first = frames.where(F.col(order) < n)
-    pixels = rollup.median_stack(first, by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pixel", "value")))["value"].alias("pixels"))
+    pixels = rollup.median_images(first, by)
     return pixels.join(first.groupBy(by).agg(F.first("height").alias("height"), F.first("width").alias("width")), by)
 
 
@@ -89,8 +89,9 @@ def field_drift(frames: DataFrame, stars: DataFrame) -> DataFrame:
     frame, the median over the stars, after their places are refined in both."""
     ends = frames.groupBy("minute").agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"))
     both = frames.join(ends, "minute").where((F.col("frame") == F.col("_a")) | (F.col("frame") == F.col("_b")))
-    sigma = stars.agg(F.avg(2 * F.col("r") / 2.35)).collect()[0][0] or 1.0
-    seen = images.refined(images.with_stars(both, stars, "minute"), ["minute", "frame", "t"], sigma).join(ends, "minute")
+    # The window is that of the minute's own stars, whatever else is reduced with it.
+    wide = images.with_stars(both, stars, "minute").join(aperture_sigma(stars, "minute"), "minute").withColumn("sigma", F.coalesce("sigma", F.lit(1.0)))
+    seen = images.refined(wide, ["minute", "frame", "t"], "sigma").join(ends, "minute")
     first, last = (seen.where(F.col("frame") == F.col(c)).select("minute", "star", "x", "y", "t") for c in ("_a", "_b"))
     return images.median_drift(first, last, "minute", "t").join(first.groupBy("minute").agg(F.min("t").alias("t0")), "minute")
 

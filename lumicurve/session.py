@@ -89,12 +89,14 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python this package, where neither PYTHONPATH nor the
-    working folder does already: as a zip file that the driver serves, once."""
+    """Give the executors' Python this package: as a zip file that the driver
+    serves, once. Only where the master is local and its workers start with this
+    very copy's folder on their path there is nothing to do."""
     root = Path(__file__).resolve().parent.parent
-    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED or str(root) in map(os.path.realpath, filter(None, places)) or any(os.path.isdir(os.path.join(p, "lumicurve")) for p in places if p):
+    app, local = spark.sparkContext.applicationId, spark.sparkContext.master.split("[")[0] == "local"
+    places = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    found = next((os.path.realpath(p) for p in places if os.path.isdir(os.path.join(p, "lumicurve"))), None)
+    if app in _SHIPPED or local and found == str(root):
         return
     path = os.path.join(tempfile.mkdtemp(), "lumicurve.zip")
     with zipfile.ZipFile(path, "w") as z:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumicurve.operators.rollup import upsert
-from lumicurve.session import materialise
 
 
 def write_table(df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -19,13 +18,24 @@ def write_table(df: DataFrame, path: str, partitions: Sequence[str] = (), mode:
 
 def upsert_table(path: str, new: DataFrame, key: str | Sequence[str]) -> None:
     """Replace the rows of the new keys in a Parquet table. The merged rows are
-    written elsewhere first, so the table is never read and overwritten at once."""
+    written beside the table, which is then renamed out of the way, so that at
+    any moment a whole table stands under its name or under ``._old``; what an
+    interrupted call has left is put right by the next one."""
     spark = new.sparkSession
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    exists = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    merged = materialise(upsert(spark.read.parquet(path), new, key) if exists else new, "upsert")
-    merged.write.mode("overwrite").parquet(path)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    table, fresh, old = to(path), to(f"{path}._new"), to(f"{path}._old")
+    fs = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        if fs.exists(table):
+            fs.delete(old, True)
+        else:
+            fs.rename(fresh if fs.exists(to(f"{path}._new/_SUCCESS")) else old, table)
+    exists = fs.exists(table)
+    (upsert(spark.read.parquet(path), new, key) if exists else new).write.mode("overwrite").parquet(f"{path}._new")
+    if exists:
+        fs.rename(table, old)
+    fs.rename(fresh, table)
+    fs.delete(old, True)
 
 
 def detection_texts(detections: DataFrame, samples: DataFrame) -> DataFrame:

@@ -81,6 +81,17 @@ def test_upsert_table_and_manifest(spark, tmp_path):
         sinks.upsert_table(str(tmp_path / "t"), rows((1, "a")), "k")
     sinks.upsert_table(str(tmp_path / "t"), rows((1, "b"), (2, "c")), "k")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "b"), (2, "c")]
+    # An upsert that broke off between the two renames: the whole new table stands beside the old one.
+    (tmp_path / "t").rename(tmp_path / "t._old")
+    rows((1, "x"), (2, "y"), (3, "z")).write.parquet(str(tmp_path / "t._new"))
+    sinks.upsert_table(str(tmp_path / "t"), rows((3, "d")), "k")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "x"), (2, "y"), (3, "d")]
+    # One that broke off while it wrote: the old table counts.
+    (tmp_path / "t").rename(tmp_path / "t._old")
+    (tmp_path / "t._new").mkdir()
+    sinks.upsert_table(str(tmp_path / "t"), rows((1, "b")), "k")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "b"), (2, "y"), (3, "d")]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
     assert sinks.manifest({"sigma": "5"}, stars=rows((1, "a"))).collect()[0].value == '{"parameters":{"sigma":"5"},"stars":1}'
     assert [r.value for r in sinks.region_lines(spark.createDataFrame([(1.0, 2.0)], "x double, y double")).collect()] == ["circle(2.000, 3.000, 5)"]
     assert sinks.summary_lines(spark.createDataFrame([("k", 1, 2)], "minute_key string, stars int, detections int"), 3.5).count() == 4

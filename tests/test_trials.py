@@ -218,10 +218,28 @@ def test_kernels_in_several_blocks(spark):
     rng = np.random.default_rng(9)
     events = spark.createDataFrame([(k, 20, [float(v) for v in rng.uniform(0.5, 1.5, 40)], 1.0) for k in range(12)] + [(99, 20, None, 1.0), (98, 0, [1.0] * 5, 1.0)], "event_id long, center int, flux array<double>, median double")
     kernels = spark.createDataFrame([(k, [float(v) for v in rng.uniform(0.5, 1.5, 9 + k % 3)]) for k in range(50)], "kernel_id long, curve array<double>")
-    one, many = (sorted(map(tuple, detect.kernel_match(events, kernels, block=b).collect())) for b in (1000, 7))
+    one, many = (sorted(tuple(r)[:4] for r in detect.kernel_match(events, kernels, bank_bytes=b).collect()) for b in (1 << 20, 500))
     assert one == many and [r[0] for r in one] == list(range(12))
 
 
+def test_bounds_rule_most_kernels_out():
+    """Dips of many depths, widths and phases: the same kernel as by all distances, from a fifth of the samples."""
+    rng = np.random.default_rng(4)
+    at = np.arange(31)
+    dip = lambda depth, width, phase: 1 - depth * np.exp(-(((at - 15 - phase) / width) ** 2))
+    curves = [dip(*v) for v in zip(rng.uniform(0.05, 0.9, 2000), rng.uniform(1, 8, 2000), rng.uniform(-0.5, 0.5, 2000), strict=True)]
+    bank, total, every = detect.TemplateBank(list(range(2000)), curves), 0, 0
+    for k in range(40):
+        flux = np.ones(60) + rng.normal(0, 0.03, 60)
+        flux[14:45] += dip(rng.uniform(0.2, 0.9), rng.uniform(1.5, 6), rng.uniform(-0.5, 0.5)) - 1
+        found, compared = bank.best(flux, 29, 1.0, -3, 2, 0.82)
+        noise = np.sqrt(np.abs(flux) / 0.82) * 0.82
+        want = min((float((np.abs(flux[s : s + 31] - c) / noise[s : s + 31]).sum()), i, o) for o in range(-3, 3) for s in [29 + o - 15] for i, c in enumerate(curves))
+        assert found == (pytest.approx(want[0]), *want[1:])
+        total, every = total + compared, every + 6 * 2000 * 31
+    assert total < every / 5
+
+
 def flux_table(spark, curves):
     return spark.createDataFrame([(k, t, None if math.isnan(v) else float(v)) for k, c in curves.items() for t, v in enumerate(c)], "star long, t long, flux double")
 
