@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumicurve.operators import images
+from lumicurve.operators.tracking import track_stars
 from lumicurve.plans.common import r6, table
 from lumicurve.plans.registry import query
 from lumicurve.session import work_dir
@@ -154,3 +155,16 @@ def raw_frame_bands(spark, sf_dir):
 @query("raw_frame_sizes", f"WITH {RAW} SELECT folder, count(*) AS frames, 8 AS height, 8 AS width FROM f GROUP BY folder")
 def raw_frame_sizes(spark, sf_dir):
     return frame_sizes(spark, _raw_files(spark, sf_dir))
+
+
+@query("tracked_stars")
+def tracked_stars(spark, sf_dir):
+    """Vectors as stars of the field of their label, which drifts over ten frames; some are out of sight in some."""
+    v = lambda k: F.element_at("embedding", k + 1).cast("double")
+    e = table(spark, sf_dir, "embeddings")
+    stars = e.select(F.col("label").alias("field"), F.col("vec_id").alias("star"), (v(0) * 1000).alias("x"), (v(1) * 1000).alias("y"), ((v(2) + 2) * 100).alias("flux"))
+    t = F.col("frame")
+    at = lambda first: F.element_at("embedding", t + first + 1).cast("double")
+    sources = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("frame")).where(at(23) < 0.15)
+    sources = sources.select(F.col("label").alias("field"), "frame", (v(0) * 1000 + t + at(3)).alias("x"), (v(1) * 1000 - t + at(13)).alias("y"), ((v(2) + 2) * 100 * (1 + at(33) / 4)).alias("flux"))
+    return track_stars(stars, sources, "field").select("field", "frame", "star", r6("x").alias("x"), r6("y").alias("y"), r6("flux").alias("flux"), "found")
