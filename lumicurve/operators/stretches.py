@@ -25,7 +25,7 @@ from lumicurve.operators.series import Names, _list
 LENGTH = 65_536
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key equals itself; one of the key columns stays."""
     if not keys:
         return left.join(F.broadcast(right), how=how) if how != "inner" else left.crossJoin(F.broadcast(right))
@@ -51,12 +51,12 @@ def indexed(df: DataFrame, key: Names, order: Names, index: str = "i", count: st
     parts = F.ceil(F.col("_size") / length)
     place = F.when(F.col("_x1") > F.col("_x0"), F.floor((x - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * parts)).otherwise(0)
     # Nulls come first, as in an ascending order.
-    dealt = _null_safe(df, ends, keys).withColumn("_part", F.when(x.isNull(), -1).otherwise(F.least(place, parts - 1)).cast("long")).drop("_x0", "_x1")
+    dealt = null_safe(df, ends, keys).withColumn("_part", F.when(x.isNull(), -1).otherwise(F.least(place, parts - 1)).cast("long")).drop("_x0", "_x1")
     ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
     counts = counts.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0).cast("long"))).drop("_rows")
     row = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*by))
-    out = _null_safe(dealt, counts, [*keys, "_part"]).withColumn(index, (F.col("_ahead") + row - 1).cast("long")).drop("_ahead", "_part")
+    out = null_safe(dealt, counts, [*keys, "_part"]).withColumn(index, (F.col("_ahead") + row - 1).cast("long")).drop("_ahead", "_part")
     return out.withColumnRenamed("_size", count) if count else out.drop("_size")
 
 
@@ -87,7 +87,7 @@ def _mirrored(df: DataFrame, key: Names, half: int, index: str) -> DataFrame:
     turns = F.floor((half + n) / (2 * n)) + 1
     often = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(i + 2 * n * k, 2 * n * k - 1 - i)))
     places = F.when(n >= half, once).otherwise(F.filter(often, lambda p: (p >= -half) & (p < n + half)))
-    return _null_safe(df, sizes(df, key, index), _list(key)).withColumn("_at", F.explode(places))
+    return null_safe(df, sizes(df, key, index), _list(key)).withColumn("_at", F.explode(places))
 
 
 def _running_mean(wide: DataFrame, key: Names, value: str, width: int, out: str) -> DataFrame:
@@ -131,7 +131,7 @@ def trim_zeros(df: DataFrame, key: Names, value: str, index: str = "i", least: i
     """The same as ``series.trim_zeros``; _first has the first index that stays."""
     keys, live = _list(key), F.when(F.col(value) != 0, F.col(index))
     ends = df.groupBy(*keys).agg(F.min(live).alias("_first"), F.max(live).alias("_last")).where(F.col("_last") - F.col("_first") + 1 >= least)
-    return _null_safe(df, ends, keys).where(F.col(index).between(F.col("_first"), F.col("_last"))).drop("_last")
+    return null_safe(df, ends, keys).where(F.col(index).between(F.col("_first"), F.col("_last"))).drop("_last")
 
 
 def dip_detection(df: DataFrame, key: Names, order: Names, value: str, detrend_width: int = 200, kernel_width: float = 6.0, taps: int = 49, exclude: int = 5, threshold: float = 5.0, least: int = 100, length: int = LENGTH) -> DataFrame:
@@ -143,7 +143,7 @@ def dip_detection(df: DataFrame, key: Names, order: Names, value: str, detrend_w
     c = detrended_convolution(s, keys, value, detrend_width, series.ricker(kernel_width, taps), length=length).select(*keys, "i", "frame", "c")
     best = c.groupBy(*keys).agg(F.min(F.struct("c", "i", "frame")).alias("_b"))
     away = F.when(F.abs(F.col("i") - F.col("_b.i")) > exclude, F.col("c"))
-    found = _null_safe(c, best, keys).groupBy(*keys).agg(F.min("_b").alias("_b"), F.avg(away).alias("bkg_mean"), F.stddev_pop(away).alias("bkg_std"), F.count(F.lit(1)).alias("n_conv"))
+    found = null_safe(c, best, keys).groupBy(*keys).agg(F.min("_b").alias("_b"), F.avg(away).alias("bkg_mean"), F.stddev_pop(away).alias("bkg_std"), F.count(F.lit(1)).alias("n_conv"))
     found = found.select(*keys, F.col("_b.frame").alias("frame"), F.col("_b.c").alias("conv_min"), "bkg_mean", "bkg_std", "n_conv")
     found = found.withColumn("significance", F.when(F.col("bkg_std") > 0, (F.col("bkg_mean") - F.col("conv_min")) / F.col("bkg_std")))
     return found.withColumn("detected", F.coalesce(F.col("significance") >= threshold, F.lit(False)))
@@ -210,7 +210,7 @@ def bank_peaks(df: DataFrame, key: Names, value: str, banks: dict[str, Sequence[
 
 def with_sigma(df: DataFrame, key: Names, value: str, out: str = "sigma") -> DataFrame:
     """Add the standard deviation of each whole series."""
-    return _null_safe(df, df.groupBy(*_list(key)).agg(F.stddev_pop(value).alias(out)), _list(key))
+    return null_safe(df, df.groupBy(*_list(key)).agg(F.stddev_pop(value).alias(out)), _list(key))
 
 
 def steps(df: DataFrame, key: Names, order: Names, time: str, out: str = "dt", length: int = LENGTH) -> DataFrame:

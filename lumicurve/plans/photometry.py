@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicurve.operators import evaluate, nearest, robust, series
+from lumicurve.operators import evaluate, nearest, quantiles, robust, series
 from lumicurve.plans.common import LC, USER_LC, curves, r6, table, trend_sql
 from lumicurve.plans.match import STARS, stars
 from lumicurve.plans.registry import query
@@ -222,3 +222,10 @@ def full_scopes(spark, sf_dir):
 def scopes_identical(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return robust.scopes_identical(li, li, ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"], "l_tax")
+
+
+@query("exact_medians", "WITH m AS (SELECT l_returnflag, count(*) AS n, median(l_extendedprice) AS median FROM lineitem GROUP BY 1) SELECT l_returnflag, any_value(n) AS n, round(any_value(median), 6) AS median, round(median(abs(l_extendedprice - median)), 6) AS mad FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1")
+def exact_medians(spark, sf_dir):
+    """Three keys with a third of the table each, of which no task holds over a thousand values."""
+    d = quantiles.exact_mads(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", most=1000)
+    return d.select("l_returnflag", "n", r6("median").alias("median"), r6("mad").alias("mad"))
