@@ -10,6 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumicurve.llm import language_id, quality
 from lumicurve.llm.ngram_join import jaccard_components
@@ -18,6 +19,10 @@ from lumicurve.llm.pii import redact_personal_data
 from lumicurve.session import materialise
 
 
+#: What stand-ins for missing ids begin with where ids are strings: the last code point.
+LAST = "\U0010ffff"
+
+
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; texts without letters, empty or null go."""
     return language_id.language_filter(docs, language_id.train(docs))
@@ -33,15 +38,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each component of near copies (Jaccard similarity of 0.8 or more over
     five-word n-grams) the document with the least id; of rows that repeat an
     id, the one with the least text. Rows without an id are documents of their
-    own, behind all that have one."""
+    own, behind all that have one. Ids are whole numbers below 2^62 or strings."""
     named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
     if nameless.isEmpty():
         return _first_of_groups(named)
-    # Numbers above all real ids stand for missing ones, written so that they cannot change.
-    number = (F.lit(1 << 62) + F.monotonically_increasing_id()).cast(docs.schema["doc_id"].dataType)
-    numbered = materialise(nameless.withColumn("doc_id", number), "nameless")
+    # Stand-ins that sort behind all real ids, written so that they cannot change.
+    number = F.monotonically_increasing_id()
+    if isinstance(docs.schema["doc_id"].dataType, StringType):
+        stand_in, is_real = F.concat(F.lit(LAST), F.lpad(number.cast("string"), 20, "0")), ~F.startswith("doc_id", F.lit(LAST))
+    else:
+        stand_in, is_real = (F.lit(1 << 62) + number).cast(docs.schema["doc_id"].dataType), F.col("doc_id") < (1 << 62)
+    numbered = materialise(nameless.withColumn("doc_id", stand_in), "nameless")
     kept = _first_of_groups(named.unionByName(numbered))
-    return kept.withColumn("doc_id", F.when(F.col("doc_id") < (1 << 62), F.col("doc_id")))
+    return kept.withColumn("doc_id", F.when(is_real, F.col("doc_id")))
 
 
 def _first_of_groups(docs: DataFrame) -> DataFrame:
