@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 import corpus_pipeline
 import public_tokenizers as P
 import pyarrow as pa
-from lumicurve.llm import chat_format, language_id, ngram_join, quality
+from lumicurve.llm import chat_format, language_id, ngram_join, pii, quality
 from lumicurve.llm.byte_bpe import TextEncoder
 from lumicurve.llm.chat_format import chat_windows, escape, read_back, unescape
 from lumicurve.llm.components import connected_components
@@ -283,18 +284,52 @@ def stage_inputs(spark):
     return docs, language_id.train(docs), quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
 
 
+def redacted(text, spans):
+    """The text with each span replaced by its kind in angle brackets, spans that overlap as one (of the first one's kind)."""
+    out, end = [], 0
+    for kind, start, stop in sorted(((k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)), key=lambda s: (s[1], s[2])):
+        if start >= end:
+            out += [text[end:start], f"<{kind.upper()}>"]
+        end = max(end, stop)
+    return "".join([*out, text[end:]])
+
+
 def test_pipeline_equals_brute_force(spark, stage_inputs):
+    """Every stage again: five-word sets compared pair by pair, spans cut out of
+    the texts, and the tokenizer's own library; of the learned stages the
+    verdicts are taken, and what no model decides is looked at apart."""
+    import public_tokenizers
+    import tokenizers
+    from test_near_copies import brute_stay
+
     docs, model, _ = stage_inputs
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
     langs = {r.doc_id: r for r in language_id.identify_languages(docs, model).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect() if langs[r.doc_id].lang_pred != "und" and langs[r.doc_id].score >= 0.3}
+    assert all((langs[i].lang_pred == "und") == (not any(c.isalpha() for c in t)) for i, t in texts.items())
+    texts = {i: t for i, t in texts.items() if any(c.isalpha() for c in t) and langs[i].score >= 0.3}
     left = docs.where(docs.doc_id.isin(list(texts)))
-    kept = {r.doc_id for r in quality.quality_report(left, quality.train(left, spark.read.parquet(f"{DATA}/labels.parquet"))).where("kept").collect()}
-    texts = {i: t for i, t in texts.items() if i in kept}
-    stay = {i for i, (_, c) in brute_components(texts).items() if i == c}
+    verdicts = {r.doc_id: r for r in quality.quality_report(left, quality.train(left, spark.read.parquet(f"{DATA}/labels.parquet"))).collect()}
+    assert not any(verdicts[i].kept for i, t in texts.items() if len(re.findall(r"[^\x20\x09-\x0D]+", t)) < 20)
+    texts = {i: t for i, t in texts.items() if verdicts[i].kept}
+    stay = brute_stay(texts)
+    group = docs.where(docs.doc_id.isin(list(stay)))
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(group).collect()}
+    shown = {r.doc_id: r.text for r in pii.redact_personal_data(group).collect()}
+    for i in stay:
+        assert shown[i] == redacted(texts[i], spans[i]), i
+    assert any(shown[i] != texts[i] for i in stay)
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = corpus_pipeline.run(spark, DATA).toPandas()
-    assert set(out.doc_id) == stay
-    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
-    assert len(corpus_pipeline.STAGES) == 5
+    assert set(out.doc_id) == stay and len(corpus_pipeline.STAGES) == 5
+    for i, own in out.sort_values("piece").groupby("doc_id"):
+        ids = [*tokenizer.encode(shown[i], add_special_tokens=False).ids, 0]
+        assert [x for piece in own["ids"] for x in np.frombuffer(piece, "<u4").tolist()] == ids
+        for r in own.itertuples():
+            piece = ids[r.start : r.start + r.length]
+            assert np.frombuffer(r.ids, "<u4").tolist() == piece and r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
+        assert (own["length"] == 2048).sum() >= len(own) - 1
+    for _, own in out.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *np.cumsum(own["length"])[:-1].tolist()] and own["length"].sum() <= 2048
 
 
 def test_pipeline_stages_keep_columns_and_take_empty_tables(spark, stage_inputs):

@@ -66,6 +66,14 @@ def test_stage_on_odd_rows(spark):
     assert [r for r in got if r[0]] == [(1, text(1)), (3, text(3)), (6, ""), (7, ""), (8, "")]
 
 
+def test_stage_with_string_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(50))
+    rows = [("b", text(1)), ("a", text(1)), (None, text(1)), (None, text(2)), (None, text(2)), ("z", text(3)), ("10", text(3)), ("9", None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id string, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.one_of_each_group(spark, docs, DATA)
+    assert sorted((r.doc_id or "", r.text or "") for r in out.collect()) == [("", text(2)), ("10", text(3)), ("9", ""), ("a", text(1))] and out.columns == docs.columns
+
+
 def test_all_stages_on_odd_rows(spark, odd):
     docs = odd.selectExpr("doc_id", "text", "'en' AS lang", "source", "doc_id AS n_chars")
     for name, stage in corpus_pipeline.STAGES:
