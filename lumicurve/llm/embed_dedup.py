@@ -82,12 +82,12 @@ def bucket_keys(raw: list[bytes], projections: int, tables: int, width: float, s
     return out
 
 
-def _block(threshold: float):
+def _block(threshold: float, projections: int, tables: int, width: float, seed: int):
     def run(table: pa.Table) -> pa.Table:
         """Degrees and a forest of the links of one pair of chunks of a bucket."""
         t, i, j = (table.column(c)[0].as_py() for c in ("t", "i", "j"))
-        unit = unit_vectors(table.column("raw").to_pylist())
-        keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(len(unit), -1)[:, :t]
+        raw = table.column("raw").to_pylist()
+        unit = unit_vectors(raw)
         weight = table.column("m").to_numpy()
         chunk = table.column("chunk").to_numpy()
         one, two = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
@@ -100,7 +100,12 @@ def _block(threshold: float):
             keep = x < y if i == j else slice(None)
             x, y = x[keep], y[keep]
             found.append((x, y))
-            # A pair counts in the first table in which it meets.
+        # A pair counts in the first table in which it meets. Keys are made again, for linked vectors alone.
+        linked = np.unique(np.concatenate([np.empty(0, np.int64), *(v for pair in found for v in pair)]))
+        keys = np.zeros((len(unit), t), np.uint64)
+        if t and len(linked):
+            keys[linked] = bucket_keys([raw[k] for k in linked.tolist()], projections, tables, width, seed)[:, :t]
+        for x, y in found:
             fresh = np.ones(len(x), bool)
             for k in range(t):
                 fresh &= keys[x, k] != keys[y, k]
@@ -150,14 +155,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
             yield b.append_column("keys", pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())))
 
     signed = materialise(nodes.select("raw", F.col("rep").alias("id"), "m").mapInArrow(sign, f"raw binary, id {kind}, m long, keys array<long>"), "signed")
-    placed = signed.select("*", F.posexplode("keys").alias("t", "key"))
-    counts = signed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = signed.select("id", F.posexplode("keys").alias("t", "key"))
+    counts = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # 128 vectors of a bucket to a chunk; from 5,120 on the chunks grow, to 2,048 at most.
     chunks = F.greatest(F.least(F.ceil(F.col("n") / 128), F.lit(40)), F.ceil(F.col("n") / 2048)).cast("int")
-    dealt = placed.join(counts.select("t", "key", chunks.alias("c")), ["t", "key"])
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    dealt = dealt.select("t", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "m", "raw", "keys")
-    links = materialise(dealt.groupBy("t", "key", "i", "j").applyInArrow(_block(threshold), f"id {kind}, degree long, root {kind}"), "links")
+    dealt = placed.join(counts.select("t", "key", chunks.alias("c")), ["t", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
+    # Numbers alone find who meets; the vectors come to those that have company.
+    dealt = dealt.join(signed.select("id", "m", "raw"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    dealt = dealt.select("t", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "m", "raw")
+    block = _block(threshold, projections, tables, width, seed)
+    links = materialise(dealt.groupBy("t", "key", "i", "j").applyInArrow(block, f"id {kind}, degree long, root {kind}"), "links")
 
     degree = links.groupBy("id").agg(F.sum("degree").alias("degree"))
     component = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
