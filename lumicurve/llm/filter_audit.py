@@ -12,6 +12,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumicurve.session import materialise
+
 FILTERS = "ABCDE"
 
 
@@ -48,7 +50,8 @@ def failure_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shown = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), shown.alias("_text"))
     rows = rows.select("_id", "part", F.unhex(F.sha2("_text", 256)).alias("_sha"), "_text", words(F.col("_text")).alias("_words"))
-    rows = rows.select("_id", "part", "_sha", text_mask(F.col("_text"), F.col("_words")).alias("_mask"))
+    # Written, so that texts are read once: an id, a digest and a mask stand for each from here on.
+    rows = materialise(rows.select("_id", "part", "_sha", text_mask(F.col("_text"), F.col("_words")).alias("_mask")), "masks")
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("_good"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("_toxic"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     named = rows.where("_id IS NOT NULL").join(marks, "_id", "left").select("_id", "part", "_sha", "_mask", zero("_good").alias("_good"), zero("_toxic").alias("_toxic"))
