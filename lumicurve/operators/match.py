@@ -119,6 +119,17 @@ def pixel_match(stars: DataFrame, reference: str, others: tuple[str, ...], toler
     return out
 
 
+def clean_matches(matches: DataFrame, samples: DataFrame, stars: dict[str, str], least: int = 100, scope: str = "scope", star: str = "star", index: str = "i", value: str = "flux") -> DataFrame:
+    """The matches whose star is clean in every scope: at least ``least`` samples
+    from its first to its last that is not 0. ``stars``: the column of a match
+    that has each scope's star; ``samples``: scope, star, index, value."""
+    live = F.when(F.col(value) != 0, F.col(index))
+    good = samples.groupBy(scope, star).agg((F.max(live) - F.min(live) + 1).alias("_n")).where(F.col("_n") >= least)
+    for name, column in stars.items():
+        matches = matches.join(good.where(F.col(scope) == name).select(F.col(star).alias(column)), column, "left_semi")
+    return matches
+
+
 def sky_distance(ra1: np.ndarray, dec1: np.ndarray, ra2: np.ndarray, dec2: np.ndarray) -> np.ndarray:
     """Great-circle distances in degrees, element by element."""
     a1, d1, a2, d2 = (np.radians(v) for v in (ra1, dec1, ra2, dec2))

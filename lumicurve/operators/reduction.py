@@ -34,6 +34,7 @@ class Settings:
     detrend_width: int = 200
     kernel_width: float = 6.0
     taps: int = 49
+    annulus: tuple[float, float] | None = None  # radii of the ring whose background is taken off
 
 
 def frame_slice(frames: DataFrame, by: str, order: str, first: int, n: int) -> DataFrame:
@@ -117,7 +118,7 @@ def light_curves(frames: DataFrame, s: Settings = Settings()) -> tuple[DataFrame
     drift = materialise(field_drift(frames, stars), "field-drift")
     status = minute_status(frames, stars, drift, s)
     good = frames.join(status.where("status = 'ok'").select("minute"), "minute", "left_semi")
-    return images.drifting_photometry(good, stars, drift, ["minute", "frame"], "minute", radius=s.radius), status
+    return images.drifting_photometry(good, stars, drift, ["minute", "frame"], "minute", radius=s.radius, annulus=s.annulus), status
 
 
 def search_minutes(frames: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:

@@ -100,6 +100,19 @@ def gap_breaks(df: DataFrame, key: Names, time: str, value: str, gap: str = "gap
     return df.select(*keys, time, value).unionByName(marks)
 
 
+def on_axis(df: DataFrame, key: Names, time: str, value: str, field: Names = ()) -> DataFrame:
+    """Each series on the whole axis of its field: a row for every time at which
+    any series of the field has a sample, null where this one has none, so that
+    gaps and missing minutes show. Of samples at one time the least value counts;
+    nulls are no samples of a series, but their times are on the axis."""
+    keys, fields = _list(key), _list(field)
+    axis = df.where(F.col(time).isNotNull()).select(*fields, time).distinct()
+    members = df.select(*dict.fromkeys([*fields, *keys])).distinct()
+    whole = members.join(axis, fields) if fields else members.crossJoin(axis)
+    own = df.groupBy(*dict.fromkeys([*fields, *keys]), time).agg(F.min(value).alias(value))
+    return whole.join(own, [*dict.fromkeys([*fields, *keys]), time], "left")
+
+
 def time_bins(df: DataFrame, key: Names, time: str, value: str, width: float, how: str = "mean") -> DataFrame:
     """(key, bin, t_center, value, n): bins of ``width`` from each series' first
     time. The last sample falls into the last bin also where the span is a

@@ -169,6 +169,21 @@ def pixel_match_all_scopes(spark, sf_dir):
     return match.pixel_match(s, "zero", ("one", "two"), 0.05)
 
 
+CLEAN = f"""WITH {STARS}, t AS (SELECT *, star % 3 AS scope FROM s), j AS (SELECT a.star AS ref, b.scope, arg_min(b.star, (sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.star)) AS hit FROM t a JOIN t b ON a.scope = 0 AND b.scope > 0 AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 0.05 GROUP BY ALL),
+fl AS (SELECT vec_id AS star, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings), g AS (SELECT star FROM fl GROUP BY star HAVING max(CASE WHEN abs(v) >= 0.1 THEN i END) - min(CASE WHEN abs(v) >= 0.1 THEN i END) + 1 >= 60)
+SELECT a.ref, a.hit AS one, b.hit AS two FROM j a JOIN j b ON a.ref = b.ref AND a.scope = 1 AND b.scope = 2 WHERE a.ref IN (FROM g) AND a.hit IN (FROM g) AND b.hit IN (FROM g)"""
+
+
+@query("clean_scope_matches", CLEAN)
+def clean_scope_matches(spark, sf_dir):
+    """Stars matched over three scopes and clean in all of them; faint samples count as 0."""
+    name = lambda c: F.element_at(F.array(F.lit("zero"), F.lit("one"), F.lit("two")), (F.col(c) % 3 + 1).cast("int"))
+    s = stars(spark, sf_dir).select("star", "x", "y", name("star").alias("scope"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("star"), name("vec_id").alias("scope"), F.posexplode("embedding").alias("i", "v"))
+    samples = e.select("scope", "star", "i", F.when(F.abs(F.col("v").cast("double")) >= 0.1, F.col("v").cast("double")).otherwise(0.0).alias("flux"))
+    return match.clean_matches(match.pixel_match(s, "zero", ("one", "two"), 0.05), samples, {"zero": "ref", "one": "one", "two": "two"}, 60).select("ref", "one", "two")
+
+
 NEAREST = f"""WITH {STARS}, t AS (SELECT star AS target, CASE WHEN star % 5 <> 0 THEN ra END AS ra, dec, x, y FROM s WHERE star % 2 = 1), c AS (SELECT star, CASE WHEN star % 7 <> 0 THEN ra END AS ra, dec, x, y FROM s WHERE star % 2 = 0),
 p AS (SELECT target, star, a.ra IS NOT NULL AS asks, b.ra IS NOT NULL AS has, {SEP} AS sep, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS far FROM t a CROSS JOIN c b)
 SELECT target, arg_min(star, (sep, star)) AS star, 'sky' AS by, round(min(sep), 6) AS d FROM p WHERE asks AND has GROUP BY target

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumicurve.functions import astro
 from lumicurve.operators import reports
 from lumicurve.plans.common import r6, seconds, table
 from lumicurve.plans.match import SEP, STARS, stars
 from lumicurve.plans.registry import query
-from lumicurve.sources import catalogue
+from lumicurve.sources import catalogue, sinks
 
 
 @query("cone_search", f"WITH {STARS}, a AS (SELECT 358.5 AS ra, 4.0 AS dec) SELECT star, round({SEP}, 6) AS sep FROM a, s b WHERE {SEP} <= 12 AND b.gmag < 0.1")
@@ -189,3 +190,34 @@ def zoomed_dips(spark, sf_dir):
 @query("frames_to_skip", "SELECT event_id, floor((value - 10) / 0.025)::BIGINT AS frames FROM events")
 def frames_to_skip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", reports.frames_to_skip(F.col("value"), F.lit(10.0)).alias("frames"))
+
+
+@query("utc_from_lst", "SELECT o_orderkey, round(epoch_us(o_orderdate) / 1e6 + (o_custkey % 24 - 5.5) / 1.0027379 * 3600, 3) AS utc FROM orders")
+def utc_from_lst(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", seconds("o_orderdate").alias("t"))
+    return o.select("o_orderkey", F.round(astro.utc_from_lst(F.col("o_custkey") % 24, F.lit(5.5), F.col("t")), 3).alias("utc"))
+
+
+@query(
+    "rewritten_coordinates",
+    "SELECT event_id AS det_id, array_to_string(list_transform(range(CASE WHEN event_id % 5 = 0 THEN 4 ELSE 9 END), lambda k: CASE WHEN k = 6 AND event_id % 3 <> 0 THEN printf('#    RA Dec Coords: %f %f', user_id / 8.0, (event_id % 90) / 4.0) ELSE '# ' || event_id || ' line ' || k END), chr(10)) AS value FROM events",
+)
+def rewritten_coordinates(spark, sf_dir):
+    """Texts of made-up detections, some too short, whose line of coordinates is rewritten where a field was solved."""
+    e = table(spark, sf_dir, "events")
+    lines = F.transform(F.sequence(F.lit(0), F.when(F.col("event_id") % 5 == 0, 3).otherwise(8)), lambda k: F.concat(F.lit("# "), F.col("event_id").cast("string"), F.lit(" line "), k.cast("string")))
+    texts = e.select(F.col("event_id").alias("det_id"), F.array_join(lines, "\n").alias("value"))
+    solved = e.where("event_id % 3 <> 0").select(F.col("event_id").alias("det_id"), (F.col("user_id") / 8.0).alias("ra"), (F.col("event_id") % 90 / 4.0).alias("dec"))
+    return sinks.with_coordinates(texts, solved)
+
+
+@query("reported_matches", "SELECT event_id, 'Tier' || (event_id % 3 + 1) AS tier FROM events WHERE event_id % 3 > 0")
+def reported_matches(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Tier"), (F.col("event_id") % 3 + 1).cast("string")).alias("tier"))
+    return reports.reported_matches(t)
+
+
+@query("attached_catalogue", "SELECT c_custkey, c_nationkey, n_name FROM customer LEFT JOIN (SELECT n_nationkey AS c_nationkey, n_name FROM nation WHERE n_regionkey <> 2) USING (c_nationkey)")
+def attached_catalogue(spark, sf_dir):
+    meta = table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return catalogue.attached(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), meta, "c_nationkey").select("c_custkey", "c_nationkey", "n_name")

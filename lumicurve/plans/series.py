@@ -74,6 +74,13 @@ def gap_breaks(spark, sf_dir):
     return series.gap_breaks(series.gap_mask(curves(spark, sf_dir, "user_id"), KEY, "t", hz=1 / 14400), KEY, "t", "flux")
 
 
+@query("raw_on_axis", "WITH e AS (SELECT user_id % 25 AS field, event_type AS star, epoch_us(ts) / 1e6 AS t, value AS flux FROM events), m AS (SELECT DISTINCT field, star FROM e), ax AS (SELECT DISTINCT field, t FROM e) SELECT m.field, m.star, round(ax.t, 6) AS t, flux FROM m JOIN ax USING (field) LEFT JOIN (SELECT field, star, t, min(flux) AS flux FROM e GROUP BY ALL) o ON o.field = m.field AND o.star = m.star AND o.t = ax.t")
+def raw_on_axis(spark, sf_dir):
+    """Each field's stars on all of the field's times."""
+    e = curves(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 25).alias("field")), "event_id")
+    return series.on_axis(e.select("field", "star", "t", "flux"), KEY, "t", "flux", "field").select("field", "star", r6("t").alias("t"), "flux")
+
+
 def _bins(how: str) -> None:
     agg = {"mean": "avg(flux)", "median": "median(flux)", "sum": "sum(flux)"}[how]
     text = f"""WITH {LC}, e AS (SELECT star, min(t) AS t0, greatest(1, ceil((max(t) - min(t)) / 7200.0))::BIGINT AS k FROM lc GROUP BY star),

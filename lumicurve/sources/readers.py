@@ -79,6 +79,21 @@ def weather(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.csv(list(paths), schema=WEATHER, mode="DROPMALFORMED")
 
 
+def weather_in_order(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of all the logs by time."""
+    return weather(spark, *paths).orderBy("unix_time")
+
+
+def weather_log(spark: SparkSession, folder: str, date: str, today: str) -> str | None:
+    """The log of a night (both dates as YYYYMMDD): the one that is being written
+    for today, else the one that carries the date; None if there is none."""
+    if date == today:
+        return f"{folder}/weather.log"
+    path = f"{folder}/weather.log.{date[:4]}-{date[4:6]}-{date[6:]}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there) else None
+
+
 def observatory_log(spark: SparkSession, path: str, patterns: list[str] | None = None) -> DataFrame:
     """(path, line_no, t, line) of UTF-16 logs, only lines with one of the patterns."""
     t = whole_texts(spark, path, "UTF-16")

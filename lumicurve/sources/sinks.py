@@ -38,6 +38,28 @@ def upsert_table(path: str, new: DataFrame, key: str | Sequence[str]) -> None:
     fs.delete(old, True)
 
 
+#: The line of a detection's text (from 0) that has its coordinates.
+COORDINATES_LINE = 6
+
+
+def with_coordinates(texts: DataFrame, solved: DataFrame) -> DataFrame:
+    """(det_id, value): detection texts whose line of coordinates is rewritten
+    where a field was solved (det_id, ra, dec); other texts, and those that are
+    too short to have the line, stay as they are."""
+    joined = texts.join(solved.select("det_id", F.col("ra").alias("_ra"), F.col("dec").alias("_dec")), "det_id", "left")
+    line = F.concat(F.lit("#    RA Dec Coords: "), F.format_string("%f %f", "_ra", "_dec"))
+    known = F.col("_ra").isNotNull() & F.col("_dec").isNotNull()
+    rewritten = F.array_join(F.transform(F.split("value", "\n"), lambda x, i: F.when(i == COORDINATES_LINE, line).otherwise(x)), "\n")
+    return joined.select("det_id", F.when(known, rewritten).otherwise(F.col("value")).alias("value"))
+
+
+def target_tables(curves: DataFrame, path: str, target: str = "target", time: str = "t") -> None:
+    """A folder of Parquet for each target, its curve in order of time; targets
+    that are written again are replaced, others stay."""
+    ordered = curves.repartition(target).sortWithinPartitions(target, time)
+    write_table(ordered, path, [target])
+
+
 def detection_texts(detections: DataFrame, samples: DataFrame) -> DataFrame:
     """(det_id, value): the text of each detection's file, header and body. A
     cutout has some 80 samples, so a text is small."""
