@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumicurve.functions.text import repaired_hour
+from lumicurve.functions.text import key_time, minute_key, repaired_hour
 from lumicurve.operators import detect, images, rollup, series
+from lumicurve.operators.bandjoin import asof_nearest
+from lumicurve.operators.images import subtract_dark
 from lumicurve.operators.reports import aperture_sigma
 from lumicurve.operators.robust import edge_mask
 from lumicurve.session import materialise
+from lumicurve.sources.frame_source import frame_bands
 
 
 @dataclass(frozen=True)
@@ -162,3 +165,38 @@ def events_by_series(curves: DataFrame, events: DataFrame) -> DataFrame:
     """Cutouts of 40 frames before to 39 behind each event (minute, star, frame)."""
     e = events.select("minute", "star", F.col("frame").alias("event_frame"))
     return series.cutout(curves, e, ["minute", "star"], "frame", "event_frame")
+
+
+def folder_frames(spark: SparkSession, path: str, gain: str = "low") -> DataFrame:
+    """(folder, minute, start, frame, t, pixels, height, width) of the raw frames
+    below a folder: frames numbered by name in each minute's folder, their hour
+    that of the folder, t in unix seconds. A folder whose name is no minute key
+    gives none. Numbers come from the headers alone, so no pixels are sorted."""
+    order = Window.partitionBy("folder").orderBy("name")
+    numbers = frame_bands(spark, path, headersOnly="true").select("folder", "name", (F.row_number().over(order) - 1).cast("long").alias("frame"))
+    whole = frame_bands(spark, path, bandRows=1 << 20).withColumn("minute", minute_key(F.col("folder"))).where("minute IS NOT NULL")
+    start = key_time(F.col("minute"))
+    iso = hour_of_folder(F.col("date_obs"), F.hour(start), F.minute(start))
+    timed = with_seconds(whole.withColumn("date_obs", iso)).withColumn("start", F.unix_micros(start) / 1e6)
+    return timed.join(numbers, ["folder", "name"]).select("folder", "minute", "start", "frame", "t", F.col(gain).alias("pixels"), "height", "width")
+
+
+def with_nearest_dark(frames: DataFrame, darks: DataFrame, n: int = 10) -> DataFrame:
+    """The frames less the median of the first ``n`` frames of the folder of darks
+    whose time is nearest to their minute's, the earlier one on ties; as they are
+    if there are no darks. Both as ``folder_frames`` gives them."""
+    master = materialise(master_darks(darks, "folder", "frame", n), "darks")
+    times = darks.select(F.col("folder").alias("dark_folder"), F.col("start").alias("dark_start")).distinct()
+    minutes = frames.select("minute", "start").distinct()
+    near = asof_nearest(minutes, times, "minute", "start", "dark_start", ["dark_folder"]).select("minute", "dark_folder")
+    return subtract_dark(frames.join(near, "minute", "left"), master.withColumnRenamed("folder", "dark_folder"), "dark_folder").drop("dark_folder")
+
+
+def search_folders(spark: SparkSession, path: str, darks: str | None = None, s: Settings = Settings(), n_darks: int = 10, gain: str = "low") -> tuple[DataFrame, DataFrame]:
+    """``search_minutes`` from raw files: the minute folders below ``path``, their
+    frames' hours repaired, less the nearest of the darks below ``darks``."""
+    frames = folder_frames(spark, path, gain)
+    if darks is not None:
+        frames = with_nearest_dark(frames, folder_frames(spark, darks, gain), n_darks)
+    frames = frames.select("minute", "frame", "t", F.col("pixels").cast("array<double>").alias("pixels"), "height", "width")
+    return search_minutes(frames, s)

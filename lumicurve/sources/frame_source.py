@@ -237,7 +237,7 @@ class _Bands:
                     h = header_of(handle, own[0].name)
                 starts = list(range(0, max(h.height, 1), self.band_rows))
                 spans = [(a, None if a == starts[-1] else a + self.band_rows) for a in starts if self.pushed("row0", a)]
-                share = max(1, self.band_rows * h.row_bytes)
+                share = max(1, min(self.band_rows, h.height) * h.row_bytes)
             n = max(1, self.task_bytes // share)
             out += [Band(tuple(own[k : k + n]), a, b) for a, b in spans for k in range(0, len(own), n)]
         return out

@@ -46,6 +46,30 @@ def test_minutes_are_searched(frames):
     assert len(cut) == 80 and cut.offset.min() == -40 and cut.offset.max() == 39
 
 
+def test_raw_folders_are_searched(spark, tmp_path):
+    """From files to dips in one call: hours of the folder, the nearest dark taken off, frames in order of their names."""
+    from lumicurve.sources.frame_source import write_frames
+
+    y, x = np.mgrid[:SIZE, :SIZE]
+    pattern = {"20250830_02.00.00.000": 300 + 40 * ((x + y) % 3), "20250830_09.00.00.000": 900 + 0 * x}
+    key, rows = "20250830_03.04.00.000", []
+    for r in minute(key, PLACES, 0.1, (5, 140)).itertuples():
+        image = np.rint(4 * np.asarray(r.pixels).reshape(SIZE, SIZE) + pattern["20250830_02.00.00.000"]).astype(int).ravel().tolist()
+        # The camera's clock counts its own hours; minute and second are right.
+        rows.append((key, f"f{r.frame:05d}.rcd", f"2025-08-30T27:04:{r.frame * 0.025:09.6f}", SIZE, SIZE, image, image))
+    darks = [(name, f"d{k}.rcd", "2025-08-30T00:00:00", SIZE, SIZE, (p + k % 2).ravel().tolist(), p.ravel().tolist()) for name, p in pattern.items() for k in range(3)]
+    schema = "folder string, name string, date_obs string, height int, width int, low array<int>, high array<int>"
+    for name, made in (("night", rows), ("darks", darks)):
+        write_frames(spark.createDataFrame(made, schema).repartition(3), str(tmp_path / name))
+    frames = reduction.folder_frames(spark, str(tmp_path / "night"))
+    first = frames.where("frame = 4").select("minute", "t", "height").collect()
+    assert [(r.minute, r.t, r.height) for r in first] == [(key, pytest.approx(pd.Timestamp("2025-08-30T03:04:00.1", tz="UTC").timestamp()), SIZE)]
+    found, status = reduction.search_folders(spark, str(tmp_path / "night"), str(tmp_path / "darks"), reduction.Settings(edge=5.0, most_drift=0.25))
+    assert [(r.minute, r.frames, r.stars, r.status) for r in status.collect()] == [(key, N, 12, "ok")]
+    dips = found.collect()
+    assert len(dips) == 1 and dips[0].minute == key and abs(dips[0].frame - 142) <= 3
+
+
 def test_slices_times_and_darks(spark, frames):
     cut = reduction.frame_slice(frames.drop("frame"), "minute", "t", 10, 5).groupBy("minute").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("n"), F.max("frame").alias("m")).collect()
     assert all((r.t, r.n, r.m) == (pytest.approx(1000.25), 5, 4) for r in cut)
