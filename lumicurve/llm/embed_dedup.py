@@ -14,6 +14,7 @@ never pairs.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +66,20 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(id_col, vector_col).mapInArrow(run, f"id {kind}, raw binary")
 
 
+@lru_cache(maxsize=4)
+def directions_of(seed: int, size: int, n: int, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random directions for vectors of ``size`` bytes, and their shifts."""
+    rng = np.random.default_rng([seed, size])
+    return rng.standard_normal((size // 8, n)), rng.uniform(0, width, n)
+
+
 def bucket_keys(raw: list[bytes], projections: int, tables: int, width: float, seed: int) -> np.ndarray:
     """A 64-bit bucket key for each vector and table."""
     out = np.empty((len(raw), tables), np.uint64)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     for size in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == size)
-        rng = np.random.default_rng([seed, size])
-        directions = rng.standard_normal((size // 8, tables * projections))
-        shift = rng.uniform(0, width, tables * projections)
+        directions, shift = directions_of(seed, size, tables * projections, width)
         cells = np.floor((unit_vectors([raw[i] for i in rows]) @ directions + shift) / width).astype(np.int64).view(np.uint64)
         keys = np.full((len(rows), tables), size, np.uint64)
         for k in range(projections):
