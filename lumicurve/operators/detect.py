@@ -81,16 +81,16 @@ def align_by_index(scores: DataFrame, scope: str, index: str = "i", score: str =
 
 def align_by_time(reference: DataFrame, other: DataFrame, key: Names, time: str, score: str, out: str = "aligned", span: float = 3600.0) -> DataFrame:
     """The other stream's score at the reference's times by linear
-    interpolation, 0 outside of it. Both streams merge in ordered stretches of
-    ``span``."""
+    interpolation, 0 outside of it and null where it depends on a null score.
+    Both streams merge in ordered stretches of ``span``."""
     keys = _list(key)
     mark = F.struct(F.col(time).alias("_t"), F.col(score).cast("double").alias("_v"))
-    marks = other.select(*keys, F.col(time).alias("_t"), mark.alias("_k"))
+    marks = other.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_t"), mark.alias("_k"))
     both = reference.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(marks.schema["_k"].dataType).alias("_k")).unionByName(marks)
     m = neighbours(both, keys, "_t", "_k", span).where("_k IS NULL")
     a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
     value = F.when(a["_t"] == t, a["_v"]).when(a.isNull() | b.isNull(), 0.0).otherwise(a["_v"] + (b["_v"] - a["_v"]) * (t - a["_t"]) / (b["_t"] - a["_t"]))
-    return m.select(*keys, t.alias(time), F.coalesce(value, F.lit(0.0)).alias(out))
+    return m.select(*keys, t.alias(time), value.alias(out))
 
 
 def joint_score(scores: DataFrame, key: Names, index: str = "i", score: str = "score") -> DataFrame:
