@@ -325,3 +325,22 @@ def test_distortion_is_taken_off_again(spark):
     back = astro.sky_to_pixel(F.col("ra"), F.col("dec"), wcs, sip)
     for r in on_sky.select("x", "y", back["x"].alias("bx"), back["y"].alias("by")).collect():
         assert (r.bx, r.by) == pytest.approx((r.x, r.y), abs=1e-3)
+
+
+def test_bessel_table_beyond_its_arguments_and_at_zero():
+    x = np.array([0.0, 1e-9, 1e-3, 0.7, 30.0, 250.0])
+    table = numeric.bessel_table(x, 320)
+    assert table[0] == pytest.approx(np.eye(1, 320)[0], abs=1e-15)
+    for n in (0, 1, 7, 60, 319):
+        assert table[:, n] == pytest.approx(numeric.bessel_j(n, x), abs=1e-12)
+
+
+def test_curve_does_not_take_long():
+    """Distances are looked up in a table; a curve with sorted distances and transforms took some 0.6 s."""
+    import time
+
+    kinds = (0.025, (4e-7, 7e-7), 1200.0, 800.0, 38.0, 0.15, 0.1)
+    numeric.occultation_curve(*kinds)
+    start = time.process_time()
+    numeric.occultation_curve(*kinds)
+    assert time.process_time() - start < 0.3
