@@ -108,6 +108,28 @@ def neighbours(rows: DataFrame, on: Sequence[str], time: str, mark: str, span: f
     return both.withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_behind")).drop("_part", "_before", "_behind")
 
 
+def first_within(left: DataFrame, right: DataFrame, left_id: str, left_time: str, right_id: str, right_time: str, tolerance: float, strict: bool = False, span: float | None = None) -> DataFrame:
+    """Each left row (one a ``left_id``) that has a right row within the tolerance
+    in time (under it if ``strict``), with ``right_id`` and ``right_time`` of the
+    earliest one, the least id on ties.
+
+    The earliest is the first one at or behind the time less the tolerance, so
+    both sides merge in ordered stretches of ``span`` (some tolerances, unless
+    given) and no pair is made: the cost is a sort, however many rows are near.
+    """
+    near = lambda t: F.abs(F.col(left_time) - t) < tolerance if strict else F.abs(F.col(left_time) - t) <= tolerance
+    named = right.where(F.col(right_time).isNotNull()).groupBy(F.col(right_time).alias("_t")).agg(F.min(right_id).alias("_id"))
+    marks = named.select("_t", F.struct("_t", "_id").alias("_k"))
+    kind = marks.schema["_k"].dataType
+    asks = left.where(F.col(left_time).isNotNull()).withColumn("_t", F.col(left_time) - tolerance).withColumn("_k", F.lit(None).cast(kind))
+    both = asks.unionByName(marks, allowMissingColumns=True)
+    m = neighbours(both, [], "_t", "_k", span or max(6 * tolerance, 3600.0)).where("_k IS NULL")
+    # A mark at the edge itself counts if it is near; the edge is rounded, the difference is what is asked.
+    edge = (F.col("_a._t") == F.col("_t")) & near(F.col("_a._t"))
+    found = m.withColumn("_m", F.when(edge, F.col("_a")).otherwise(F.col("_b"))).where(near(F.col("_m._t")))
+    return found.select(*left.columns, F.col("_m._id").alias(right_id), F.col("_m._t").alias(right_time))
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, left_id: str, left_time: str, right_time: str, payload: Sequence[str], on: Sequence[str] = (), span: float = 3600.0) -> DataFrame:
     """For each left row the right row nearest in time, the earlier one on ties;
     null where there is none. ``span``: the stretch of time dealt to a task."""

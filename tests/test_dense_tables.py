@@ -3,7 +3,10 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from lumicurve.operators import bandjoin
 from lumicurve.plans import catalog
 
 
@@ -33,3 +36,27 @@ def same_as_sql(spark, folder, name, tables):
 
 def test_align_interp_of_times_that_several_samples_have(spark, tmp_path):
     same_as_sql(spark, write_events(tmp_path), "align_interp", ["events"])
+
+
+@pytest.mark.parametrize("name", ["best_common_minute", "minute_pairs", "minute_of_event", "missing_scope", "coincidence_groups"])
+def test_joins_by_time_where_many_share_a_time(spark, tmp_path, name):
+    same_as_sql(spark, write_events(tmp_path), name, ["events"])
+
+
+def test_joins_by_time_make_no_pairs(spark, tmp_path):
+    """200 first rows and 200 second ones at one time: no step has more than a few rows each."""
+    at = lambda name, n: spark.range(n).select(F.col("id").alias(name), F.lit(5.0).alias(name + "t"))
+    found = bandjoin.first_within(at("a", 200), at("b", 200), "a", "at", "b", "bt", 1.0)
+    assert {(r.a, r.b, r.bt) for r in found.collect()} == {(k, 0, 5.0) for k in range(200)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" not in plan
+
+
+def test_first_within_at_the_edge_itself(spark):
+    left = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, None), (4, 0.3)], "a long, at double")
+    right = spark.createDataFrame([(7, 8.0), (8, 8.0), (9, 12.0), (5, 22.0), (6, None), (4, 0.1)], "b long, bt double")
+    got = lambda tolerance, strict: {(r.a, r.b) for r in bandjoin.first_within(left, right, "a", "at", "b", "bt", tolerance, strict).collect()}
+    assert got(2.0, False) == {(1, 7), (2, 5), (4, 4)}
+    assert got(2.0, True) == {(4, 4)}
+    # 0.3 - 0.1 is a little under 0.2 in doubles.
+    assert got(0.2, True) == {(4, 4)}
