@@ -130,15 +130,19 @@ def cumulative_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def minute_of(events: DataFrame, minutes: DataFrame, seconds: float = 60.0, event_time: str = "t", minute_time: str = "start") -> DataFrame:
-    """Each event with the minute that holds it: start <= t < start + ``seconds``.
-    Both sides are joined on whole stretches of time; the latest such minute counts."""
-    part = lambda c: F.floor(F.col(c) / seconds)
+    """Each event with the minute that holds it: start <= t < start + ``seconds``;
+    the latest such minute counts, and of minutes of one start the greatest.
+    That is the last start at or before the event, so both sides merge in
+    ordered stretches of time and no pair is made."""
+    from lumicurve.operators.bandjoin import neighbours
+
     names = [c for c in minutes.columns if c != minute_time]
-    wide = minutes.withColumn("_part", F.explode(F.array(part(minute_time), part(minute_time) + 1)))
-    near = events.withColumn("_part", part(event_time)).join(wide, "_part").where((F.col(minute_time) <= F.col(event_time)) & (F.col(event_time) < F.col(minute_time) + seconds))
-    keys = events.columns
-    best = near.groupBy(*keys).agg(F.max(F.struct(minute_time, *names)).alias("_m"))
-    return best.select(*keys, *[F.col("_m")[c].alias(c) for c in minutes.columns])
+    last = minutes.where(F.col(minute_time).isNotNull()).groupBy(F.col(minute_time).alias("_t")).agg(F.max(F.struct(*names)).alias("_m"))
+    marks = last.select("_t", F.struct("_t", "_m").alias("_k"))
+    asks = events.distinct().withColumn("_t", F.col(event_time)).where(F.col("_t").isNotNull())
+    both = asks.withColumn("_k", F.lit(None).cast(marks.schema["_k"].dataType)).unionByName(marks, allowMissingColumns=True)
+    found = neighbours(both, [], "_t", "_k", max(6 * seconds, 3600.0)).where("_k IS NULL").where(F.col("_t") < F.col("_a._t") + seconds)
+    return found.select(*events.columns, *[(F.col("_a._t") if c == minute_time else F.col("_a._m")[c]).alias(c) for c in minutes.columns])
 
 
 def by_key_in_name(rows: DataFrame, files: DataFrame, row_key: str = "minute_key", file_path: str = "path") -> DataFrame:
