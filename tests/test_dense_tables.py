@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumicurve.operators import bandjoin
+from lumicurve.operators import bandjoin, trials
 from lumicurve.plans import catalog
 
 
@@ -60,3 +60,19 @@ def test_first_within_at_the_edge_itself(spark):
     assert got(2.0, True) == {(4, 4)}
     # 0.3 - 0.1 is a little under 0.2 in doubles.
     assert got(0.2, True) == {(4, 4)}
+
+
+def test_trials_scored_by_host_as_by_trial(spark):
+    """Events in the middle, over both ends and none, of hosts with several packs of samples, and one host without samples."""
+    rng = np.random.default_rng(4)
+    rows = [(host, scope, i, float(v)) for host, n in (("a", 5000), ("b", 700)) for scope in ("T1", "T2") for i, v in enumerate(rng.normal(100, 3, n))]
+    flux = spark.createDataFrame(rows, "host string, scope string, i long, flux double")
+    plan = [(1, "inject", "a", 5000, 2500), (2, "inject", "a", 5000, 4999), (3, "null", "a", 5000, None), (4, "null", "a", 5000, None), (5, "inject", "b", 700, 3), (6, "inject", "c", 9, 4), (7, "inject", "b", 700, 350)]
+    plan = spark.createDataFrame(plan, "trial long, kind string, host string, n long, center long")
+    profiles = spark.createDataFrame([(t, rng.uniform(0.2, 1, 31 + t).tolist()) for t in (1, 2, 5, 6, 7)], "trial long, curve array<double>")
+    detectors = trials.detector_grid(trials.shapes())
+    order = ["trial", "detector", "scope"]
+    want = trials.score_trials(trials.trial_flux(plan, flux, profiles), detectors).toPandas().sort_values(order).reset_index(drop=True)
+    got = trials.score_hosts(plan, flux, profiles, detectors, 2).toPandas().sort_values(order).reset_index(drop=True)
+    assert len(want) == 6 * 25 * 3
+    pd.testing.assert_frame_equal(got, want, rtol=1e-12)
