@@ -8,11 +8,13 @@ predicate. No nested-loop join is ever planned.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumicurve.session import materialise
+
 
 def band_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tolerance: float, on: Sequence[str] = (), strict: bool = False, how: str = "inner") -> DataFrame:
     """Pairs with |left_key - right_key| <= tolerance (< if ``strict``), and equal
@@ -74,6 +76,23 @@ def sky_join(left: DataFrame, right: DataFrame, left_sky: tuple[str, str], right
     return joined.select("a.*", *[f"b.{c}" for c in right.columns], out).drop("_band", "_cell")
 
 
+def sky_least(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_sky: tuple[str, str], right_sky: tuple[str, str], reach: float, value: str, out: str = "sep") -> DataFrame:
+    """(left_id, right_id, value, sep): of the right rows closer than ``reach``
+    degrees the one of least value, then the nearest, then of least id."""
+    band = lambda c: F.floor(F.col(c) / reach).cast("long")
+    place = lambda c, cells: F.floor(F.pmod(F.col(c), F.lit(360.0)) / 360.0 * cells).cast("long")
+    one = F.lit(1).cast("long")
+    at = F.struct(F.col("_band"), F.col("_place"))
+    points = right.select(right_id, *right_sky, value).withColumn("_band", band(right_sky[1])).withColumn("_place", place(right_sky[0], _cells(F.col("_band"), reach)))
+    wide = left.select(left_id, *left_sky).withColumn("_band", F.explode(F.sequence(band(left_sky[1]) - one, band(left_sky[1]) + one))).withColumn("_n", _cells(F.col("_band"), reach))
+    here = place(left_sky[0], F.col("_n"))
+    wide = wide.withColumn("_place", F.explode(F.array_distinct(F.transform(F.sequence(-one, one), lambda k: F.pmod(here + k, F.col("_n"))))))
+    drop = lambda df: df.withColumn("_cell", at).drop("_band", "_place", "_n")
+    sep = lambda get: separation(F.col(left_sky[0]), F.col(left_sky[1]), get(right_sky[0]), get(right_sky[1]))
+    best = least_near(drop(wide), drop(points), left_id, value, lambda get: sep(get) < reach, lambda get: [sep(get).alias(out), get(right_id).alias(right_id)])
+    return best.select(left_id, *[F.col("_best")[c].alias(c) for c in (right_id, value, out)])
+
+
 def best_match(pairs: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The first pair of each key in the given ascending order (nulls first), by
     a minimum that is combined before the shuffle."""
@@ -82,6 +101,40 @@ def best_match(pairs: DataFrame, key: str, order: Sequence[Column]) -> DataFrame
     return best.select(*[F.col(c) if c == key else F.col("_best")[c].alias(c) for c in pairs.columns])
 
 
+#: Points of a cell, those of least value, that all who look at the cell are compared with.
+TOP = 64
+
+
+def least_near(asks: DataFrame, points: DataFrame, key: str, value: str, near: Callable[[Callable[[str], Column]], Column], order: Callable[[Callable[[str], Column]], list[Column]], top: int = TOP) -> DataFrame:
+    """(key, _best): of the points near a row the first by ``value`` (nulls
+    first) and ``order``, as a struct of these; rows without one are left out.
+
+    ``asks`` has a row for each cell (``_cell``) that a key looks at, ``points``
+    one for each point, in its own cell; ``near`` and ``order`` take what gives a
+    point's column. A key meets the ``top`` least points of each cell. Only cells
+    in which more may be as good as the best one found are then looked at
+    further, so that a dense field costs a bounded number of comparisons a key;
+    only where the least points of a cell are all beyond reach of the many that
+    look at it, its pairs are made.
+    """
+    ranked = points.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(value)))
+    names = [value, *[c for c in points.columns if c not in ("_cell", value)]]
+    least = ranked.where(F.col("_rank") <= top).groupBy("_cell").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_top"))
+    tops = least.join(points.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")), "_cell")
+    sized = lambda get: F.struct(get(value).alias(value), *order(get))
+    hits = F.transform(F.filter("_top", lambda p: near(lambda c: p[c])), lambda p: sized(lambda c: p[c]))
+    met = asks.join(tops, "_cell").withColumn("_hit", F.array_min(hits)).withColumn("_last", F.element_at("_top", -1)[value])
+    more = (F.col("_n") > top) & (F.col("_hit").isNull() | (F.struct(F.col(f"_hit.{value}").alias("v")) >= F.struct(F.col("_last").alias("v"))))
+    own = [c for c in asks.columns if c not in (key, "_cell")]
+    found = met.groupBy(key, *own).agg(F.min("_hit").alias("_best"), F.collect_list(F.when(more, F.struct("_last", "_cell"))).alias("_open"))
+    maybe = lambda v: F.col("_best").isNull() | (F.struct(v.alias("v")) <= F.struct(F.col(f"_best.{value}").alias("v")))
+    found = materialise(found.withColumn("_open", F.filter("_open", lambda o: maybe(o["_last"]))), "least")
+    left = found.where(F.size("_open") > 0).select(key, *own, "_best", F.explode("_open._cell").alias("_cell"))
+    rest = left.join(ranked.where(F.col("_rank") > top), "_cell").where(maybe(F.col(value)) & near(F.col)).select(key, sized(F.col).alias("_best"))
+    both = found.where("_best IS NOT NULL").select(key, "_best").unionByName(rest)
+    return both.groupBy(key).agg(F.min("_best").alias("_best"))
+
+
 def neighbours(rows: DataFrame, on: Sequence[str], time: str, mark: str, span: float = 3600.0) -> DataFrame:
     """Add ``_a``, the ``mark`` of the last marked row at or before each row's
     time, and ``_b``, that of the first one behind it.

@@ -94,12 +94,16 @@ def faintest_in_box(stars: DataFrame, sources: DataFrame, reach: float = 0.1, st
     """(star, source, snr): of the sources whose x and y differ by less than
     ``reach`` from a star's, that of least signal-to-noise; null without one.
     ``stars``: star, x, y; ``sources``: source, sx, sy, snr."""
-    from lumicurve.operators.bandjoin import plane_join
-
-    near = plane_join(stars.select(star, "x", "y"), sources.select(source, "sx", "sy", snr), ("x", "y"), ("sx", "sy"), reach)
-    near = near.where((F.abs(F.col("x") - F.col("sx")) < reach) & (F.abs(F.col("y") - F.col("sy")) < reach))
-    best = near.groupBy(star).agg(F.min(F.struct(snr, source)).alias("_m"))
-    return stars.select(star).join(best, star, "left").select(star, F.col(f"_m.{source}").alias(source), F.col(f"_m.{snr}").alias(snr))
+    from lumicurve.operators.bandjoin import least_near
+
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    near_cells = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
+    asks = stars.select(star, "x", "y", near_cells("x").alias("_cx")).withColumn("_cy", near_cells("y"))
+    asks = asks.select(star, "x", "y", F.struct("_cx", "_cy").alias("_cell"))
+    points = sources.select(source, "sx", "sy", snr, F.struct(cell("sx").alias("_cx"), cell("sy").alias("_cy")).alias("_cell"))
+    near = lambda get: (F.abs(F.col("x") - get("sx")) < reach) & (F.abs(F.col("y") - get("sy")) < reach)
+    best = least_near(asks, points, star, snr, near, lambda get: [get(source).alias(source)])
+    return stars.select(star).join(best, star, "left").select(star, F.col("_best")[source].alias(source), F.col("_best")[snr].alias(snr))
 
 
 def attached(rows: DataFrame, meta: DataFrame, on: str) -> DataFrame:

@@ -76,3 +76,19 @@ def test_trials_scored_by_host_as_by_trial(spark):
     got = trials.score_hosts(plan, flux, profiles, detectors, 2).toPandas().sort_values(order).reset_index(drop=True)
     assert len(want) == 6 * 25 * 3
     pd.testing.assert_frame_equal(got, want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("top", [1, 4, 64])
+def test_least_near_looks_beyond_the_least_of_a_cell(spark, top):
+    """The least points of a cell lie where few see them, and one has no value."""
+    rng = np.random.default_rng(6)
+    at, place = rng.uniform(0, 2, 40), rng.uniform(0, 2, 150)
+    value = np.where(place % 1 < 0.2, -1.0, 1.0) + np.round(rng.uniform(0, 0.3, 150), 1)
+    cell = F.floor("x").cast("long")
+    asks = spark.createDataFrame([(k, float(x)) for k, x in enumerate(at)], "a long, x double").withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    points = spark.createDataFrame([(k, float(x), None if k == 3 else float(v)) for k, (x, v) in enumerate(zip(place, value))], "p long, s double, v double")
+    points = points.withColumn("_cell", F.floor("s").cast("long"))
+    got = bandjoin.least_near(asks, points, "a", "v", lambda get: F.abs(F.col("x") - get("s")) < 0.3, lambda get: [get("p").alias("p")], top)
+    rank = lambda k: (k != 3, 0 if k == 3 else float(value[k]), k)
+    want = {a: min((k for k in range(150) if abs(at[a] - place[k]) < 0.3), key=rank) for a in range(40)}
+    assert {r.a: r["_best"].p for r in got.collect()} == want
