@@ -104,11 +104,14 @@ SEP = "degrees(2 * asin(sqrt(least(1.0, power(sin(radians(b.dec - a.dec) / 2), 2
 SKY = f"WITH {STARS}, a AS (SELECT * FROM s WHERE star % 2 = 0), b AS (SELECT * FROM s WHERE star % 2 = 1), j AS (SELECT a.star AS star, b.star AS source, b.gmag AS gmag, {SEP} AS sep FROM a JOIN b ON {SEP} < 2.0)"
 
 
-def _sky_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sky_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = stars(spark, sf_dir)
     a = s.where("star % 2 = 0").select("star", F.col("ra").alias("ra1"), F.col("dec").alias("dec1"))
-    b = s.where("star % 2 = 1").select(F.col("star").alias("source"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), "gmag")
-    return bandjoin.sky_join(a, b, ("ra1", "dec1"), ("ra2", "dec2"), 2.0)
+    return a, s.where("star % 2 = 1").select(F.col("star").alias("source"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), "gmag")
+
+
+def _sky_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bandjoin.sky_join(*_sky_sides(spark, sf_dir), ("ra1", "dec1"), ("ra2", "dec2"), 2.0)
 
 
 @query("cone_pairs", SKY + " SELECT star, source, round(sep, 6) AS sep FROM j")
@@ -124,7 +127,8 @@ def nearest_sky(spark, sf_dir):
 
 @query("cone_brightest", SKY + " SELECT star, arg_min(source, (gmag, sep, source)) AS source, round(min(gmag), 6) AS gmag FROM j GROUP BY star")
 def cone_brightest(spark, sf_dir):
-    best = bandjoin.best_match(_sky_pairs(spark, sf_dir).where("gmag IS NOT NULL"), "star", [F.col("gmag"), F.col("sep"), F.col("source")])
+    a, b = _sky_sides(spark, sf_dir)
+    best = bandjoin.sky_least(a, b.where("gmag IS NOT NULL"), "star", "source", ("ra1", "dec1"), ("ra2", "dec2"), 2.0, "gmag")
     return best.select("star", "source", r6("gmag").alias("gmag"))
 
 
