@@ -104,56 +104,105 @@ def and_policy(peaks: DataFrame, key: Names, threshold: float, spread: int = 8)
     return agg.withColumn("detected", F.col("_all") & (F.col("least") >= threshold) & (F.col("spread") <= spread)).drop("_all")
 
 
-#: Samples whose sums bound a template's distance from below, and bytes of templates that are sent to every task.
-BOUND_SAMPLES, BANK_BYTES = 4, 64 << 20
+#: Bytes of templates that are sent to every task; templates and windows whose distances are bounded at once.
+BANK_BYTES, AT_ONCE, WINDOWS = 64 << 20, 4096, 24
 
 
 class TemplateBank:
-    """Templates of equal lengths as matrices, with sums over blocks of samples."""
+    """Templates of equal lengths as matrices, and in whole steps of their range, a row for each sample."""
 
     def __init__(self, ids: list, curves: list[np.ndarray]):
-        self.sizes: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        self.sizes: dict[int, tuple[list, np.ndarray, np.ndarray, float, float]] = {}
         for n in sorted({len(c) for c in curves} - {0}):
             own = sorted((i, k) for k, (i, c) in enumerate(zip(ids, curves, strict=True)) if len(c) == n)
             matrix = np.array([curves[k] for _, k in own], float)
-            self.sizes[n] = ([i for i, _ in own], matrix, np.add.reduceat(matrix, np.arange(0, n, BOUND_SAMPLES), axis=1))
+            known = matrix[np.isfinite(matrix)]
+            low, high = (float(known.min()), float(known.max())) if len(known) else (0.0, 0.0)
+            # Sums of n differences must fit the type.
+            kind = np.int16 if n <= 1024 else np.int32
+            step = (high - low) / min(2047, np.iinfo(kind).max // n) or 1.0
+            self.sizes[n] = ([i for i, _ in own], matrix, np.ascontiguousarray(self.steps(matrix, low, high, step).astype(kind).T), low, step)
 
-    def best(self, flux: np.ndarray, center: int, median: float, first: int, last: int, gain: float) -> tuple[tuple | None, int]:
-        """((chi, id, offset), samples compared): the nearest template, the lower
-        id and offset on ties.
+    @staticmethod
+    def steps(x: np.ndarray, low: float, high: float, step: float) -> np.ndarray:
+        return np.rint((np.clip(np.nan_to_num(x), low, high) - low) / step)
 
-        Over a block the sum of absolute differences is at least the difference
-        of the sums, so dividing that by the block's largest error bounds the
-        distance from below. Templates whose bound is over the best distance
-        found so far are never laid on the event.
+    def best(self, flux: np.ndarray, center: int, median: float, first: int, last: int, gain: float) -> tuple[tuple | None, int]:
+        """((chi, id, offset), samples compared): the nearest template of one event."""
+        return self.best_of([(flux, center, median)], first, last, gain)[0]
+
+    def best_of(self, events: list[tuple[np.ndarray, int, float]], first: int, last: int, gain: float) -> list[tuple[tuple | None, int]]:
+        """For each event (flux, center, median) ((chi, id, offset), samples
+        compared): the nearest template, the lower id and offset on ties (to
+        nine decimals); distances that are no numbers are the farthest.
+
+        Templates and windows are rounded to whole steps of the templates' range
+        and their differences summed as small integers. The sum, less a step for
+        each sample, over the window's largest error bounds the distance from
+        below. Templates whose bound is over the best distance found so far are
+        never laid on the event.
         """
-        noise = np.sqrt(np.abs(flux) / median / gain) * gain
-        noise[noise == 0] = 0.01
-        found, compared, places = None, 0, []
-        for size, (ids, curves, sums) in self.sizes.items():
-            blocks = np.arange(0, size, BOUND_SAMPLES)
-            for offset in range(first, last + 1):
-                start = center + offset - size // 2
-                if start < 0 or start + size > len(flux):
-                    continue
-                window, error = flux[start : start + size], noise[start : start + size]
-                bound = (np.abs(np.add.reduceat(window, blocks) - sums) / np.maximum.reduceat(error, blocks)).sum(axis=1)
-                places.append((bound * (1 - 1e-9), ids, curves, window, error, offset))
-        # Places with the most promising template first.
-        for bound, ids, curves, window, error, offset in sorted(places, key=lambda p: float(p[0].min())):
-            first_k = int(bound.argmin())
-            for some in (np.array([first_k]), None):
-                if some is None:
-                    some = np.flatnonzero(bound <= (found[0] if found else np.inf))
-                    some = some[some != first_k]
-                if not len(some) or found and bound[some].min() > found[0]:
-                    continue
-                chi = (np.abs(window - curves[some]) / error).sum(axis=1)
-                compared += len(some) * len(window)
-                k = int(chi.argmin())
-                one = (float(chi[k]), ids[int(some[k])], offset)
-                found = one if found is None else min(found, one)
-        return found, compared
+        found: list[tuple | None] = [None] * len(events)
+        compared = np.zeros(len(events), np.int64)
+        least = np.full(len(events), np.inf)
+        noises = []
+        for flux, _, median in events:
+            noise = np.sqrt(np.abs(flux) / median / gain) * gain
+            noise[noise == 0] = 0.01
+            noises.append(noise)
+        for size, bank in self.sizes.items():
+            places = [(e, o, c + o - size // 2) for e, (f, c, _) in enumerate(events) for o in range(first, last + 1) if 0 <= c + o - size // 2 <= len(f) - size]
+            for k in range(0, len(places), WINDOWS):
+                some = places[k : k + WINDOWS]
+                windows = np.array([events[e][0][at : at + size] for e, _, at in some], float)
+                errors = np.array([noises[e][at : at + size] for e, _, at in some])
+                self._lay(bank, windows, errors, np.array([e for e, _, _ in some]), np.array([o for _, o, _ in some]), least, found, compared)
+        return [(f and f[1:], int(n)) for f, n in zip(found, compared, strict=True)]
+
+    def _lay(self, bank: tuple, windows: np.ndarray, errors: np.ndarray, event: np.ndarray, offset: np.ndarray, least: np.ndarray, found: list[tuple | None], compared: np.ndarray) -> None:
+        """Hold some windows against all templates of their length."""
+        ids, matrix, codes, low, step = bank
+        size, count = codes.shape
+        high = low + step * int(codes.max(initial=0))
+        own = self.steps(windows, low, high, step).astype(codes.dtype)
+        # A window that is no number everywhere is compared with all.
+        unit = np.where(np.isfinite(windows).all(axis=1) & (errors > 0).all(axis=1) & np.isfinite(errors).all(axis=1), step / errors.max(axis=1), 0.0) * (1 - 1e-9)
+
+        def take(rows: np.ndarray, at: np.ndarray) -> None:
+            for k in range(0, len(rows), 1 << 16):
+                r, t = rows[k : k + (1 << 16)], at[k : k + (1 << 16)]
+                with np.errstate(invalid="ignore"):
+                    chi = (np.abs(windows[r] - matrix[t]) / errors[r]).sum(axis=1)
+                e = event[r]
+                np.add.at(compared, e, size)
+                ties = np.where(np.isnan(chi), np.inf, np.round(chi, 9))
+                order = np.lexsort((offset[r], t, np.isnan(chi), ties, e))
+                for w in order[np.unique(e[order], return_index=True)[1]].tolist():
+                    # Rounded distance, whether it is no number; what is found.
+                    one = ((float(ties[w]), bool(np.isnan(chi[w])), ids[int(t[w])], int(offset[r[w]])), float(chi[w]), ids[int(t[w])], int(offset[r[w]]))
+                    was = found[e[w]]
+                    if was is None or one[0] < was[0]:
+                        found[e[w]] = one
+                    least[e[w]] = found[e[w]][0][0]
+
+        sums = np.empty((len(windows), min(AT_ONCE, count)), codes.dtype)
+        gaps = np.empty_like(sums)
+        for start in range(0, count, AT_ONCE):
+            part = codes[:, start : start + AT_ONCE]
+            total, gap = sums[:, : part.shape[1]], gaps[:, : part.shape[1]]
+            total[:] = 0
+            for j in range(size):
+                np.subtract(part[j], own[:, j, None], out=gap)
+                np.abs(gap, out=gap)
+                np.add(total, gap, out=total)
+            if start == 0:
+                # The most promising template of each window first.
+                take(np.arange(len(windows)), total.argmin(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                most = np.where((unit > 0) & np.isfinite(least[event]), np.floor((least[event] + 1e-8) / unit) + size, np.inf)
+            at = np.flatnonzero(total <= np.minimum(most, np.iinfo(codes.dtype).max).astype(codes.dtype)[:, None])
+            if len(at):
+                take(*np.divmod(at, part.shape[1])) if start == 0 else take(at // part.shape[1], at % part.shape[1] + start)
 
 
 def kernel_match(events: DataFrame, kernels: DataFrame, first: int = -3, last: int = 2, gain: float = 0.82, bank_bytes: int = BANK_BYTES) -> DataFrame:
@@ -163,8 +212,8 @@ def kernel_match(events: DataFrame, kernels: DataFrame, first: int = -3, last: i
     ``kernels``: kernel_id, curve. A template is laid on the flux from
     center + offset less half its length; its distance is the sum of absolute
     differences over Poisson-like errors; ``compared`` counts the samples that
-    were compared for it, once bounds had ruled most templates out. Ties go to
-    the lower kernel and offset. A bank of at most ``bank_bytes`` is broadcast;
+    were compared for it, once bounds had ruled most templates out. Ties (to
+    nine decimals) go to the lower kernel and offset. A bank of at most ``bank_bytes`` is broadcast;
     a larger one is cut into blocks of that size, and events and blocks meet in
     a grid of tasks, each with some events and one block, of which the least
     distances are taken. Events that no template fits into, and null arrays or
@@ -180,11 +229,12 @@ def kernel_match(events: DataFrame, kernels: DataFrame, first: int = -3, last: i
     names = ["event_id", "kernel_id", "offset", "chi", "compared"]
 
     def matched(pdf: pd.DataFrame, held: TemplateBank) -> pd.DataFrame:
+        laid = [(np.asarray(f, float), int(c), m) for f, c, m in zip(pdf["flux"], pdf["center"], pdf["median"], strict=True)]
         rows = []
-        for event in pdf.itertuples():
-            found, compared = held.best(np.asarray(event.flux, float), int(event.center), event.median, first, last, gain)
-            if found:
-                rows.append((event.event_id, found[1], found[2], found[0], compared))
+        for k in range(0, len(laid), WINDOWS):
+            for event, (found, compared) in zip(pdf["event_id"].iloc[k : k + WINDOWS], held.best_of(laid[k : k + WINDOWS], first, last, gain), strict=True):
+                if found:
+                    rows.append((event, found[1], found[2], found[0], compared))
         return pd.DataFrame(rows, columns=names)
 
     if size <= bank_bytes:
@@ -198,12 +248,14 @@ def kernel_match(events: DataFrame, kernels: DataFrame, first: int = -3, last: i
 
         return asked.mapInPandas(run, schema)
 
-    blocks, parts = -(-size // bank_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The bank is sent once for each part of the events: as few as give every core work and fit into memory.
+    blocks, asking = -(-size // bank_bytes), (asked.agg(F.sum(F.size("flux"))).collect()[0][0] or 0) * 8
+    parts = max(1, -(-3 * spark.sparkContext.defaultParallelism // blocks), -(-asking // (64 << 20)))
     left = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("event_id"), F.lit(parts)).alias("part"))
     right = bank.select("*", F.pmod(F.xxhash64("kernel_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
     met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
     found = met.applyInPandas(lambda e, k: matched(e, TemplateBank(k["kernel_id"].tolist(), [np.asarray(c, float) for c in k["curve"]])), schema)
-    best = found.groupBy("event_id").agg(F.min(F.struct("chi", "kernel_id", "offset")).alias("m"), F.sum("compared").alias("compared"))
+    best = found.groupBy("event_id").agg(F.min(F.struct(F.round("chi", 9).alias("ties"), "kernel_id", "offset", "chi")).alias("m"), F.sum("compared").alias("compared"))
     return best.select("event_id", F.col("m.kernel_id").alias("kernel_id"), F.col("m.offset").alias("offset"), F.col("m.chi").alias("chi"), "compared")
 
 

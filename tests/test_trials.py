@@ -240,6 +240,27 @@ def test_bounds_rule_most_kernels_out():
     assert total < every / 5
 
 
+def test_bounds_hold_where_no_kernel_is_like_another():
+    """Noise in every sample, which sums over blocks do not tell apart: under a hundredth is compared."""
+    rng = np.random.default_rng(8)
+    curves, events = list(1 + rng.normal(0, 0.125, (6000, 15))), 1 + rng.normal(0, 0.125, (10, 64))
+    bank, total = detect.TemplateBank(list(range(6000)), curves), 0
+    for flux, (found, compared) in zip(events, bank.best_of([(f, 32, 1.0) for f in events], -3, 2, 0.82), strict=True):
+        noise = np.sqrt(flux / 0.82) * 0.82
+        want = min((float((np.abs(flux[s : s + 15] - c) / noise[s : s + 15]).sum()), i, s - 25) for s in range(22, 28) for i, c in enumerate(curves))
+        assert found == (pytest.approx(want[0]), *want[1:])
+        total += compared
+    assert total < 10 * 6 * 6000 * 15 / 100
+
+
+def test_kernels_alike_to_nine_decimals_are_tied():
+    flux = np.full(40, 1.0)
+    curves = [np.full(9, 1.1), np.full(9, 1.1 - 1e-12), np.full(9, np.nan), np.full(9, np.inf)]
+    for order in ([7, 9, 1, 2], [9, 7, 1, 2]):
+        assert detect.TemplateBank(order, curves).best(flux, 20, 1.0, -3, 2, 0.82)[0][1:] == (7, -3)
+    assert detect.TemplateBank([5, 4], curves[2:]).best(flux, 20, 1.0, -3, 2, 0.82)[0][1:] == (4, -3)
+
+
 def flux_table(spark, curves):
     return spark.createDataFrame([(k, t, None if math.isnan(v) else float(v)) for k, c in curves.items() for t, v in enumerate(c)], "star long, t long, flux double")
 
