@@ -12,11 +12,13 @@ in sparse places alike, and all joins are equi-joins on cells.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumicurve.operators.bandjoin import best_match, separation
 from lumicurve.session import materialise
 
 #: How many times k points the densest cell of the finest grid may hold, most grids, and grids looked at in one pass.
@@ -139,6 +141,15 @@ def k_nearest(targets: DataFrame, points: DataFrame, k: int, xs: Sequence[str] =
     return settled.unionByName(more).select(F.col("_t").alias(target), F.col("_p").alias(point), "d", F.col("rank").cast("long").alias("rank"))
 
 
+def nearest_point(targets: DataFrame, points: DataFrame, limit: float, xs: Sequence[str] = ("x", "y"), target: str = "target", point: str = "point") -> DataFrame:
+    """(target, point, d): the nearest point of each target that has one within
+    ``limit``, ties by the lower point. Points in one place are looked at once,
+    so neither a dense field nor copies make many pairs."""
+    finite = lambda df: df.where(" AND ".join(f"abs(`{x}`) < double('infinity')" for x in xs))
+    places = finite(points).where(F.col(point).isNotNull()).groupBy(*xs).agg(F.min(point).alias(point))
+    return k_nearest(finite(targets), places, 1, xs, target, point).where(F.col("d") <= limit).select(target, point, "d")
+
+
 def unit_vector(ra: str, dec: str) -> list[Column]:
     """u, v, w of a place on the sky: nearest along the chord is nearest on the sky."""
     a, d = F.radians(ra), F.radians(dec)
@@ -158,3 +169,17 @@ def nearest_star(targets: DataFrame, stars: DataFrame, target: str = "target", s
     rest = targets.join(on_sky.select(target), target, "left_anti")
     in_plane = k_nearest(rest, stars, 1, ("x", "y"), target, star)
     return on_sky.union(in_plane.select(target, star, F.lit("pixels").alias("by"), "d"))
+
+
+def nearest_on_sky(targets: DataFrame, sources: DataFrame, limit: float, target: str = "target", source: str = "source") -> DataFrame:
+    """(target, source, sep): of the sources nearer than ``limit`` degrees the
+    nearest of each target (id, ra, dec), ties by the lower source. Sources in
+    one place are looked at once; the two with the least chords are held against
+    each other by their separations."""
+    placed = lambda df: df.where("abs(ra) < double('infinity') AND abs(dec) < double('infinity')")
+    places = placed(sources).groupBy("ra", "dec").agg(F.min(source).alias(source))
+    near = k_nearest(placed(targets).select(target, *unit_vector("ra", "dec")), places.select(source, *unit_vector("ra", "dec")), 2, ("u", "v", "w"), target, source)
+    near = near.where(F.col("d") < 2 * math.sin(math.radians(min(limit, 180.0)) / 2) * (1 + 1e-6) + 1e-9).select(target, source)
+    a, b = targets.select(target, F.col("ra").alias("ra1"), F.col("dec").alias("dec1")), places.select(source, F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
+    both = near.join(a, target).join(b, source).withColumn("sep", separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))).where(F.col("sep") < limit)
+    return best_match(both.select(target, source, "sep"), target, [F.col("sep"), F.col(source)])

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumicurve.operators import bandjoin, trials
+from lumicurve.operators import bandjoin, match, trials
 from lumicurve.plans import catalog
 
 
@@ -92,3 +92,22 @@ def test_least_near_looks_beyond_the_least_of_a_cell(spark, top):
     rank = lambda k: (k != 3, 0 if k == 3 else float(value[k]), k)
     want = {a: min((k for k in range(150) if abs(at[a] - place[k]) < 0.3), key=rank) for a in range(40)}
     assert {r.a: r["_best"].p for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["pixel_match_all_scopes", "clean_scope_matches", "nearest_sky"])
+def test_matches_in_a_dense_field_make_no_pairs(spark, tmp_path, monkeypatch, name):
+    """600 stars nearer to each other than the tolerance, many in the same places, one without a place."""
+    v = np.random.default_rng(2).normal(0, 0.125, (600, 64)).astype("float32")
+    v[:, :2] *= 0.02
+    v[300:450, :2], v[450:500, :2] = v[:150, :2], v[0, :2]
+    v[590:, :2] += 3
+    table = pd.DataFrame({"vec_id": np.arange(600), "embedding": v.tolist(), "label": 0})
+    table.at[7, "embedding"] = [None, *table.at[7, "embedding"][1:]]
+    table.to_parquet(tmp_path / "embeddings.parquet")
+
+    def pairs(*args, **kwargs):
+        raise AssertionError("all pairs within reach are made")
+
+    monkeypatch.setattr(match, "plane_join", pairs)
+    monkeypatch.setattr(bandjoin, "sky_join", pairs)
+    same_as_sql(spark, str(tmp_path), name, ["embeddings"])
