@@ -121,8 +121,10 @@ def cone_pairs(spark, sf_dir):
 
 @query("nearest_sky", SKY + " SELECT a.star, coalesce(arg_min(source, (sep, source)), -1) AS source, round(min(sep), 6) AS sep FROM a LEFT JOIN j USING (star) GROUP BY a.star")
 def nearest_sky(spark, sf_dir):
-    best = bandjoin.best_match(_sky_pairs(spark, sf_dir), "star", [F.col("sep"), F.col("source")]).select("star", "source", r6("sep").alias("sep"))
-    return stars(spark, sf_dir).where("star % 2 = 0").select("star").join(best, "star", "left").select("star", F.coalesce("source", F.lit(-1).cast("long")).alias("source"), "sep")
+    s = stars(spark, sf_dir)
+    a, b = s.where("star % 2 = 0"), s.where("star % 2 = 1").withColumnRenamed("star", "source")
+    best = nearest.nearest_on_sky(a, b, 2.0, "star").select("star", "source", r6("sep").alias("sep"))
+    return a.select("star").join(best, "star", "left").select("star", F.coalesce("source", F.lit(-1).cast("long")).alias("source"), "sep")
 
 
 @query("cone_brightest", SKY + " SELECT star, arg_min(source, (gmag, sep, source)) AS source, round(min(gmag), 6) AS gmag FROM j GROUP BY star")
