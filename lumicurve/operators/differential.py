@@ -76,22 +76,24 @@ def postselected_curve(own: np.ndarray, refs: np.ndarray, components: int = 2, f
     return np.where((n >= fewest) & (level > 0), clean_own / np.where(level > 0, level, 1.0), np.nan)
 
 
-def pca_postselect(flux: DataFrame, target: str = "target", star: str = "star", time: str = "t", value: str = "flux", components: int = 2, fewest: int = 3, least: float = 0.0) -> DataFrame:
+def pca_postselect(flux: DataFrame, target: str = "target", star: str = "star", time: str = "t", value: str = "flux", components: int = 2, fewest: int = 3, least: float = 0.0, selection: DataFrame | None = None) -> DataFrame:
     """(target, t, rel) of each target among its references' curves; rows with
     star = target are its own. Targets with under ``fewest`` references have no
-    rows, a missing or unusable sample a null."""
-    kinds = {f.name: f.dataType.simpleString() for f in flux.schema.fields}
+    rows, a missing or unusable sample a null. With a ``selection`` (target,
+    ref) ``flux`` has each star's curve once, which is what is sent."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stars, times, matrix = flux_matrix(pdf, star, time, value)
-        me = pdf[target].iloc[0]
-        others = [k for k, s in enumerate(stars) if s != me]
-        if me not in stars or len(others) < fewest:
-            return pd.DataFrame({target: [], time: [], "rel": []})
-        norm = normalised(matrix, least)
-        return pd.DataFrame({target: me, time: times, "rel": postselected_curve(norm[stars.index(me)], norm[others], components, fewest)})
+    def one(me: object, stars: list, refs: list[bool], matrix: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        known = (~np.isnan(matrix)).any(axis=1)
+        others = [k for k, s in enumerate(stars) if s != me and known[k]]
+        if me not in stars or not known[stars.index(me)] or len(others) < fewest:
+            return None
+        used = ~np.isnan(matrix).all(axis=0)
+        norm = normalised(matrix[:, used], least)
+        rel = np.full(len(used), np.nan)
+        rel[used] = postselected_curve(norm[stars.index(me)], norm[others], components, fewest)
+        return rel, used
 
-    return flux.groupBy(target).applyInPandas(run, f"`{target}` {kinds[target]}, `{time}` {kinds[time]}, rel double").withColumn("rel", F.nanvl("rel", F.lit(None).cast("double")))
+    return numeric.per_target(flux, one, target, star, time, value, selection)
 
 
 def common_modes_removed(flux: DataFrame, group: str, star: str = "star", time: str = "t", value: str = "flux", components: int = 2, sigma: float = 5.0, rounds: int = 2) -> DataFrame:
@@ -119,9 +121,51 @@ def idl_relative_flux(flux: DataFrame, candidates: DataFrame, fraction: float =
     """(target, t, rel, rel_norm): the most similar of each target's candidate
     references (target, ref), then the curve less their common modes, and that
     over its median."""
-    chosen = robust.similar_references(flux, candidates, fraction, fewest, star, time, value)
-    rel = pca_postselect(members(flux, chosen, star=star), star=star, time=time, value=value, components=components, fewest=fewest)
-    return robust.normalise_by_median(rel, "target", "rel", fewest, "rel_norm")
+
+    def one(me: object, stars: list, refs: list[bool], matrix: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        known = (~np.isnan(matrix)).any(axis=1)
+        if me not in stars:
+            return None
+        mine, asked = stars.index(me), [k for k, r in enumerate(refs) if r]
+        chosen = most_similar(matrix, present, mine, asked, fraction, fewest)
+        others = [k for k in chosen if k != mine and known[k]]
+        if not known[mine] or len(others) < fewest:
+            return None
+        used = (~np.isnan(matrix[[mine, *others]])).any(axis=0)
+        norm = normalised(matrix[:, used])
+        rel = np.full(len(used), np.nan)
+        rel[used] = postselected_curve(norm[mine], norm[sorted(others)], components, fewest)
+        positive = rel[rel > 0]
+        middle = np.median(positive) if len(positive) >= fewest else np.nan
+        return np.stack([rel, rel / middle]), used
+
+    return numeric.per_target(flux, one, "target", star, time, value, candidates, ("rel", "rel_norm"))
+
+
+def most_similar(matrix: np.ndarray, present: np.ndarray, mine: int, asked: list[int], fraction: float, fewest: int) -> list[int]:
+    """The rows that ``robust.similar_references`` keeps of the references of
+    one target: curves in the order of their ids, and where they have samples."""
+    with np.errstate(invalid="ignore"):
+        positive = np.where(matrix > 0, matrix, np.nan)
+    some = np.isfinite(positive).any(axis=1)
+    middle = np.full(len(matrix), np.nan)
+    middle[some] = np.nanmedian(positive[some], axis=1)
+    f = matrix / middle[:, None]
+
+    def keep(rows: list[int], like: np.ndarray, there: np.ndarray) -> list[int]:
+        both = [k for k in rows if (present[k] & there).any()]
+        square = (f[both] - like) ** 2
+        n = np.isfinite(square).sum(axis=1)
+        sse = np.where(n > 0, np.nansum(square, axis=1) / np.maximum(n, 1), -np.inf)  # nulls come first
+        limit = max(fewest, min(round(fraction * len(both)), len(both)))
+        return [both[k] for k in np.lexsort((both, sse))[:limit]]
+
+    first = keep(asked, f[mine], present[mine])
+    if not first:
+        return []
+    n = np.isfinite(f[first]).sum(axis=0)
+    mean = np.where(n > 0, np.nansum(f[first], axis=0) / np.maximum(n, 1), np.nan)
+    return keep(first, mean, present[first].any(axis=0))
 
 
 def differential_curve(flux: DataFrame, selection: DataFrame, method: str = "ensemble", denominator: str = "mean", components: int = 3, fewest: int = 3, bin_width: float | None = None, star: str = "star", time: str = "t", value: str = "flux") -> DataFrame:
@@ -139,7 +183,7 @@ def differential_curve(flux: DataFrame, selection: DataFrame, method: str = "ens
     if method == "ensemble":
         rel = robust.ensemble(flux, refs, denominator, star, time, value)
     else:
-        rel = numeric.pca_differential(members(flux, refs, star=star), star=star, time=time, value=value, components=components)
+        rel = numeric.pca_differential(flux, star=star, time=time, value=value, components=components, selection=refs)
     axis = flux.select(F.col(star).alias("target"), time).join(selection.select("target").distinct(), "target", "left_semi")
     rel = axis.join(rel, ["target", time], "left")
     if bin_width is None:

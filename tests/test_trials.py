@@ -265,6 +265,20 @@ def flux_table(spark, curves):
     return spark.createDataFrame([(k, t, None if math.isnan(v) else float(v)) for k, c in curves.items() for t, v in enumerate(c)], "star long, t long, flux double")
 
 
+def test_whole_curves_joined_give_what_joined_samples_give(spark):
+    """Gaps, a star without values, one with its own times, a reference named twice, a target that is its own reference."""
+    rng = np.random.default_rng(12)
+    curves = {k: (100 + 10 * k) * (1 + 0.05 * rng.normal(size=30)) for k in range(8)}
+    curves[3][5] = curves[4][9] = curves[0][2] = math.nan
+    curves[6][:] = math.nan
+    flux = flux_table(spark, curves).union(spark.createDataFrame([(9, 100 + t, 5.0 + t) for t in range(10)], "star long, t long, flux double"))
+    sel = spark.createDataFrame([(0, r) for r in (0, 1, 2, 2, 3, 4, 6, 9)] + [(5, 0), (5, 1), (5, 7)] + [(7, 6)], "target long, ref long")
+    for fn in (differential.pca_postselect, numeric.pca_differential):
+        got, want = ({(r.target, r.t): r.rel for r in df.collect()} for df in (fn(flux, selection=sel), fn(differential.members(flux, sel))))
+        assert got == want and {t for t, _ in got} == {0, 5}
+        assert any(v is None for v in got.values())
+
+
 def test_postselected_curves_equal_the_steps(spark):
     rng = np.random.default_rng(10)
     trend = 1 + 0.2 * np.sin(np.linspace(0, 9, 40))
