@@ -45,41 +45,89 @@ def binned(samples: DataFrame, key: str, time: str, value: str, width: str, late
     return b.select(key, F.col("w.start").alias("start"), "value", "n")
 
 
-def dip_scores(samples: DataFrame, key: str, value: str = "flux", order: str = "frame", detrend_width: int = 200, kernel_width: float = 6.0, taps: int = 49, idle: str | None = None) -> DataFrame:
+def scored_run(frames: np.ndarray, values: np.ndarray, width: int, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and scores of those samples of an unbroken run whose windows it
+    holds: values less their running mean of ``width``, convolved. Missing
+    values (NaN) count in neither; a window without any gives NaN."""
+    if len(values) < width + len(kernel) - 1:
+        return frames[:0], values[:0]
+    known = ~np.isnan(values)
+    n = np.correlate(known.astype(float), np.ones(width), "valid")
+    trend = np.correlate(np.where(known, values, 0.0), np.ones(width), "valid") / np.maximum(n, 1)
+    own = slice(width // 2, width // 2 + len(trend))
+    there = known[own]
+    score = np.correlate(np.where(there, values[own] - trend, 0.0), kernel, "valid")
+    if not there.all():
+        score[np.correlate(there.astype(float), np.ones(len(kernel)), "valid") < 0.5] = np.nan
+    first = width // 2 + len(kernel) // 2
+    return frames[first : first + len(score)], score
+
+
+def edges_of(n: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n samples others may need, as many as ``reach`` at both ends, and
+    which of those come behind a gap."""
+    if n <= 2 * reach:
+        return np.arange(n), np.zeros(n, bool)
+    at = np.concatenate([np.arange(reach), np.arange(n - reach, n)])
+    return at, at == n - reach
+
+
+def dip_scores(samples: DataFrame, key: str, value: str = "flux", order: str = "frame", detrend_width: int = 200, kernel_width: float = 6.0, taps: int = 49, idle: str | None = None, stretch: int = 65_536) -> DataFrame:
     """(key, frame, score): detrended and convolved samples as they come. With
     ``idle`` (such as "10 minutes") a key without new samples for so long is
     forgotten, so that the state holds only series that still grow.
 
-    Each key's state is the stretch of samples that scores still to come need:
-    half a running mean and half a kernel on both sides. A sample's score is
-    given once all samples it depends on are there; frames arrive in order.
+    What a batch has of a key is dealt out by spans of ``stretch`` frames (some
+    thousands of samples each). A span gives the scores that it has all samples
+    for; of the others only the samples at its ends go on to the key, which
+    gives the scores across the edges of spans and batches. The key's state is
+    the stretch of samples that scores still to come need: half a running mean
+    and half a kernel on both sides. A sample's score is given once all samples
+    it depends on are there; frames arrive in order.
     """
-    half, reach = detrend_width // 2, detrend_width // 2 + taps // 2
     kernel = np.array(ricker(kernel_width, taps))
+    reach = detrend_width + taps - 2
+    kind = samples.schema[key].dataType.simpleString()
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def in_order(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        frames, first = np.unique(pdf[order].to_numpy(np.int64), return_index=True)
+        return frames, pdf[value].to_numpy(float)[first]
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, v = in_order(pdf)
+        f, score = scored_run(f, v, detrend_width, kernel) if len(v) > 2 * reach else (f[:0], v[:0])
+        return pd.DataFrame({key: pdf[key].iloc[0], "frame": f, "score": score})
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, v = in_order(pdf)
+        at, gap = edges_of(len(v), reach)
+        return pd.DataFrame({key: pdf[key].iloc[0], "f": f[at], "v": v[at], "gap": gap})
+
+    def across(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = pd.concat([pd.DataFrame({"f": state.get[0], "v": state.get[1]}) if state.exists else pd.DataFrame({"f": [], "v": []}), *[b[[order, value]].set_axis(["f", "v"], axis=1) for b in batches]])
-        held = held.sort_values("f").drop_duplicates("f")
-        f, v = held["f"].to_numpy(np.int64), held["v"].to_numpy(float)
-        out = pd.DataFrame({key: [], "frame": [], "score": []})
-        if len(v) >= detrend_width + taps - 1:
-            sums = np.concatenate([[0.0], np.cumsum(v)])
-            d = v[half : len(v) - half + 1] - (sums[detrend_width:] - sums[:-detrend_width]) / detrend_width
-            score = np.correlate(d, kernel, "valid")
-            at = half + taps // 2 + np.arange(len(score))
-            out = pd.DataFrame({key: k[0], "frame": f[at], "score": score})
-            keep = at[-1] + 1 - reach
-            f, v = f[keep:], v[keep:]
-        state.update((f.tolist(), v.tolist()))
+        held = [np.array(x, t) for x, t in zip(state.get if state.exists else ([], []), (np.int64, float), strict=True)]
+        come = [(b["f"].to_numpy(np.int64), b["v"].to_numpy(float), b["gap"].to_numpy(bool)) for b in batches]
+        f, v, gap = (np.concatenate(c) for c in zip((*held, np.zeros(len(held[0]), bool)), *come, strict=True))
+        row = np.argsort(f, kind="stable")
+        f, first = np.unique(f[row], return_index=True)
+        v, gap = v[row][first], np.logical_or.reduceat(gap[row], first)
+        breaks = np.flatnonzero(gap)
+        runs = list(zip(np.split(f, breaks), np.split(v, breaks), strict=True))
+        done = [scored_run(*run, detrend_width, kernel) for run in runs]
+        state.update(tuple(x[-reach:].tolist() for x in runs[-1]))
         if idle:
             state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield out
-
-    kind = samples.schema[key].dataType.simpleString()
-    return samples.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, frame long, score double", "f array<long>, v array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+        frames, scores = (np.concatenate(c) for c in zip(*done, strict=True))
+        if len(frames):
+            yield pd.DataFrame({key: k[0], "frame": frames, "score": scores})
+
+    spans = samples.select(key, order, value).groupBy(key, F.floor(F.col(order) / stretch).alias("_span"))
+    out = f"`{key}` {kind}, frame long, score double"
+    edges = spans.applyInPandas(ends, f"`{key}` {kind}, f long, v double, gap boolean").groupBy(key)
+    seams = edges.applyInPandasWithState(across, out, "f array<long>, v array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    return spans.applyInPandas(inside, out).union(seams)
 
 
 class _FollowedStars(StatefulProcessor):

@@ -1,5 +1,7 @@
 """Readers, writers and streams on small files."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,34 @@ def test_stream_scores_equal_batch_over_many_batches(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("stretch", [100, 900, 65_536])
+def test_stream_scores_by_spans_with_missing_values(spark, tmp_path, stretch):
+    """Spans shorter and longer than a window, spread over batches, give the scores of whole series; a null is no sample's value."""
+    rng = np.random.default_rng(3)
+    rows = [(s, 7 * k + j, None if (k + j) % 97 == 5 or 1500 <= k < 1600 and s == "b" else float(1e6 + rng.normal())) for j, (s, n) in enumerate([("a", 200), ("b", 2600), ("c", 900)]) for k in range(n)]
+    df = spark.createDataFrame(rows, "star string, frame long, flux double")
+    for low, high in ((0, 1000), (1000, 4001), (4001, 4100), (4100, 99_999)):
+        df.where(f"frame >= {low} AND frame < {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_to_end(streams.dip_scores(src, "star", stretch=stretch), "s").collect()
+    want = {}
+    for star, n in (("b", 2600), ("c", 900)):
+        f, x = zip(*((r[1], math.nan if r[2] is None else r[2]) for r in rows if r[0] == star), strict=True)
+        x = np.array(x)
+        d = np.array([x[i] - np.nanmean(x[i - 100 : i + 100]) if x[i] == x[i] else math.nan for i in range(100, n - 99)])
+        for i in range(124, n - 123):
+            terms = d[i - 124 : i - 75] * series.ricker(6.0)
+            want[star, f[i]] = None if np.isnan(terms).all() else np.nansum(terms)
+    assert sorted((r.star, r.frame) for r in got) == sorted(want)
+    assert all(want[r.star, r.frame] == pytest.approx(r.score, abs=1e-6) if r.score is not None else want[r.star, r.frame] is None for r in got)
+    assert any(r.score is None for r in got)
+
+
+def test_a_span_sends_only_its_ends_to_its_key():
+    at, gap = streams.edges_of(13_000, 247)
+    assert len(at) == 494 and at[[246, 247, -1]].tolist() == [246, 12_753, 12_999] and np.flatnonzero(gap).tolist() == [247]
+
+
 def test_stream_sessions_break_only_beyond_the_gap(spark, tmp_path):
     rows = [("s", f"2025-01-01 00:00:{v:09.6f}") for v in (0.0, 0.0375, 0.0752, 30.0)] + [("s", "2025-01-01 01:00:00")]
     spark.createDataFrame(rows, "k string, t string").select("k", F.to_timestamp("t").alias("t")).write.parquet(str(tmp_path / "in"))
