@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicurve.operators import numeric, robust, series
+from lumicurve.operators import numeric, series
 
 
 def flux_matrix(rows: pd.DataFrame, star: str, time: str, value: str) -> tuple[list, np.ndarray, np.ndarray]:
@@ -177,13 +177,13 @@ def differential_curve(flux: DataFrame, selection: DataFrame, method: str = "ens
     """
     if method not in ("ensemble", "pca") or denominator not in ("mean", "median"):
         raise ValueError(f"no such method or denominator: {method}, {denominator}")
-    refs = selection.where(F.col("ref") != F.col("target")).select("target", "ref").distinct()
-    enough = refs.groupBy("target").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= fewest).select("target")
-    refs = refs.join(enough, "target")
+    others = F.collect_set(F.when(F.col("ref") != F.col("target"), F.col("ref"))).alias("_refs")
+    # A target with too few keeps one row, without a reference.
+    enough = F.when(F.size("_refs") >= fewest, F.col("_refs"))
+    refs = selection.groupBy("target").agg(others).select("target", F.explode_outer(enough).alias("ref"))
     if method == "ensemble":
-        rel = robust.ensemble(flux, refs, denominator, star, time, value)
-    else:
-        rel = numeric.pca_differential(flux, star=star, time=time, value=value, components=components, selection=refs)
+        return numeric.ensemble(flux, refs, denominator, star, time, value, every_time=True, bin_width=bin_width)
+    rel = numeric.pca_differential(flux, star=star, time=time, value=value, components=components, selection=refs.where("ref IS NOT NULL"))
     axis = flux.select(F.col(star).alias("target"), time).join(selection.select("target").distinct(), "target", "left_semi")
     rel = axis.join(rel, ["target", time], "left")
     if bin_width is None:

@@ -122,16 +122,6 @@ def reference_selection(pairs: DataFrame, radius: float, most: int, least: int,
     return kept.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(target))).where(F.col("_n") >= least).drop("_n")
 
 
-def ensemble(flux: DataFrame, selection: DataFrame, how: str = "mean", star: str = "star", time: str = "t", value: str = "flux", target: str = "target", ref: str = "ref") -> DataFrame:
-    """(target, t, rel): flux over the references' mean or median at each time,
-    divided by the median of its positive values."""
-    agg = {"mean": F.avg, "median": F.median}[how]
-    of_refs = selection.select(target, F.col(ref).alias(star)).join(flux, star).groupBy(target, time).agg(agg(value).alias("_d"))
-    own = flux.select(F.col(star).alias(target), time, value).join(of_refs, [target, time])
-    rel = own.withColumn("rel", F.when(F.col("_d") > 0, F.col(value) / F.col("_d"))).select(target, time, "rel")
-    return normalise_by_median(rel, target, "rel", 1, "rel_norm").select(target, time, F.col("rel_norm").alias("rel"))
-
-
 def similar_references(flux: DataFrame, selection: DataFrame, fraction: float = 0.5, fewest: int = 3, star: str = "star", time: str = "t", value: str = "flux", target: str = "target", ref: str = "ref") -> DataFrame:
     """Two passes over each target's references: those whose normalised curve is
     most like the target's, and of them those most like the kept ones' mean. A

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicurve.operators import evaluate, nearest, quantiles, robust, series
+from lumicurve.operators import evaluate, nearest, numeric, quantiles, robust, series
 from lumicurve.plans.common import LC, USER_LC, curves, r6, table, trend_sql
 from lumicurve.plans.match import STARS, stars
 from lumicurve.plans.registry import query
@@ -128,7 +128,7 @@ ENSEMBLE = f"WITH {SEL}, {VECTORS}, dn AS (SELECT target, t, avg(flux) AS d FROM
 
 @query("ensemble_differential", ENSEMBLE)
 def ensemble_differential(spark, sf_dir):
-    return robust.ensemble(_vectors(spark, sf_dir), _selection(spark, sf_dir)).select("target", "t", r6("rel").alias("rel"))
+    return numeric.ensemble(_vectors(spark, sf_dir), _selection(spark, sf_dir)).select("target", "t", r6("rel").alias("rel"))
 
 
 IDL = f"""WITH {SEL}, {VECTORS}, {NORM}, e1 AS (SELECT sl.target, ref, avg(power(r.f - o.f, 2)) AS sse FROM sl JOIN nm r ON r.star = ref JOIN nm o ON o.star = target AND o.t = r.t GROUP BY sl.target, ref),

@@ -314,6 +314,49 @@ def test_curves_of_too_few_references_are_null(spark):
         differential.differential_curve(flux_table(spark, curves), sel, "other")
 
 
+@pytest.mark.parametrize("how", ["mean", "median"])
+@pytest.mark.parametrize("regular", [True, False])
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_differential_curves_by_whole_curves_equal_the_steps(spark, monkeypatch, how, regular, batch):
+    """No sample is shuffled for its bin; batches that cut a target, gaps, nulls and curves without a value give what the steps give."""
+    rng = np.random.default_rng(4)
+    curves = {k: {t: float(x) for t, x in zip(range(23), rng.normal(50, 20, 23), strict=True)} for k in range(9)}
+    curves[2][5] = curves[5][0] = curves[0][9] = None
+    curves[7] = dict.fromkeys(range(23))
+    if not regular:
+        curves[3] = {t: x for t, x in curves[3].items() if t % 3}
+        curves[0] = {t: x for t, x in curves[0].items() if not 7 <= t < 17}
+        curves[6] = {t: x for t, x in curves[6].items() if t < 12}
+    refs = {0: [1, 2, 3, 4, 5, 6], 1: [2, 3, 5], 3: [4, 5, 7, 3], 5: [6, 1, 2], 7: [0, 1, 2], 8: [0, 6, 7], 4: [1, 2], 99: [1, 2, 3]}
+    flux = spark.createDataFrame([(k, t, x) for k, c in curves.items() for t, x in c.items()], "star long, t long, flux double")
+    sel = spark.createDataFrame([(k, r) for k, rs in refs.items() for r in rs], "target long, ref long")
+    want, bins = {}, {}
+    for k, rs in refs.items():
+        used = [r for r in rs if r != k] if k in curves else []
+        rel = {}
+        for t, x in curves.get(k, {}).items():
+            others = [curves[r][t] for r in used if len(used) >= 3 and curves[r].get(t) is not None]
+            d = getattr(np, how)(others) if others else 0.0
+            rel[t] = x / d if x is not None and d > 0 else None
+        positive = [x for x in rel.values() if x is not None and x > 0]
+        rel = {t: x / np.median(positive) if x is not None and positive else None for t, x in rel.items()}
+        want |= {(k, t): x for t, x in rel.items()}
+        if rel:
+            first, last = min(rel), max(rel)
+            for b in range(math.ceil((last - first) / 4)):
+                mine = [x for t, x in rel.items() if min((t - first) // 4, math.ceil((last - first) / 4) - 1) == b and x is not None]
+                bins[k, b] = (first + (b + 0.5) * 4, np.mean(mine) if mine else None, len(mine))
+    monkeypatch.setattr(series, "time_bins", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {(r.target, r.t): r.rel for r in differential.differential_curve(flux, sel, "ensemble", how).collect()}
+        binned = {(r.target, r.bin): (r.t_center, r.rel, r.n) for r in differential.differential_curve(flux, sel, "ensemble", how, bin_width=4.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: pytest.approx(x, rel=1e-12) if x is not None else None for k, x in want.items()}
+    assert binned.keys() == bins.keys() and all(b[0] == a[0] and b[2] == a[2] and b[1] == (None if a[1] is None else pytest.approx(a[1], rel=1e-12)) for a, b in ((bins[k], binned[k]) for k in bins))
+
+
 def test_streamed_bins(spark, tmp_path):
     from lumicurve.plans.numeric import run_to_end
     from lumicurve.streaming import streams
