@@ -1,15 +1,16 @@
 """Exact Jaccard join of documents on word n-grams, with set relations skipped.
 
-1. One pass hashes each text to its set of n-gram hashes and gives the set's
-   size and fingerprint; documents of one fingerprint are one class. It also
-   deals the n-grams, packed four bytes each, to buckets where those in several
-   documents are found; they fill a sketch of bounded size that orders n-grams
-   from rare to frequent. (Any order gives the same links; a good one gives few
-   candidates.)
-2. A second pass gives each class the first n-grams of its set in that order,
-   as many as two linked sets must share one of. Each document of an n-gram's
-   list is tied to the list's least one, its head: partial minima and an
-   equi-join, so a long list is never gathered, and its ties are linear in it.
+1. One pass hashes each text to its set of n-gram hashes and deals them, packed
+   four bytes each, to buckets where those in several documents are found; they
+   fill a sketch of bounded size that orders n-grams from rare to frequent, and
+   first of all those that one document holds alone. (Any order gives the same
+   links; a good one gives few candidates.)
+2. A second pass gives each set's size and fingerprint (documents of one
+   fingerprint are one class) and the first n-grams of it in that order, as many
+   as two linked sets must share one of, but for those that no other set holds.
+   Only sets that are left with some are kept. Each document of an n-gram's list
+   is tied to the list's least one, its head: partial minima and an equi-join,
+   so a long list is never gathered, and its ties are linear in it.
 3. Sets tied to one head are compared by all their elements in a kernel. A
    group is cut into chunks, each of which also gets a few pivots, members that
    are the same for all of its chunks, so that what is alike is linked at a cost
@@ -34,12 +35,13 @@ from pyspark.sql import functions as F
 
 from lumicurve.llm.common import in_batches, mix64, spans_of, text_bytes, window_hashes, word_hashes, words_of
 from lumicurve.llm.components import connected_components
-from lumicurve.session import materialise
+from lumicurve.session import drop_materialised, materialise
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Most slots of the frequency sketch (a byte each), which is sent to every executor.
+#: Most slots of the frequency sketch (a byte each), which is sent to every
+#: executor, with as many bytes of bits for repeats that find no slot.
 SKETCH_SLOTS = 1 << 26
 
 
@@ -73,16 +75,15 @@ def bucket_bits(docs: DataFrame) -> int:
     return min(20, max(4, (size >> 20).bit_length()))
 
 
-def describe(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, f1, f2) of each row. Rows with a bucket hold instead, for some
-    of a task's documents, the n-grams of that bucket: the 32 bits behind the
-    bucket's own of those in one document, and of those in several with their
-    numbers. Texts with equal sets count once in such a lot of documents."""
+def dealt_ngrams(docs: DataFrame, n: int, bits: int, text_col: str) -> DataFrame:
+    """Rows of a bucket each with, for some of a task's documents, the n-grams
+    of that bucket: the 32 bits behind the bucket's own of those in one document,
+    and of those in several with their numbers. Texts with equal sets count once
+    in such a lot of documents."""
 
     def run(batches):
         lot: dict[tuple[int, int], np.ndarray] = {}
         held = 0
-        kind = None
 
         def emit():
             tokens, counts = np.unique(np.concatenate([*lot.values(), np.empty(0, np.uint64)]), return_counts=True)
@@ -90,29 +91,19 @@ def describe(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) ->
             short = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
             times = np.minimum(counts, 65535).astype("<u2")
             rows = [(k, short[x:y], times[x:y]) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
-            none = pa.nulls(len(rows), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.nulls(len(rows), kind),
-                    none,
-                    none,
-                    none,
                     pa.array([r[0] for r in rows], pa.int32()),
                     pa.array([r[1][r[2] == 1].tobytes() for r in rows], pa.binary()),
                     pa.array([r[1][r[2] > 1].tobytes() for r in rows], pa.binary()),
                     pa.array([r[2][r[2] > 1].tobytes() for r in rows], pa.binary()),
                 ],
-                names=names,
+                names=["bucket", "once", "more", "times"],
             )
 
         for b in batches:
-            kind = b.column(0).type
-            size, f1, f2 = [], [], []
-            for s in shingle_sets(b.column(1), n):
+            for s in shingle_sets(b.column(0), n):
                 p = fingerprint(s)
-                size.append(len(s))
-                f1.append(p[0])
-                f2.append(p[1])
                 if len(s) and p not in lot:
                     lot[p] = s
                     held += len(s)
@@ -120,14 +111,10 @@ def describe(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) ->
                         yield emit()
                         lot.clear()
                         held = 0
-            none = pa.nulls(len(size), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (size, f1, f2)), pa.nulls(len(size), pa.int32()), none, none, none], names=names)
         if lot:
             yield emit()
 
-    names = ["id", "size", "f1", "f2", "bucket", "once", "more", "times"]
-    kind = docs.schema[id_col].dataType.simpleString()
-    return in_batches(docs, [id_col, text_col], run, f"id {kind}, size long, f1 long, f2 long, bucket int, once binary, more binary, times binary")
+    return in_batches(docs, [text_col], run, "bucket int, once binary, more binary, times binary")
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -150,27 +137,35 @@ def slot_of(bucket: np.ndarray | int, short: np.ndarray, slots: int) -> np.ndarr
 class Sketch:
     """How frequent n-grams are, a byte for each slot of their hashes.
 
-    Level 0 is least frequent. If ``complete``, an n-gram of level 0 is in one
-    document (or its exact copies) alone; else the levels under the least that
-    found room are missing, which costs candidates but no links.
+    Level 0 is least frequent: an n-gram of it is in one document (or its exact
+    copies) alone. Where the repeated ones are more than there is room for, the
+    least frequent have no level of their own but a bit each, chosen by the first
+    bits of their hashes, and come between those and the others. An n-gram that
+    only seems to be repeated costs candidates but no links.
     """
 
     levels: np.ndarray
     bits: int
-    complete: bool
+    repeated: np.ndarray | None = None
 
     def of(self, s: np.ndarray) -> np.ndarray:
-        return self.levels[slot_of_hash(s, self.bits, len(self.levels))]
+        levels = self.levels[slot_of_hash(s, self.bits, len(self.levels))]
+        if self.repeated is None:
+            return levels
+        at = s >> np.uint64(64 - 3 - (len(self.repeated).bit_length() - 1))
+        return np.maximum(levels, (self.repeated[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
 
 
 def slot_of_hash(s: np.ndarray, bits: int, slots: int) -> np.ndarray:
     return ((s >> np.uint64(32 - bits)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots.bit_length() + 1)
 
 
-def frequency_sketch(described: DataFrame, bits: int, most_slots: int = SKETCH_SLOTS) -> Sketch:
-    """The sketch of all rows of ``describe``. What reaches the driver is at
-    most a quarter of ``most_slots`` n-grams, the most frequent ones."""
-    found = materialise(described.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_repeated, "bucket int, tokens binary, levels binary"), "repeated", wide_cells=True)
+def frequency_sketch(dealt: DataFrame, bits: int, most_slots: int = SKETCH_SLOTS) -> Sketch:
+    """The sketch of all rows of ``dealt_ngrams``. What reaches the driver is at
+    most a quarter of ``most_slots`` n-grams, the most frequent ones, and as
+    many bytes as ``most_slots`` of bits for the others."""
+    spark = dealt.sparkSession
+    found = materialise(dealt.groupBy("bucket").applyInArrow(_repeated, "bucket int, tokens binary, levels binary"), "repeated", wide_cells=True)
 
     def count(batches):
         total = np.zeros(256, np.int64)
@@ -185,6 +180,7 @@ def frequency_sketch(described: DataFrame, bits: int, most_slots: int = SKETCH_S
     from_top = np.cumsum(by_level[::-1])[::-1]
     least = int(np.argmax(from_top <= most_slots // 4))
     slots = min(most_slots, 1 << max(10, int(4 * from_top[least]).bit_length()))
+    own = max(3, most_slots.bit_length() + 2 - bits)  # bits of a hash behind the bucket's that choose its bit
 
     def cut(batches):
         for b in batches:
@@ -195,13 +191,30 @@ def frequency_sketch(described: DataFrame, bits: int, most_slots: int = SKETCH_S
                 out.append((at.tobytes(), level[level >= least].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["slots", "levels"])
 
+    def mark(batches):
+        for b in batches:
+            out = []
+            for t, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                mask = np.zeros(1 << own, bool)
+                mask[np.frombuffer(t, "<u4")[np.frombuffer(v, np.uint8) < least] >> np.uint32(32 - own)] = True
+                out.append(np.packbits(mask, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["bucket", "bits"])
+
     kept = found.mapInArrow(cut, "slots binary, levels binary").toArrow()
     levels = np.zeros(slots, np.uint8)
     for b in kept.to_batches():
         for at, level in zip(b.column(0), b.column(1), strict=True):
             np.maximum.at(levels, np.frombuffer(at.as_buffer(), "<u4"), np.frombuffer(level.as_buffer(), np.uint8))
     del kept
-    return Sketch(levels, bits, int(by_level[:least].sum()) == 0)
+    repeated = None
+    if by_level[:least].sum():
+        repeated = np.zeros((1 << bits, 1 << own - 3), np.uint8)
+        for b in found.mapInArrow(mark, "bucket int, bits binary").toArrow().to_batches():
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                repeated[k] = np.frombuffer(x.as_buffer(), np.uint8)
+        repeated = repeated.ravel()
+    drop_materialised(spark, found)
+    return Sketch(levels, bits, repeated)
 
 
 def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -209,42 +222,30 @@ def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return size - (percent * size + 99) // 100 + 1
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, sketch, text_col: str) -> DataFrame:
-    """(f1, f2, size, prefix) of each row: the first elements of its set from
-    rare to frequent, without those that no other set holds. Rows with none are
-    left out."""
+def describe(docs: DataFrame, n: int, percent: int, sketch, id_col: str, text_col: str) -> DataFrame:
+    """(id, size, f1, f2, prefix, elements) of each row: the prefix has the first
+    elements of its set from rare to frequent, without those that no other set
+    holds. Where any are left the elements follow, as bytes of sorted hashes;
+    other sets have null for both."""
 
     def run(batches):
         order = sketch.value
         for b in batches:
-            f1, f2, size, out = [], [], [], []
-            for s in shingle_sets(b.column(0), n):
+            size, f1, f2, first, elements = [], [], [], [], []
+            for s in shingle_sets(b.column(1), n):
+                p = fingerprint(s)
+                size.append(len(s))
+                f1.append(p[0])
+                f2.append(p[1])
                 level = order.of(s)
                 by = np.lexsort((s, level))[: prefix_length(len(s), percent)] if len(s) else np.empty(0, np.int64)
-                first = s[by[level[by] > 0]] if order.complete else s[by]
-                if len(first):
-                    p = fingerprint(s)
-                    f1.append(p[0])
-                    f2.append(p[1])
-                    size.append(len(s))
-                    out.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (f1, f2, size)), pa.array(out, pa.list_(pa.int64()))], names=["f1", "f2", "size", "prefix"])
-
-    return in_batches(docs, [text_col], run, "f1 long, f2 long, size long, prefix array<long>")
-
-
-def whole_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, f1, f2, size, elements) of each row, the elements as bytes of sorted hashes."""
-
-    def run(batches):
-        for b in batches:
-            sets = list(shingle_sets(b.column(1), n))
-            prints = [fingerprint(s) for s in sets]
-            numbers = [[p[0] for p in prints], [p[1] for p in prints], list(map(len, sets))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "f1", "f2", "size", "elements"])
+                left = s[by[level[by] > 0]]
+                first.append(left.view(np.int64) if len(left) else None)
+                elements.append(s.tobytes() if len(left) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (size, f1, f2)), pa.array(first, pa.list_(pa.int64())), pa.array(elements, pa.binary())], names=["id", "size", "f1", "f2", "prefix", "elements"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_batches(docs, [id_col, text_col], run, f"id {kind}, f1 long, f2 long, size long, elements binary")
+    return in_batches(docs, [id_col, text_col], run, f"id {kind}, size long, f1 long, f2 long, prefix array<long>, elements binary")
 
 
 class SetLinker:
@@ -421,37 +422,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     bits = bucket_bits(docs)
-    described = materialise(describe(docs, n, bits, id_col, text_col), "described", wide_cells=True)
-    sketch = spark.sparkContext.broadcast(frequency_sketch(described, bits))
-    rows = described.where("size IS NOT NULL").select("id", "size", "f1", "f2")
-    # A class is a set, however many rows have it. Its number is written, so it cannot change.
-    classes = rows.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sketch = spark.sparkContext.broadcast(frequency_sketch(dealt_ngrams(docs, n, bits, text_col), bits))
+    # Rows are numbered, and the numbers written, so that they cannot change.
+    described = describe(docs, n, percent, sketch, id_col, text_col).withColumn("node", F.monotonically_increasing_id())
+    described = materialise(described, "described", wide_cells=True)
+    sketch.destroy()
+    rows = described.select("id", "size", "f1", "f2")
+    # A class is a set, however many rows have it; its node is one of them.
     key = ["f1", "f2", "size"]
+    classes = materialise(described.where("size > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("node").alias("node")), "classes")
 
-    firsts = prefixes(docs, n, percent, sketch, text_col).dropDuplicates(key).join(classes.select(*key, "node"), key)
-    firsts = materialise(firsts.select("node", "prefix"), "prefixes")
+    firsts = described.where("prefix IS NOT NULL").select("node", "prefix").join(classes.select("node"), "node", "left_semi")
+    firsts = materialise(firsts, "prefixes")
     tokens = firsts.select(F.explode("prefix").alias("token"), "node")
     heads = tokens.groupBy("token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = materialise(tokens.join(heads.select("token", "head"), "token").select("head", "node").distinct(), "groups")
-    sketch.destroy()
     groups = materialise(groups.join(groups.groupBy("head").agg(F.count(F.lit(1)).alias("m")), "head"), "groups")
+    sets = described.where("elements IS NOT NULL").select("node", "elements")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """(node, elements), each from one of the rows that have the set."""
-        # Written, so that its size is known when the joins are planned.
-        wanted = materialise(nodes.select("node").distinct().join(classes, "node").select(*key, "node", "rep"), "wanted")
-        texts = docs.join(wanted.select(F.col("rep").alias(id_col)), id_col, "left_semi")
-        if has_nameless:
-            texts = texts.select(id_col, text_col).union(docs.where(F.col(id_col).isNull()).select(id_col, text_col))
-        return whole_sets(texts, n, id_col, text_col).join(wanted.drop("rep"), key).select("node", "elements").dropDuplicates(["node"])
-
-    has_nameless = not classes.where("rep IS NULL").isEmpty()
-    links = materialise(first_links(groups, sets_of(groups), percent), "links")
+    links = materialise(first_links(groups, sets, percent), "links")
     component = materialise(connected_components(links.union(ties_of_ids(rows, classes))), "components")
     dealt = materialise(outsiders(groups, component), "outsiders")
     if not dealt.isEmpty():
-        cross = materialise(cross_links(dealt, sets_of(dealt), percent), "links")
+        cross = materialise(cross_links(dealt, sets, percent), "links")
         ends = [component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab"]
         cross = cross.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
         joined = connected_components(cross).select(F.col("node").alias("component"), F.col("component").alias("new"))
@@ -463,4 +456,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = classes.join(named.select("node", "component").join(least, "component").select("node", "component_id"), "node", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.join(label, key, "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = materialise(out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "labelled")
+    for spent in (described, classes, firsts, groups):
+        drop_materialised(spark, spent)
+    return out

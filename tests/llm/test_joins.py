@@ -137,6 +137,30 @@ def test_ngram_join_of_many_small_chunks(spark, monkeypatch):
     test_ngram_join_of_large_groups(spark)
 
 
+def test_ngram_join_of_more_repeats_than_the_sketch_holds(spark, monkeypatch):
+    """Passages in two texts each, more than have a level of their own: texts that only share one are not compared."""
+    monkeypatch.setattr(ngram_join.frequency_sketch, "__defaults__", (1 << 12,))
+    rows, write = Counter(), ngram_join.materialise
+
+    def counted(df, label, **k):
+        out = write(df, label, **k)
+        rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    texts = {}
+    for _ in range(300):
+        passage = words(20)
+        for _ in range(2):
+            texts[len(texts)] = words(150) + " " + passage
+    for k in range(20):
+        texts[len(texts)] = texts[30 * k] + " " + words(2)
+    check_components(spark, texts)
+    assert 20 <= rows["groups"] < 200
+
+
 def test_set_linker_equals_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(60):
