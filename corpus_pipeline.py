@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lumicurve.llm import language_id, quality
+from lumicurve.llm.common import split_by_ids
 from lumicurve.llm.ngram_join import jaccard_components
 from lumicurve.llm.packing import pack_sequences
 from lumicurve.llm.pii import redact_personal_data
@@ -54,14 +55,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _first_of_groups(docs: DataFrame) -> DataFrame:
-    stay = jaccard_components(docs, n=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
-    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    linked = jaccard_components(docs, n=5, percent=80)
+    # Those that go are fewer than those that stay; texts of the others are not shuffled.
+    gone = materialise(linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays").select("doc_id"), "gone")
+    named = split_by_ids(docs, gone, "doc_id")[1]
+    repeated = materialise(linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
     if repeated.isEmpty():
         return named
-    once = named.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    several, once = split_by_ids(named, repeated, "doc_id")
     row = F.struct("text", *[c for c in docs.columns if c != "text"])
-    first = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
+    first = several.groupBy("doc_id").agg(F.min(row).alias("row"))
     return once.union(first.select([F.col("row")[c].alias(c) for c in docs.columns]))
 
 

@@ -58,6 +58,22 @@ def give_back_memory() -> None:
         trim(0)
 
 
+#: Marks by which rows are told from ids they cannot be: a bit each, 64 to a row, sent to every executor (2^20 rows at most).
+MARKS = 1 << 26
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` is among ``ids`` (a column of that name, without
+    nulls), and all others, a null key's too. Wide rows whose id's mark none of
+    the ids has are never shuffled; only the others meet the ids in a join."""
+    mark = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    place, bit = F.shiftright(mark, 6), F.pmod(mark, F.lit(64)).cast("int")
+    marks = ids.groupBy(place.alias("_place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    seen = rows.withColumn("_place", place).join(F.broadcast(marks), "_place", "left").withColumn("_marked", F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False)))
+    marked, free = seen.where("_marked").select(rows.columns), seen.where("NOT _marked").select(rows.columns)
+    return marked.join(ids, key, "left_semi").select(rows.columns), free.union(marked.join(ids, key, "left_anti").select(rows.columns))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a column; a null text is the empty string."""
     return ["" if t is None else t for t in column.to_pylist()]

@@ -161,6 +161,32 @@ def test_ngram_join_of_more_repeats_than_the_sketch_holds(spark, monkeypatch):
     assert 20 <= rows["groups"] < 200
 
 
+def test_near_copies_go_without_a_shuffle_of_all_texts(spark, monkeypatch):
+    """Of texts of long words few bytes are shuffled where few are copies, and what stays is right, repeated ids too."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(s.shuffleWriteBytes() for s in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)))
+
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(rng.bytes(24).hex() for _ in range(n))
+    texts = [(k, words(120)) for k in range(300)]
+    copies = [(1000 + k, texts[k][1] + " end") for k in range(15)]
+    rows = [*texts, *copies, (1003, None), (20, "more of it"), (None, words(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frame = corpus_pipeline.materialise(docs, "docs")
+        before = shuffled()
+        kept = {r.doc_id: r.text for r in corpus_pipeline.one_of_each_group(spark, frame, "").collect()}
+        assert kept == dict(texts) | {20: min(texts[20][1], "more of it"), 1003: None, None: rows[-1][1]}
+        assert shuffled() - before < 0.5 * sum(len(t or "") for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_set_linker_equals_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(60):
