@@ -111,3 +111,29 @@ def test_matches_in_a_dense_field_make_no_pairs(spark, tmp_path, monkeypatch, na
     monkeypatch.setattr(match, "plane_join", pairs)
     monkeypatch.setattr(bandjoin, "sky_join", pairs)
     same_as_sql(spark, str(tmp_path), name, ["embeddings"])
+
+
+def test_events_scored_by_what_they_reach(monkeypatch):
+    """Scores with an event equal those of the whole changed series, for every
+    preprocessor, at the ends too, while few samples are prepared again."""
+    rng = np.random.default_rng(21)
+    n = 30_000
+    series = {s: (np.arange(m), 800 + 30 * rng.standard_normal(m) + 20 * np.sin(np.arange(m) / 900)) for s, m in (("a", n), ("b", n), ("c", n - 700))}
+    events = [(int(c), 1 - 0.3 * np.exp(-((np.arange(w) - w / 2) ** 2) / 20)) for c, w in ((3, 41), (700, 30), (15_000, 61), (n - 650, 41), (n - 4, 41), (n + 500, 41))]
+    detectors = trials.detector_grid(trials.shapes())
+    prepared, steps = [], dict(trials.PREPROCESSORS)
+    for name, fn in steps.items():
+        monkeypatch.setitem(trials.PREPROCESSORS, name, lambda x, fn=fn: (prepared.append(len(x)), fn(x))[1])
+    got = trials.scored_events(series, detectors, events)
+    assert sum(prepared) < len(steps) * (3 * n + len(events) * 3 * 5000)
+    for (center, curve), rows in zip(events, got, strict=True):
+        changed = {}
+        for scope, (i, x) in series.items():
+            low = center - len(curve) // 2
+            a, b = np.searchsorted(i, [low, low + len(curve)])
+            changed[scope] = x.copy()
+            changed[scope][a:b] *= curve[i[a:b] - low]
+        want = {r[:2]: r[2:] for r in trials._scored(changed, detectors)}
+        assert len(rows) == len(want)
+        for detector, scope, peak, frame in rows:
+            assert (peak, frame) == (pytest.approx(want[detector, scope][0], rel=1e-9), want[detector, scope][1])
